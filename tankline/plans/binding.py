@@ -26,7 +26,12 @@ def _text(name: str):
 
 
 def telemetry(spark: SparkSession, d: str, *extra) -> DataFrame:
-    return table(spark, d, "events").select(
+    return readings_of(table(spark, d, "events"), *extra)
+
+
+def readings_of(events: DataFrame, *extra) -> DataFrame:
+    """Events, static or streaming, as sensor readings."""
+    return events.select(
         _text("user_id").alias("auto"),
         F.col("ts").alias("timestamp"),
         F.floor(F.col("value") * 40).cast("double").alias(FUEL),
@@ -146,24 +151,34 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fleet_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    up = uploads(spark, d).withColumn("id", _text("id"))
-    media = up.select(
-        F.concat(F.lit("m"), "id").alias("id"), F.lit("text/csv").alias("media_type"), "size", "filename",
-        "type", F.col("id").alias("report_query"), "file_hash",
-    )
+def report_queries(spark: SparkSession, d: str) -> DataFrame:
     orgs = F.pmod(F.length("organization") + F.col("size"), F.lit(25)).cast("string")
-    return {
-        "organization": organizations(spark, d),
-        "org_user": users(spark, d),
-        "car": cars(spark, d),
-        "car_consumption": norms(spark, d),
-        "report_query": up.select("id", orgs.alias("organization"), "status"),
-        "media": media,
-        "car_report": reports(spark, d),
-        "driver": drivers(spark, d),
-        "driver_car": driver_car(spark, d),
-    }
+    return uploads(spark, d).select(_text("id").alias("id"), orgs.alias("organization"), "status")
+
+
+def media(spark: SparkSession, d: str) -> DataFrame:
+    return uploads(spark, d).select(
+        F.concat(F.lit("m"), _text("id")).alias("id"), F.lit("text/csv").alias("media_type"), "size", "filename",
+        "type", _text("id").alias("report_query"), "file_hash",
+    )
+
+
+BINDINGS = {
+    "organization": organizations,
+    "org_user": users,
+    "car": cars,
+    "car_consumption": norms,
+    "report_query": report_queries,
+    "media": media,
+    "car_report": reports,
+    "driver": drivers,
+    "driver_car": driver_car,
+}
+
+
+def fleet_tables(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """The named fleet tables, all if none is named."""
+    return {name: BINDINGS[name](spark, d) for name in names or BINDINGS}
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def user_switch(spark, d):
 
 
 def _cascade(spark, d):
-    tables = b.fleet_tables(spark, d)
+    tables = b.fleet_tables(spark, d, "organization", "org_user", "car", "car_consumption", "car_report", "driver_car")
     ids = b.table(spark, d, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").cast("string").alias("id"))
     return ups.cascade_delete(tables, "organization", ids)
 
@@ -294,9 +294,25 @@ def status_steps(spark, d):
 # ---- entities -----------------------------------------------------------------------------------
 
 
+# What a listing touches besides its own table.
+_WITH = {
+    "org_user": ["organization"],
+    "car": ["organization"],
+    "car_consumption": ["car", "organization"],
+    "car_report": ["car", "organization"],
+    "report_query": ["organization", "media"],
+    "media": ["report_query"],
+    "driver": ["driver_car", "car", "organization"],
+}
+
+
+def _tables(spark, d, name):
+    return b.fleet_tables(spark, d, name, *_WITH[name])
+
+
 def _list(spark, d, name, org=None, **options):
     options.setdefault("page_number", None)
-    return ent.list_entities(b.fleet_tables(spark, d), name, org, **options)
+    return ent.list_entities(_tables(spark, d, name), name, org, **options)
 
 
 _CARS_ORGS = f"{q.CARS}, {q.ORGS}"
@@ -373,7 +389,7 @@ def entity_filter(spark, d):
     f"WITH {_CARS_ORGS} SELECT c.id, c.name, c.engine_type, o.id AS org_id, o.name AS org_name FROM cars c JOIN orgs o ON c.organization = o.id WHERE c.id = '1' AND o.id = '19'",
 )
 def entity_detail(spark, d):
-    out = ent.get_entity(b.fleet_tables(spark, d), "car", "19", "1")
+    out = ent.get_entity(_tables(spark, d, "car"), "car", "19", "1")
     org = F.col("organization")
     return out.select("id", "name", "engine_type", org["id"].alias("org_id"), org["name"].alias("org_name"))
 
@@ -496,7 +512,7 @@ def facets_period(spark, d):
 )
 def first_of_order(spark, d):
     """First row in an entity's own order."""
-    tables = b.fleet_tables(spark, d)
+    tables = _tables(spark, d, "car_report")
     return b.plain(ent.first_row(tables["car_report"], tables, "car_report").select("id", "datetime"))
 
 
@@ -506,7 +522,7 @@ def first_of_order(spark, d):
 )
 def sorted_norms(spark, d):
     """Norms in their own order, by vehicle name and period."""
-    tables = b.fleet_tables(spark, d)
+    tables = _tables(spark, d, "car_consumption")
     return ent.default_sorted(tables["car_consumption"], tables, "car_consumption").select("id", "car", "summer_volume")
 
 

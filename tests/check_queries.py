@@ -1,5 +1,6 @@
 """Command line: check_queries.py <data dir> [name part ...] compares queries with their SQL."""
 
+import os
 import sys
 import time
 
@@ -31,8 +32,11 @@ def main(d, *parts):
                 problem = None if df.count() else "no rows"
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:600]}"
-        bad += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
+        failed = problem is not None
+        bad += failed
+        if os.environ.get("COUNTS"):
+            problem = f"{problem or ''} rows={df.count()}"
+        print(f"{'BAD' if failed else 'ok '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
     print("bad:", bad)
     spark.stop()
 

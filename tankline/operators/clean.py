@@ -18,19 +18,24 @@ from .layout import settle
 
 
 def normalise(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Text key, wall-clock time, doubles without NaN, and an ingest order ``seq`` for ties."""
+    """Text key, wall-clock time, doubles without NaN, and an ingest order ``seq`` for ties.
+
+    The level keeps a NaN: ``fuel_range`` drops it, and a bare column lets that filter reach the scan.
+    """
     need(df, [*p.scope, "auto", "timestamp", FUEL, SPEED, VOLTAGE])
     seq = F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
     return df.select(
         *p.scope,
         F.col("auto").cast("string").alias("auto"),
         F.col("timestamp").try_cast("timestamp_ntz").alias("timestamp"),
-        *[nan_to_null(F.col(c)).alias(c) for c in (FUEL, SPEED, VOLTAGE)],
+        F.col(FUEL).cast("double").alias(FUEL),
+        *[nan_to_null(F.col(c)).alias(c) for c in (SPEED, VOLTAGE)],
         seq.alias("seq"),
     ).filter("auto IS NOT NULL AND timestamp IS NOT NULL")
 
 
 def fuel_range(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """Keep levels within the limits, both included. NaN, above every number, goes as well."""
     return df.filter(F.col(FUEL).between(p.fuel_min, p.fuel_max))
 
 

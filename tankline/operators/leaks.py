@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..params import Params
 from ..schemas import SPEED
-from .clean import fuel_range, normalise, preprocess
+from .clean import normalise, preprocess
 
 
 def org_cars(cars: DataFrame, org: str | None = None) -> DataFrame:
@@ -30,18 +30,22 @@ def org_cars(cars: DataFrame, org: str | None = None) -> DataFrame:
     )
 
 
-def org_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> DataFrame:
-    """Consumption norms of the tenant's vehicles. The norm id settles the order of equal periods."""
-    owner = cars if org is None else cars.filter(F.col("organization") == org)
-    owner = owner.select(F.col("id").cast("string").alias("sl_avto"))
-    found = norms.select(
+def norm_columns(norms: DataFrame) -> DataFrame:
+    """Norms as the detection step wants them. The norm id settles the order of equal periods."""
+    return norms.select(
         F.col("car").cast("string").alias("sl_avto"),
         F.col("winter_volume").alias("norma_rasx_winter"),
         F.col("summer_volume").alias("norma_rasx_summer"),
         F.col("valid_period").alias("period"),
         F.col("id").cast("string").alias("norm_id"),
     )
-    return found.join(owner, "sl_avto", "left_semi")
+
+
+def org_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> DataFrame:
+    """Consumption norms of the tenant's vehicles."""
+    owner = cars if org is None else cars.filter(F.col("organization") == org)
+    owner = owner.select(F.col("id").cast("string").alias("sl_avto"))
+    return norm_columns(norms).join(owner, "sl_avto", "left_semi")
 
 
 def attach_cars(series: DataFrame, cars: DataFrame) -> DataFrame:
@@ -98,11 +102,26 @@ def leak_volume(df: DataFrame, p: Params = Params()) -> DataFrame:
     return df.withColumn("leak", leak).withColumn("is_leak", F.col("leak") > p.leak_limit)
 
 
-def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag."""
-    car = Window.partitionBy(*p.scope, "id")
+def _by_day(df: DataFrame, p: Params) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """The vehicle and the vehicle-day window. Both ask for the same order, so one exchange and one
+    sort serve all statistics and steps."""
+    df = df.withColumn("_day", F.col("timestamp").cast("date"))
+    order = ["timestamp"]
+    if "norm_id" in df.columns:
+        df = df.withColumn("_norm", _norm_order())
+        order.append("_norm")
+    car = Window.partitionBy(*p.scope, "id").orderBy("_day", *order)
+    day = Window.partitionBy(*p.scope, "id", "_day").orderBy(*order)
+    return df, car.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), day
+
+
+def _without_helpers(df: DataFrame) -> DataFrame:
+    return df.drop("_day", "_norm")
+
+
+def _stats(df: DataFrame, car: WindowSpec, p: Params) -> DataFrame:
     df = df.withColumn("delta_sp", F.col("spent_fuel") - F.col("norma_rasx_per_travel"))
-    df = df.withColumn("delta_sp_median", F.median("delta_sp").over(car)).withColumn(
+    df = df.withColumn("delta_sp_median", F.percentile("delta_sp", 0.5).over(car)).withColumn(
         "delta_sp_std", F.stddev_samp("delta_sp").over(car)
     )
     bound = F.col("delta_sp_median") + p.sigma * F.col("delta_sp_std")
@@ -110,12 +129,7 @@ def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
     return df.withColumn("is_leak_delta_sp", F.coalesce(outlier, F.lit(False)))
 
 
-def tank_steps(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Add the change of the tank maximum to the next and from the previous bin of the day, and the
-    two flags built on them."""
-    ties = [_norm_order()] if "norm_id" in df.columns else []
-    day = Window.partitionBy(*p.scope, "id", F.col("timestamp").cast("date"))
-    day = day.orderBy("timestamp", *ties)
+def _tank(df: DataFrame, day: WindowSpec) -> DataFrame:
     level = F.col("max_fuel")
     df = df.withColumn(
         "max_fuel_diff", F.coalesce(F.lead("max_fuel").over(day) - level, F.lit(0.0))
@@ -127,6 +141,19 @@ def tank_steps(df: DataFrame, p: Params = Params()) -> DataFrame:
     ).withColumn("is_max_fuel_diff", falls & fell)
 
 
+def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag."""
+    df, car, _ = _by_day(df, p)
+    return _without_helpers(_stats(df, car, p))
+
+
+def tank_steps(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """Add the change of the tank maximum to the next and from the previous bin of the day, and the
+    two flags built on them."""
+    df, _, day = _by_day(df, p)
+    return _without_helpers(_tank(df, day))
+
+
 def detect_leaks(
     df: DataFrame,
     norms: DataFrame,
@@ -145,9 +172,10 @@ def detect_leaks(
     df = leak_volume(season_norm(attach_norms(df, norms, policy), p), p)
     if drop_null_engine:
         df = df.dropna(subset=["sl_tip_dvigat"])
+    df, car, day = _by_day(df, p)
     if sigma:
-        df = leak_stats(df, p)
-    return tank_steps(df, p)
+        df = _stats(df, car, p)
+    return _without_helpers(_tank(df, day))
 
 
 def leak_pipeline(
@@ -161,11 +189,5 @@ def leak_pipeline(
     """Raw readings, vehicle table and norm table -> detection rows."""
     series = preprocess(normalise(telemetry, p), p)
     with_cars = attach_cars(series, org_cars(cars, org))
-    return detect_leaks(with_cars, org_norms(norms, cars, org), p, **options)
-
-
-__all__ = [
-    "attach_cars", "attach_norms", "consumed", "detect_leaks", "fuel_range", "latest_norm",
-    "leak_pipeline", "leak_stats", "leak_volume", "org_cars", "org_norms", "season_norm",
-    "tank_steps",
-]
+    # the vehicles of the series are the tenant's by now, so its norms need no scoping of their own
+    return detect_leaks(with_cars, norm_columns(norms), p, **options)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import normalise, preprocess
-from ..operators.leaks import attach_cars, detect_leaks, org_cars, org_norms
+from ..operators.leaks import attach_cars, detect_leaks, norm_columns, org_cars
 from ..operators.metrics import metric_points
 from ..operators.reference import split_fleet
 from ..operators.reports import leak_reports
@@ -49,8 +49,9 @@ def run_upload(
 
     readings = normalise(telemetry, p)
     load = f"{paths['series']}/load={upload_id or load_seq}"
-    preprocess(readings, p).write.mode("overwrite").parquet(load)
-    series = spark.read.parquet(load)
+    series = preprocess(readings, p)
+    series.write.mode("overwrite").parquet(load)
+    series = spark.read.schema(series.schema).parquet(load)
 
     cars = org_cars(tables["car"], org)
     if org is None:
@@ -63,7 +64,7 @@ def run_upload(
         target = {"organization": org, **fixed} if fixed else {}
     write_metrics(points.withColumn("load_seq", F.lit(load_seq).cast("long")), paths["metrics"], target)
 
-    norms = org_norms(tables["car_consumption"], tables["car"], org)
+    norms = norm_columns(tables["car_consumption"])
     detected = detect_leaks(attach_cars(series, cars), norms, p, **detection)
     reports = leak_reports(detected, F.col("upload_id"))
     write_partitions(reports, paths["reports"], ["upload_id"], fixed, mode)

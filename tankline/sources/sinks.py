@@ -18,17 +18,25 @@ _SAFE = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
 def write_partitions(
-    df: DataFrame, path: str, by: list[str], fixed: dict | None = None, mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    by: list[str],
+    fixed: dict | None = None,
+    mode: str = "overwrite",
+    sort: tuple[str, ...] = (),
 ) -> None:
     """Write ``df`` partitioned by ``by``, replacing the partitions it touches (``mode="append"``
     adds to them). Where all rows share the ``fixed`` partition values that one partition is
-    replaced as a whole, also by nothing."""
+    replaced as a whole, also by nothing. Rows are ordered by ``sort`` inside each file."""
     fixed = fixed or {}
     if [*fixed] == by and all(_SAFE.fullmatch(str(v)) for v in fixed.values()):
         path = "/".join([path, *[f"{k}={v}" for k, v in fixed.items()]])
-        df.drop(*by).write.mode(mode).parquet(path)
+        one = df.sortWithinPartitions(*sort) if sort else df
+        one.drop(*by).write.mode(mode).parquet(path)
         return
-    writer = df.write.partitionBy(*by).mode(mode)
+    # Rebalancing gathers each partition's rows into few files and, under AQE, splits a partition
+    # that is far bigger than the others instead of leaving it to one task.
+    writer = df.hint("rebalance", *by).sortWithinPartitions(*by, *sort).write.partitionBy(*by).mode(mode)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
@@ -36,10 +44,9 @@ def write_partitions(
 
 def write_metrics(points: DataFrame, path: str, fixed: dict | None = None) -> None:
     """Store points (with upload_id and load_seq). A point written again by a later upload wins when
-    read; no stored file is rewritten. Rows are sorted inside each task so that a vehicle's points
-    share row groups and one file is open at a time."""
-    by = ["organization", "upload_id"]
-    write_partitions(points.sortWithinPartitions(*by, "auto", "timestamp"), path, by, fixed)
+    read; no stored file is rewritten. Files are sorted, so a vehicle's points share row groups and
+    a query for it skips the others."""
+    write_partitions(points, path, ["organization", "upload_id"], fixed, sort=("auto", "timestamp"))
 
 
 _VERSIONED = T.StructType(

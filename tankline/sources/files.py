@@ -143,8 +143,8 @@ def _digest_big(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def hash_files(spark: SparkSession, glob: str, whole_up_to: int = 256 << 20) -> DataFrame:
-    """Path, size in bytes and SHA-256 of every file. Listing reads no content; files above
-    ``whole_up_to`` bytes are streamed instead of being held in a row."""
+    """Path, size in bytes and SHA-256 of every file but empty ones, which Spark does not list. Files above
+    ``whole_up_to`` bytes are read as a stream instead of being held in a row."""
     files = spark.read.format("binaryFile").load(glob)
     size = F.col("length").alias("size")
     small = files.filter(F.col("length") <= whole_up_to).select(

@@ -14,7 +14,9 @@ def nan_to_null(col: Column) -> Column:
 
 
 def clock(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """Wall-clock time to the second as text. date_format would take it through the session zone,
+    which changes times that a clock change leaves out."""
+    return F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def mask_tail(col: Column, keep: int = 4, default: str = "Не указан") -> Column:

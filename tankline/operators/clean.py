@@ -69,8 +69,9 @@ def _with_slices(df: DataFrame, p: Params) -> DataFrame:
     return rows.join(facts, cell)
 
 
-def _gap_since(prev: Column) -> Column:
-    return F.abs(seconds_between(prev, F.col("timestamp")))
+def _hours(df: DataFrame) -> DataFrame:
+    """Hours next to seconds. Hours are linear in seconds, so sums need to carry only the seconds."""
+    return df.withColumn("dtime_per_hour", F.col("dtime_s") / 3600)
 
 
 def _gaps(df: DataFrame, p: Params) -> DataFrame:
@@ -80,9 +81,7 @@ def _gaps(df: DataFrame, p: Params) -> DataFrame:
     else:
         order = Window.partitionBy(*p.keys, "_sensor").orderBy("timestamp", "seq")
         prev = F.coalesce(F.lag("timestamp").over(order), F.col("_carry_ts"))
-    return df.withColumn("dtime_s", _gap_since(prev)).withColumn(
-        "dtime_per_hour", F.col("dtime_s") / 3600
-    )
+    return df.withColumn("dtime_s", F.abs(seconds_between(prev, F.col("timestamp"))))
 
 
 def _best_voltage(df: DataFrame, p: Params) -> DataFrame:
@@ -104,7 +103,7 @@ def _public(df: DataFrame) -> DataFrame:
 def time_gap(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add ``dtime_s`` and ``dtime_per_hour``: time since the previous reading of the gap bin."""
     p = settle(df, p)
-    return _public(_gaps(_arranged(df, p), p)).drop("voltage_max")
+    return _hours(_public(_gaps(_arranged(df, p), p)).drop("voltage_max"))
 
 
 def voltage_max(df: DataFrame, p: Params = Params()) -> DataFrame:
@@ -141,9 +140,7 @@ def fuel_diff(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _steps(df: DataFrame, p: Params) -> DataFrame:
     order = _in_order(p)
-    df = df.withColumn("_prev", F.lag(FUEL).over(order)).withColumn(
-        "_prev_ts", F.lag("timestamp").over(order)
-    )
+    df = df.withColumns({"_prev": F.lag(FUEL).over(order), "_prev_ts": F.lag("timestamp").over(order)})
     df = add_bin(df, "_diff", p.diff_s)
     same_bin = F.col("_prev_ts") >= F.col("_diff")
     return df.withColumn("spent_fuel", F.when(same_bin, F.col(FUEL) - F.col("_prev")))
@@ -159,7 +156,7 @@ def _total(name: str) -> Column:
 def _sensor_bins(df: DataFrame, p: Params) -> DataFrame:
     """Sensor bins of cleaned readings, with the helper columns of the layout still on."""
     levels = [F.median(FUEL).alias(FUEL), F.avg(SPEED).alias(SPEED)]
-    times = [_total("dtime_s"), _total("dtime_per_hour")]
+    times = [_total("dtime_s")]
     if p.layout == "slot":
         df = add_bin(_steps(df, p), "_sensor", p.sensor_s)
         return df.groupBy(*p.keys, "_slot", "_sensor").agg(*levels, _total("spent_fuel"), *times)
@@ -183,7 +180,6 @@ def _pre_bins(bins: DataFrame, p: Params) -> DataFrame:
         _total("spent_fuel"),
         F.max(FUEL).alias("max_fuel"),
         _total("dtime_s"),
-        _total("dtime_per_hour"),
     )
 
 
@@ -202,7 +198,6 @@ def _period_bins(bins: DataFrame, p: Params) -> DataFrame:
         _total("spent_fuel"),
         F.max("max_fuel").alias("max_fuel"),
         _total("dtime_s"),
-        _total("dtime_per_hour"),
     )
 
 
@@ -214,7 +209,8 @@ def cleaned(df: DataFrame, p: Params) -> DataFrame:
 
 def _labelled(df: DataFrame, p: Params, bin_col: str) -> DataFrame:
     rest = [c for c in df.columns if not c.startswith("_") and c not in p.keys]
-    return df.select(*p.keys, F.col(bin_col).alias("timestamp"), *rest)
+    hours = (F.col("dtime_s") / 3600).alias("dtime_per_hour")
+    return df.select(*p.keys, F.col(bin_col).alias("timestamp"), *rest, hours)
 
 
 def bin_sensor(df: DataFrame, p: Params = Params()) -> DataFrame:
@@ -241,10 +237,9 @@ def preprocess(df: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``spent_per_100`` is NULL where nothing was travelled.
     """
-    return (
-        bin_period(df, p)
-        .withColumn("travel", F.col(SPEED) * F.col("dtime_per_hour"))
-        .withColumn("spent_per_100", F.try_divide("spent_fuel", "travel") * 100)
+    travel = F.col(SPEED) * F.col("dtime_per_hour")
+    return bin_period(df, p).withColumns(
+        {"travel": travel, "spent_per_100": F.try_divide(F.col("spent_fuel"), travel) * 100}
     )
 
 

@@ -8,7 +8,8 @@
            a table of slice facts that is far smaller than the rows. For fleets where even a single
            slot of one vehicle is too big for a task.
 ``auto``   counts rows per (vehicle, slot), reading two columns with map-side pre-aggregation, and
-           takes ``slot`` unless the biggest cell is above ``Params.max_cell_rows``.
+           takes ``slot`` unless the biggest cell is above ``Params.max_cell_rows``. Name the layout
+           to save the count, which reads text files once more.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ def largest_cell(df: DataFrame, p: Params) -> int:
 
 def settle(df: DataFrame, p: Params) -> Params:
     """Turn ``layout="auto"`` into a fixed choice."""
+    sliceable = not any(w % p.sensor_s for w in (p.pre_s, p.period_s, p.gap_s, p.diff_s))
     if p.layout == "auto":
-        p = p.but(layout="slot" if largest_cell(df, p) <= p.max_cell_rows else "slice")
-    if p.layout == "slice":
-        others = (p.pre_s, p.period_s, p.gap_s, p.diff_s)
-        if any(w % p.sensor_s for w in others):
-            raise ValueError("the slice layout needs every width to be a multiple of sensor_s")
+        fits = not sliceable or largest_cell(df, p) <= p.max_cell_rows
+        return p.but(layout="slot" if fits else "slice")
+    if p.layout == "slice" and not sliceable:
+        raise ValueError("the slice layout needs every width to be a multiple of sensor_s")
     return p

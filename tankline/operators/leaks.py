@@ -49,7 +49,12 @@ def org_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> Data
 
 
 def attach_cars(series: DataFrame, cars: DataFrame) -> DataFrame:
-    return series.join(cars, series["auto"] == cars["id"], "inner")
+    """Inner join on the vehicle. Where the series names its tenant, the vehicle must be theirs."""
+    match = series["auto"] == cars["id"]
+    if "organization" not in series.columns:
+        return series.join(cars, match, "inner")
+    match = match & (series["organization"] == cars["organization"])
+    return series.join(cars, match, "inner").drop(cars["organization"])
 
 
 def _norm_order() -> Column:
@@ -77,18 +82,20 @@ def attach_norms(series: DataFrame, norms: DataFrame, policy: str = "fanout") ->
 
 
 def consumed(df: DataFrame) -> DataFrame:
-    """Turn level changes into litres used: gains count as 0, losses lose their sign."""
-    return df.withColumn("spent_fuel", F.abs(F.least("spent_fuel", F.lit(0.0))))
+    """Turn level changes into litres used, in total and per 100 km: gains count as 0, losses lose
+    their sign."""
+    used = F.abs(F.least("spent_fuel", F.lit(0.0)))
+    return df.withColumns({"spent_fuel": used, "spent_per_100": F.try_divide(used * 100, F.col("travel"))})
 
 
 def season_norm(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add the norm in force and the norm for the distance, scaled by the cube of relative speed."""
     summer = F.month("timestamp").between(*p.summer_months)
-    df = df.withColumn(
-        "norma_rasx", F.when(summer, F.col("norma_rasx_summer")).otherwise(F.col("norma_rasx_winter"))
-    )
+    norm = F.when(summer, F.col("norma_rasx_summer")).otherwise(F.col("norma_rasx_winter"))
     pace = F.pow(F.col(SPEED) / p.speed_ref, F.lit(3.0))
-    return df.withColumn("norma_rasx_per_travel", F.col("norma_rasx") * F.col("travel") / 100 * pace)
+    return df.withColumns(
+        {"norma_rasx": norm, "norma_rasx_per_travel": norm * F.col("travel") / 100 * pace}
+    )
 
 
 def leak_volume(df: DataFrame, p: Params = Params()) -> DataFrame:
@@ -99,17 +106,18 @@ def leak_volume(df: DataFrame, p: Params = Params()) -> DataFrame:
     for engine, rate in p.idle_rate.items():
         leak = leak.when(idle & (F.col("sl_tip_dvigat") == engine), F.abs(spent - F.lit(rate)))
     leak = leak.otherwise(F.greatest(F.lit(0.0), spent - F.col("norma_rasx_per_travel")))
-    return df.withColumn("leak", leak).withColumn("is_leak", F.col("leak") > p.leak_limit)
+    return df.withColumns({"leak": leak, "is_leak": leak > p.leak_limit})
 
 
 def _by_day(df: DataFrame, p: Params) -> tuple[DataFrame, WindowSpec, WindowSpec]:
     """The vehicle and the vehicle-day window. Both ask for the same order, so one exchange and one
     sort serve all statistics and steps."""
-    df = df.withColumn("_day", F.col("timestamp").cast("date"))
+    helpers = {"_day": F.col("timestamp").cast("date")}
     order = ["timestamp"]
     if "norm_id" in df.columns:
-        df = df.withColumn("_norm", _norm_order())
+        helpers["_norm"] = _norm_order()
         order.append("_norm")
+    df = df.withColumns(helpers)
     car = Window.partitionBy(*p.scope, "id").orderBy("_day", *order)
     day = Window.partitionBy(*p.scope, "id", "_day").orderBy(*order)
     return df, car.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), day
@@ -121,8 +129,9 @@ def _without_helpers(df: DataFrame) -> DataFrame:
 
 def _stats(df: DataFrame, car: WindowSpec, p: Params) -> DataFrame:
     df = df.withColumn("delta_sp", F.col("spent_fuel") - F.col("norma_rasx_per_travel"))
-    df = df.withColumn("delta_sp_median", F.percentile("delta_sp", 0.5).over(car)).withColumn(
-        "delta_sp_std", F.stddev_samp("delta_sp").over(car)
+    delta = F.col("delta_sp")
+    df = df.withColumns(
+        {"delta_sp_median": F.percentile(delta, 0.5).over(car), "delta_sp_std": F.stddev_samp(delta).over(car)}
     )
     bound = F.col("delta_sp_median") + p.sigma * F.col("delta_sp_std")
     outlier = (F.col("delta_sp") >= bound) & (F.col("leak") >= p.leak_limit)
@@ -131,14 +140,20 @@ def _stats(df: DataFrame, car: WindowSpec, p: Params) -> DataFrame:
 
 def _tank(df: DataFrame, day: WindowSpec) -> DataFrame:
     level = F.col("max_fuel")
-    df = df.withColumn(
-        "max_fuel_diff", F.coalesce(F.lead("max_fuel").over(day) - level, F.lit(0.0))
-    ).withColumn("max_fuel_diff_back", level - F.lag("max_fuel").over(day))
+    df = df.withColumns(
+        {
+            "max_fuel_diff": F.coalesce(F.lead("max_fuel").over(day) - level, F.lit(0.0)),
+            "max_fuel_diff_back": level - F.lag("max_fuel").over(day),
+        }
+    )
     falls = F.col("max_fuel_diff") < 0
     fell = F.coalesce(F.col("max_fuel_diff_back") < 0, F.lit(False))
-    return df.withColumn(
-        "is_max_fuel_diff_2", falls & (F.col("leak") <= -F.col("max_fuel_diff"))
-    ).withColumn("is_max_fuel_diff", falls & fell)
+    return df.withColumns(
+        {
+            "is_max_fuel_diff_2": falls & (F.col("leak") <= -F.col("max_fuel_diff")),
+            "is_max_fuel_diff": falls & fell,
+        }
+    )
 
 
 def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
@@ -166,9 +181,7 @@ def detect_leaks(
 
     ``sigma=False, drop_null_engine=True`` gives the plain variant without per-vehicle statistics.
     """
-    df = consumed(df).withColumn(
-        "spent_per_100", F.try_divide(F.col("spent_fuel") * 100, F.col("travel"))
-    )
+    df = consumed(df)
     df = leak_volume(season_norm(attach_norms(df, norms, policy), p), p)
     if drop_null_engine:
         df = df.dropna(subset=["sl_tip_dvigat"])

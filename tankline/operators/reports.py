@@ -70,7 +70,7 @@ def daily_leaks(
     Reports are first summed per vehicle and day: the join then sees few rows of even the busiest
     vehicle.
     """
-    day = F.date_format("datetime", "yyyy-MM-dd").alias("day")
+    day = F.col("datetime").cast("date").cast("string").alias("day")
     per_car = in_period(reports, frm, due).groupBy("car", day).agg(_measure(measure))
     tenant = ["organization"] if org is None else []
     return (

@@ -189,8 +189,9 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DoubleType):
             c = F.round(c, 6) + 0.0
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            text = c.cast("string")
+            c = F.rpad(F.when(F.length(text) == 19, F.concat(text, F.lit("."))).otherwise(text), 26, "0")
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)

@@ -85,7 +85,7 @@ def fleet_load(spark, d):
         (F.col("p_partkey") % 2).cast("double").alias("engine_type"), F.col("p_partkey").alias("seq"),
     )
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
-    loaded, _ = load_fleet(fleet, {**tables, "car_consumption": tables["car_consumption"].limit(0)}, "3")
+    loaded, _ = load_fleet(fleet, {**tables, "car_consumption": tables["car_consumption"].filter("false")}, "3")
     return loaded["car_consumption"].select("car", "winter_volume", "summer_volume")
 
 

@@ -10,6 +10,7 @@ from ..operators.leaks import attach_cars, detect_leaks, norm_columns, org_cars
 from ..operators.metrics import metric_points
 from ..operators.reference import split_fleet
 from ..operators.reports import leak_reports
+from ..operators.uploads import advance, pending_uploads
 from ..operators.upsert import load_norms, upsert_cars
 from ..params import Params
 from ..sources.files import read_telemetry
@@ -28,49 +29,73 @@ def run_upload(
     mode: str = "overwrite",
     **detection,
 ) -> dict[str, str]:
-    """Process readings into series, metrics and reports below ``out``; returns the three paths.
+    """Process readings into series, metrics and reports below ``out``; returns the paths.
 
-    ``telemetry`` is a path or a frame. Without ``upload_id`` the frame must have that column: many
-    uploads then run as one job, each with its own statistics. Without ``org`` a vehicle's own
-    tenant owns its points, and points of unknown vehicles go to the tenant "unknown".
+    ``telemetry`` is a path, whose rejected rows are stored too, or a frame. Without ``upload_id``
+    the frame must have that column: many uploads then run as one job, each with its own statistics.
+
+    The tenant is ``org``, else the frame's column ``organization``, else that of the vehicle; in
+    the last case points of unknown vehicles go to the tenant "unknown".
 
     The series, orders of magnitude smaller than the readings, is written first and both sinks read
     it back: the readings are shuffled once, and a lost executor costs no second pass over them.
     """
-    if isinstance(telemetry, str):
-        telemetry, _ = read_telemetry(spark, telemetry)
-    if upload_id is not None:
-        telemetry = telemetry.withColumn("upload_id", F.lit(upload_id))
-    if "upload_id" not in p.scope:
-        p = p.but(scope=("upload_id", *p.scope))
     out = out.rstrip("/")
-    paths = {name: f"{out}/{name}" for name in ("series", "metrics", "reports")}
+    paths = {name: f"{out}/{name}" for name in ("series", "metrics", "reports", "rejects")}
     fixed = {} if upload_id is None else {"upload_id": upload_id}
+    if isinstance(telemetry, str):
+        telemetry, bad = read_telemetry(spark, telemetry)
+        if fixed:
+            write_partitions(bad.withColumn("upload_id", F.lit(upload_id)), paths["rejects"], ["upload_id"], fixed)
+    if fixed:
+        telemetry = telemetry.withColumn("upload_id", F.lit(upload_id))
+    scope = [c for c in ("organization", "upload_id") if c == "upload_id" or (org is None and c in telemetry.columns)]
+    p = p.but(scope=tuple(dict.fromkeys([*p.scope, *scope])))
 
-    readings = normalise(telemetry, p)
+    series = preprocess(normalise(telemetry, p), p)
     load = f"{paths['series']}/load={upload_id or load_seq}"
-    series = preprocess(readings, p)
     series.write.mode("overwrite").parquet(load)
     series = spark.read.schema(series.schema).parquet(load)
 
     cars = org_cars(tables["car"], org)
-    if org is None:
-        owner = cars.select(F.col("id").alias("auto"), "organization")
-        owned = series.join(owner, "auto", "left")
+    if org is not None:
+        points, target = metric_points(series, org, "upload_id"), {"organization": org, **fixed}
+    else:
+        owned = series
+        if "organization" not in series.columns:
+            owned = series.join(cars.select(F.col("id").alias("auto"), "organization"), "auto", "left")
         points = metric_points(owned, F.coalesce("organization", F.lit("unknown")), "upload_id")
         target = {}
-    else:
-        points = metric_points(series, org, "upload_id")
-        target = {"organization": org, **fixed} if fixed else {}
     write_metrics(points.withColumn("load_seq", F.lit(load_seq).cast("long")), paths["metrics"], target)
 
     norms = norm_columns(tables["car_consumption"])
     detected = detect_leaks(attach_cars(series, cars), norms, p, **detection)
-    reports = leak_reports(detected, F.col("upload_id"))
-    write_partitions(reports, paths["reports"], ["upload_id"], fixed, mode)
+    write_partitions(leak_reports(detected, F.col("upload_id")), paths["reports"], ["upload_id"], fixed, mode)
     return paths
 
 
+def run_pending(
+    spark: SparkSession,
+    uploads: DataFrame,
+    readings: DataFrame,
+    tables: dict[str, DataFrame],
+    out: str,
+    p: Params = Params(),
+    load_seq: int = 0,
+    **detection,
+) -> DataFrame:
+    """Process the next waiting upload of every tenant that is ready, all in one job.
+
+    ``readings`` holds the raw rows of the uploads with their ``upload_id``. Returns the upload table
+    with the processed ones completed.
+    """
+    following = pending_uploads(uploads).select(F.col("id").alias("upload_id"), "organization")
+    mine = readings.drop("organization").join(following, "upload_id", "inner")
+    run_upload(spark, mine, tables, out, p, load_seq=load_seq, **detection)
+    done = following.select(F.col("upload_id").alias("id"), F.lit(True).alias("_done"))
+    return advance(uploads.join(done, "id", "left"), F.col("_done"), "completed").drop("_done")
+
+
 def load_fleet(
     fleet: DataFrame, tables: dict[str, DataFrame], org: str
 ) -> tuple[dict[str, DataFrame], DataFrame]:

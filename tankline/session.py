@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.session.timeZone": "UTC",
+    # no call-site lookup for every expression while a plan is put together
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -20,7 +20,7 @@ CORRUPT = "_corrupt_record"
 _COLUMNAR = ("parquet", "orc")
 
 
-def _text_schema(names) -> T.StructType:
+def text_schema(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
 
 
@@ -34,7 +34,7 @@ def _read_text(spark: SparkSession, path, schema: T.StructType, header: list[str
         raise ValueError(f"missing columns: {', '.join(missing)}")
     # With column pruning the parser skips the check of the field count, so it is switched off for
     # this reader only.
-    reader = spark.read.schema(_text_schema(header)).options(
+    reader = spark.read.schema(text_schema(header)).options(
         header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
     )
     return reader.csv(path)
@@ -80,9 +80,9 @@ def _read(spark, path, schema, fmt, header, ordered) -> tuple[DataFrame, DataFra
             value = F.col(f.name).cast(f.dataType)
             cols.append((nan_to_null(value) if isinstance(f.dataType, T.DoubleType) else value).alias(f.name))
         good = df.select(*cols, *seq)
-        return good, good.limit(0)
+        return good, good.filter(F.lit(False))
     if fmt == "json":
-        text = spark.read.schema(_text_schema(schema.names)).option("columnNameOfCorruptRecord", CORRUPT)
+        text = spark.read.schema(text_schema(schema.names)).option("columnNameOfCorruptRecord", CORRUPT)
         df = text.json(path)
     elif fmt == "csv":
         df = _read_text(spark, path, schema, header)

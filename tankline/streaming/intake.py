@@ -9,18 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..params import Params
 from ..plans.jobs import run_upload
 from ..schemas import TELEMETRY
-from ..sources.files import CORRUPT, _text_schema, type_text
+from ..sources.files import CORRUPT, text_schema, type_text
+from ..sources.sinks import write_partitions
 
 # Which part of a file's path names its upload.
 UNITS = {"file": r"([^/]+)$", "dir": r"([^/]+)/[^/]+$"}
 
 
 def telemetry_stream(
-    spark: SparkSession, in_dir: str, header: list[str], unit: str = "file", max_files: int | None = None
+    spark: SparkSession,
+    in_dir: str,
+    header: list[str],
+    unit: str = "file",
+    max_files: int | None = None,
+    tenant: str | None = None,
 ) -> DataFrame:
-    """Text rows of new CSV files with ``upload_id``, taken from the file name or its folder."""
+    """Text rows of new CSV files with ``upload_id``, taken from the file name or its folder, and
+    with ``organization`` if ``tenant``, a pattern with one group, tells it from the path."""
     reader = (
-        spark.readStream.schema(_text_schema(header))
+        spark.readStream.schema(text_schema(header))
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -31,7 +38,10 @@ def telemetry_stream(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     path = F.col("_metadata.file_path")
-    return reader.csv(in_dir).withColumn("upload_id", F.regexp_extract(path, UNITS[unit], 1))
+    named = {"upload_id": F.regexp_extract(path, UNITS[unit], 1)}
+    if tenant:
+        named["organization"] = F.regexp_extract(path, tenant, 1)
+    return reader.csv(in_dir).withColumns(named)
 
 
 def stream_uploads(
@@ -44,6 +54,7 @@ def stream_uploads(
     header: list[str] | None = None,
     unit: str = "file",
     max_files: int | None = None,
+    tenant: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Run ``run_upload`` on whatever files are new, then stop.
@@ -53,14 +64,14 @@ def stream_uploads(
     and the sinks replace an upload's own rows, so a retried batch changes nothing. With
     ``unit="dir"`` an upload is a folder of part files, which must arrive together.
     """
-    text = telemetry_stream(spark, in_dir, header or TELEMETRY.names, unit, max_files)
+    text = telemetry_stream(spark, in_dir, header or TELEMETRY.names, unit, max_files, tenant)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        good, _ = type_text(batch, TELEMETRY)
-        if "seq" not in good.columns:
-            good = good.withColumn("seq", F.monotonically_increasing_id())
-        else:
-            good = good.withColumn("seq", F.col("seq").cast("long"))
+        good, bad = type_text(batch, TELEMETRY)
+        write_partitions(bad, f"{out.rstrip('/')}/rejects", ["upload_id"])
+        given = "seq" in good.columns
+        seq = F.col("seq").cast("long") if given else F.monotonically_increasing_id()
+        good = good.withColumn("seq", seq)
         run_upload(spark, good, tables, out, p, load_seq=batch_id, **options)
 
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from tankline import Params
 from tankline.operators.leaks import leak_pipeline
 from tankline.operators.reports import leak_reports
-from tankline.plans.jobs import load_fleet, run_upload
+from tankline.plans.jobs import load_fleet, run_pending, run_upload
 from tankline.schemas import FUEL, SPEED, TELEMETRY
 from tankline.sources import sinks
 from tankline.streaming.bins import as_instant, as_wall_clock, late_rows, stream_bins
@@ -147,3 +147,46 @@ def test_fleet_file(spark, tables):
     assert rejected.count() == 0
     _, foreign = load_fleet(fleet_rows, tables, "o2")
     assert [r.car for r in foreign.collect()] == ["v0"]
+
+
+def test_pending_uploads_run_as_one_job_and_stay_with_their_tenant(spark, tables, tmp_path):
+    cars = tables["car"].withColumn("organization", F.when(F.col("id") == "v2", "o2").otherwise("o1"))
+    kinds = [("a1", "o1", "completed", "auto"), ("n1", "o1", "completed", "norm"), ("r1", "o1", "created", "raw"), ("r2", "o1", "created", "raw"),
+             ("a2", "o2", "completed", "auto"), ("n2", "o2", "completed", "norm"), ("r3", "o2", "created", "raw"), ("r4", "o3", "created", "raw")]
+    uploads = spark.createDataFrame(kinds, "id string, organization string, status string, type string")
+    readings = None
+    for n, u in ((1, "r1"), (2, "r2"), (3, "r3"), (4, "r4")):
+        part = _frame(spark, n).withColumn("upload_id", F.lit(u))
+        readings = part if readings is None else readings.unionByName(part)
+    mine = {**tables, "car": cars}
+    after = run_pending(spark, uploads, readings, mine, str(tmp_path), P)
+    assert {r.id: r.status for r in after.collect() if r.id[0] == "r"} == {"r1": "created", "r2": "completed", "r3": "completed", "r4": "created"}
+    want = []
+    for seed, u, org in ((2, "r2", "o1"), (3, "r3", "o2")):
+        found = leak_pipeline(_frame(spark, seed), cars, tables["car_consumption"], P, org=org)
+        want += _rows(leak_reports(found, u))
+    assert want and _rows(sinks.read_reports(spark, f"{tmp_path}/reports")) == sorted(want)
+    points = sinks.read_metrics(spark, f"{tmp_path}/metrics")
+    # a tenant's points hold every vehicle of its upload, known or not
+    assert {(r.organization, r.auto) for r in points.select("organization", "auto").distinct().collect()} == {
+        (o, f"v{i}") for o in ("o1", "o2") for i in range(4)
+    }
+
+
+def test_rejects_are_kept(spark, tables, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("timestamp,calc_sensors_fuel_level,pos_s,calc_sensors_voltage,auto\n2024-06-15 10:00:00,1,1,27,v1\nsoon,1,1,27,v1\n")
+    paths = run_upload(spark, str(path), tables, str(tmp_path / "out"), P, org="o1", upload_id="u1")
+    assert [r.timestamp for r in spark.read.parquet(paths["rejects"]).collect()] == ["soon"]
+    assert sinks.read_metrics(spark, paths["metrics"]).count() == 1
+
+
+def test_labels_do_not_pass_through_the_zone(spark):
+    from tankline.functions.values import clock
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Moscow")
+    try:
+        assert spark.sql("SELECT timestamp_ntz'2011-03-27 02:30:00.5' AS t").select(clock(F.col("t")).alias("c")).first().c == "2011-03-27 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -46,7 +46,20 @@ def sql_rows(con, sql):
     return sorted(names), rows(names, cur.fetchall())
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+}
+
+
+def type_differences(df, con, sql) -> list:
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(n, t, want.get(n)) for n, t in df.dtypes if want.get(n) != SAME_TYPE.get(t, t)]
+
+
 def differences(df, con, sql, show=3) -> str | None:
+    wrong = type_differences(df, con, sql)
+    if wrong:
+        return f"types {wrong}"
     names, got = spark_rows(df)
     want_names, want = sql_rows(con, sql)
     if names != want_names:

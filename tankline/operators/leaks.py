@@ -3,15 +3,16 @@
 Joins carry no broadcast hint: cars and norms grow with the fleet, so Spark's own size check
 (statically and, under AQE, at run time) decides between broadcast and sort-merge.
 
-The per-vehicle window holds one row per final bin and norm, at most 48 a day at the standard
-widths: its size follows the length of the history, not the volume of readings.
+The per-vehicle window holds one row per final bin, at most 48 a day at the standard widths: its
+size follows the length of the history, not the volume of readings. It is keyed by ``auto``, which
+equals the vehicle's id after the join, so that joins and windows share one exchange.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from ..params import Params
 from ..schemas import SPEED
@@ -109,64 +110,80 @@ def leak_volume(df: DataFrame, p: Params = Params()) -> DataFrame:
     return df.withColumns({"leak": leak, "is_leak": leak > p.leak_limit})
 
 
-def _by_day(df: DataFrame, p: Params) -> tuple[DataFrame, WindowSpec, WindowSpec]:
-    """The vehicle and the vehicle-day window. Both ask for the same order, so one exchange and one
-    sort serve all statistics and steps."""
-    helpers = {"_day": F.col("timestamp").cast("date")}
-    order = ["timestamp"]
-    if "norm_id" in df.columns:
-        helpers["_norm"] = _norm_order()
-        order.append("_norm")
-    df = df.withColumns(helpers)
-    car = Window.partitionBy(*p.scope, "id").orderBy("_day", *order)
-    day = Window.partitionBy(*p.scope, "id", "_day").orderBy(*order)
-    return df, car.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), day
+def _with_delta(df: DataFrame) -> DataFrame:
+    return df.withColumn("delta_sp", F.col("spent_fuel") - F.col("norma_rasx_per_travel"))
 
 
-def _without_helpers(df: DataFrame) -> DataFrame:
-    return df.drop("_day", "_norm")
-
-
-def _stats(df: DataFrame, car: WindowSpec, p: Params) -> DataFrame:
-    df = df.withColumn("delta_sp", F.col("spent_fuel") - F.col("norma_rasx_per_travel"))
-    delta = F.col("delta_sp")
-    df = df.withColumns(
-        {"delta_sp_median": F.percentile(delta, 0.5).over(car), "delta_sp_std": F.stddev_samp(delta).over(car)}
-    )
+def _flag_outliers(df: DataFrame, p: Params) -> DataFrame:
     bound = F.col("delta_sp_median") + p.sigma * F.col("delta_sp_std")
     outlier = (F.col("delta_sp") >= bound) & (F.col("leak") >= p.leak_limit)
     return df.withColumn("is_leak_delta_sp", F.coalesce(outlier, F.lit(False)))
 
 
-def _tank(df: DataFrame, day: WindowSpec) -> DataFrame:
-    level = F.col("max_fuel")
-    df = df.withColumns(
-        {
-            "max_fuel_diff": F.coalesce(F.lead("max_fuel").over(day) - level, F.lit(0.0)),
-            "max_fuel_diff_back": level - F.lag("max_fuel").over(day),
-        }
-    )
-    falls = F.col("max_fuel_diff") < 0
-    fell = F.coalesce(F.col("max_fuel_diff_back") < 0, F.lit(False))
-    return df.withColumns(
-        {
-            "is_max_fuel_diff_2": falls & (F.col("leak") <= -F.col("max_fuel_diff")),
-            "is_max_fuel_diff": falls & fell,
-        }
+def leak_stats(df: DataFrame, p: Params = Params(), grouped: bool = False) -> DataFrame:
+    """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag.
+
+    The window keeps a vehicle's rows in one task. ``grouped`` aggregates them map-side and joins
+    the result back instead, for vehicles with more rows than a task should see.
+    """
+    df = _with_delta(df)
+    median, std = F.median("delta_sp"), F.stddev_samp("delta_sp")
+    if grouped:
+        stats = df.groupBy(*p.keys).agg(median.alias("delta_sp_median"), std.alias("delta_sp_std"))
+        return _flag_outliers(df.join(stats, p.keys), p)
+    car = Window.partitionBy(*p.keys)
+    return _flag_outliers(
+        df.withColumns({"delta_sp_median": median.over(car), "delta_sp_std": std.over(car)}), p
     )
 
 
-def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag."""
-    df, car, _ = _by_day(df, p)
-    return _without_helpers(_stats(df, car, p))
+def _neighbours(df: DataFrame, p: Params) -> DataFrame:
+    """Add the tank maximum of the bins before and after, where they are of the same day."""
+    order = Window.partitionBy(*p.keys).orderBy("timestamp")
+    day = F.col("timestamp").cast("date")
+
+    def near(fn) -> Column:
+        return F.when(fn("timestamp").over(order).cast("date") == day, fn("max_fuel").over(order))
+
+    return df.withColumns({"_next": near(F.lead), "_prev": near(F.lag)})
+
+
+def _tank(df: DataFrame, many: bool) -> DataFrame:
+    level = F.col("max_fuel")
+    ahead, back = F.coalesce(F.col("_next") - level, F.lit(0.0)), level - F.col("_prev")
+    if many:
+        # The rows of one bin, one per norm, share its level: only the last steps to the next bin
+        # and only the first comes from the one before.
+        ahead = F.when(F.col("_last_norm"), ahead).otherwise(0.0)
+        back = F.when(F.col("_first_norm"), back).otherwise(0.0)
+    df = df.withColumns({"max_fuel_diff": ahead, "max_fuel_diff_back": back})
+    falls = F.col("max_fuel_diff") < 0
+    fell = F.coalesce(F.col("max_fuel_diff_back") < 0, F.lit(False))
+    flags = {
+        "is_max_fuel_diff_2": falls & (F.col("leak") <= -F.col("max_fuel_diff")),
+        "is_max_fuel_diff": falls & fell,
+    }
+    return df.withColumns(flags).drop("_next", "_prev", "_first_norm", "_last_norm")
 
 
 def tank_steps(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add the change of the tank maximum to the next and from the previous bin of the day, and the
-    two flags built on them."""
-    df, _, day = _by_day(df, p)
-    return _without_helpers(_tank(df, day))
+    two flags built on them. One row per vehicle and bin is expected."""
+    return _tank(_neighbours(df, p), many=False)
+
+
+def most_norms(norms: DataFrame) -> int:
+    """Norms of the vehicle that has the most."""
+    return norms.groupBy("sl_avto").count().agg(F.max("count")).first()[0] or 0
+
+
+def _mark_ends(norms: DataFrame) -> DataFrame:
+    """Mark each vehicle's first and last norm. Both come from an aggregate that combines map-side,
+    so a long norm history is never sorted in one task."""
+    norms = norms.withColumn("_norm", _norm_order())
+    ends = norms.groupBy("sl_avto").agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi"))
+    marks = {"_first_norm": F.col("_norm") == F.col("_lo"), "_last_norm": F.col("_norm") == F.col("_hi")}
+    return norms.join(ends, "sl_avto").withColumns(marks).drop("_norm", "_lo", "_hi")
 
 
 def detect_leaks(
@@ -180,15 +197,19 @@ def detect_leaks(
     """Flag drains in a series that already carries its vehicle (see ``attach_cars``).
 
     ``sigma=False, drop_null_engine=True`` gives the plain variant without per-vehicle statistics.
+
+    The vehicle's window runs before the norms multiply its rows. The statistics after that use the
+    same exchange and sort, unless some vehicle has more than ``p.max_norms`` norms.
     """
-    df = consumed(df)
-    df = leak_volume(season_norm(attach_norms(df, norms, policy), p), p)
+    norms_per_car = most_norms(norms) if policy == "fanout" else 1
+    many = norms_per_car > 1
+    df = attach_norms(_neighbours(consumed(df), p), _mark_ends(norms) if many else norms, policy)
+    df = leak_volume(season_norm(df, p), p)
     if drop_null_engine:
         df = df.dropna(subset=["sl_tip_dvigat"])
-    df, car, day = _by_day(df, p)
     if sigma:
-        df = _stats(df, car, p)
-    return _without_helpers(_tank(df, day))
+        df = leak_stats(df, p, grouped=norms_per_car > p.max_norms)
+    return _tank(df, many)
 
 
 def leak_pipeline(

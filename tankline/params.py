@@ -33,6 +33,8 @@ class Params:
     # "slot", "slice" or "auto"; see operators/layout.py
     layout: str = "auto"
     max_cell_rows: int = 20_000_000
+    # norms of one vehicle up to which its statistics stay in one task
+    max_norms: int = 1_000
 
     def __post_init__(self):
         widths = (self.sensor_s, self.pre_s, self.period_s, self.gap_s, self.diff_s)

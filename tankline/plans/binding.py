@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..params import Params
 from ..schemas import FUEL, SPEED, VOLTAGE
+from .sqltext import DIGITS, NUDGE
 
 # One reading per vehicle and hour on average, so the registered queries use wide bins.
 WIDE = Params(sensor_s=3600, pre_s=6 * 3600, period_s=86400, gap_s=86400, diff_s=2 * 86400)
@@ -187,7 +188,7 @@ def plain(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 6) + 0.0
+            c = F.round(c + NUDGE, DIGITS) + 0.0
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             text = c.cast("string")
             c = F.rpad(F.when(F.length(text) == 19, F.concat(text, F.lit("."))).otherwise(text), 26, "0")

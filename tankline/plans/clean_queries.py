@@ -30,7 +30,7 @@ def fuel_range_filter(spark, d):
 
 @query(
     "time_gap",
-    f"WITH {q.TELEMETRY}, {q.RANGE}, {q.gaps(P)} SELECT {_ROW_SQL}, {q.r('dtime_s')}, round(dtime_s / 3600, 6) AS dtime_per_hour FROM r1",
+    f"WITH {q.TELEMETRY}, {q.RANGE}, {q.gaps(P)} SELECT {_ROW_SQL}, {q.r('dtime_s')}, round(dtime_s / 3600 + 1.23e-7, 6) AS dtime_per_hour FROM r1",
 )
 def time_gap(spark, d):
     return b.plain(clean.time_gap(_in_range(spark, d), P).select(*_ROW, "dtime_s", "dtime_per_hour"))
@@ -64,7 +64,7 @@ def fuel_diff(spark, d):
 
 @query(
     "bin_10s",
-    f"WITH {q.cascade(Params())} SELECT auto, {q.t('ts', 'timestamp')}, {q.r('pos_s', 'spent_fuel', 'dtime_s', 'dtime_per_hour')}, round(fuel, 6) AS calc_sensors_fuel_level FROM b1",
+    f"WITH {q.cascade(Params())} SELECT auto, {q.t('ts', 'timestamp')}, {q.r('pos_s', 'spent_fuel', 'dtime_s', 'dtime_per_hour')}, round(fuel + 1.23e-7, 6) AS calc_sensors_fuel_level FROM b1",
 )
 def bin_10s(spark, d):
     return b.plain(clean.bin_sensor(_readings(spark, d)))

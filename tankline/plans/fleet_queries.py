@@ -48,7 +48,7 @@ def norms_pivot(spark, d):
 
 @query(
     "norms_pivot_swapped",
-    f"{_PIVOT} SELECT auto, round(summer_norm, 6) + 0.0 AS winter_norm, round(winter_norm, 6) + 0.0 AS summer_norm, due FROM p WHERE due IS NOT NULL AND summer_norm IS NOT NULL AND winter_norm IS NOT NULL",
+    f"{_PIVOT} SELECT auto, round(summer_norm + 1.23e-7, 6) + 0.0 AS winter_norm, round(winter_norm + 1.23e-7, 6) + 0.0 AS summer_norm, due FROM p WHERE due IS NOT NULL AND summer_norm IS NOT NULL AND winter_norm IS NOT NULL",
 )
 def norms_pivot_swapped(spark, d):
     parsed = ref.parse_norms(b.norm_file(spark, d), swap_seasons=True, **b.NORM_KINDS)
@@ -101,7 +101,7 @@ def fleet_cars(spark, d):
 
 @query(
     "fleet_norms",
-    f"SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(nullif(p_size, 3) AS DOUBLE) AS winter_norm, round(p_retailprice / 100, 6) + 0.0 AS summer_norm, {_DUE} AS due FROM part",
+    f"SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(nullif(p_size, 3) AS DOUBLE) AS winter_norm, round(p_retailprice / 100 + 1.23e-7, 6) + 0.0 AS summer_norm, {_DUE} AS due FROM part",
 )
 def fleet_norms(spark, d):
     return b.plain(ref.split_fleet(_fleet(spark, d))[1].drop("seq"))
@@ -117,7 +117,7 @@ def _load_norms(spark, d):
 @query(
     "norm_load",
     f"""SELECT CAST(p_partkey AS VARCHAR) AS car, coalesce(CAST(nullif(p_size, 3) AS DOUBLE), -1.0) AS winter_volume,
-  round(p_retailprice / 100, 6) + 0.0 AS summer_volume, strftime(try_cast({_DUE} AS DATE), '%Y-%m-%d') AS valid_period
+  round(p_retailprice / 100 + 1.23e-7, 6) + 0.0 AS summer_volume, strftime(try_cast({_DUE} AS DATE), '%Y-%m-%d') AS valid_period
 FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)""",
 )
 def norm_load(spark, d):
@@ -127,7 +127,7 @@ def norm_load(spark, d):
 @query(
     "norm_rejects",
     f"""SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(nullif(p_size, 3) AS DOUBLE) AS winter_norm,
-  round(p_retailprice / 100, 6) + 0.0 AS summer_norm, {_DUE} AS due
+  round(p_retailprice / 100 + 1.23e-7, 6) + 0.0 AS summer_norm, {_DUE} AS due
 FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def norm_rejects(spark, d):

@@ -115,7 +115,7 @@ def upload_reports(spark, d):
 @query(
     "upload_metrics",
     f"""WITH {q.cascade(P)} SELECT CAST(c_nationkey AS VARCHAR) AS organization, auto, {q.t('timestamp')},
-  {q.r('pos_s', 'spent_fuel')}, round(max_fuel, 6) + 0.0 AS {FUEL}
+  {q.r('pos_s', 'spent_fuel')}, round(max_fuel + 1.23e-7, 6) + 0.0 AS {FUEL}
 FROM series JOIN customer ON auto = CAST(c_custkey AS VARCHAR)""",
 )
 def upload_metrics(spark, d):

@@ -66,7 +66,7 @@ def norm_latest(spark, d):
 
 @query(
     "consumed_fuel",
-    f"WITH {q.cascade(P)} SELECT auto, {q.t('timestamp')}, round(abs(least(spent_fuel, 0)), 6) + 0.0 AS spent_fuel FROM series",
+    f"WITH {q.cascade(P)} SELECT auto, {q.t('timestamp')}, round(abs(least(spent_fuel, 0)) + 1.23e-7, 6) + 0.0 AS spent_fuel FROM series",
 )
 def consumed_fuel(spark, d):
     return b.plain(leaks.consumed(_series(spark, d)).select("auto", "timestamp", "spent_fuel"))

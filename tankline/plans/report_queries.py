@@ -98,8 +98,8 @@ def _points(spark, d):
 
 
 def _long(value: str) -> str:
-    return f"""SELECT organization, auto, x, round(fuel, 6) + 0.0 AS y, 'fuel_level' AS metric FROM ({value})
-UNION ALL SELECT organization, auto, x, round(pos_s, 6) + 0.0 AS y, 'speed' AS metric FROM ({value})"""
+    return f"""SELECT organization, auto, x, round(fuel + 1.23e-7, 6) + 0.0 AS y, 'fuel_level' AS metric FROM ({value})
+UNION ALL SELECT organization, auto, x, round(pos_s + 1.23e-7, 6) + 0.0 AS y, 'speed' AS metric FROM ({value})"""
 
 
 _X = "strftime({}, '%Y-%m-%d %H:%M:%S') AS x"
@@ -113,7 +113,7 @@ def metrics_raw(spark, d):
 
 @query(
     "metrics_speed_of_car",
-    f"WITH {_POINTS} SELECT {_X.format('timestamp')}, round(pos_s, 6) + 0.0 AS y, 'speed' AS metric FROM points WHERE {_SPAN} AND organization = '19' AND auto = '1'",
+    f"WITH {_POINTS} SELECT {_X.format('timestamp')}, round(pos_s + 1.23e-7, 6) + 0.0 AS y, 'speed' AS metric FROM points WHERE {_SPAN} AND organization = '19' AND auto = '1'",
 )
 def metrics_speed_of_car(spark, d):
     """What the dashboard of one vehicle asks for."""
@@ -155,7 +155,7 @@ def metrics_month(spark, d):
 
 @query(
     "metric_points",
-    f"WITH {_POINTS} SELECT organization, auto, {q.t('timestamp')}, {q.r('pos_s', 'spent_fuel')}, round(fuel, 6) + 0.0 AS calc_sensors_fuel_level FROM points",
+    f"WITH {_POINTS} SELECT organization, auto, {q.t('timestamp')}, {q.r('pos_s', 'spent_fuel')}, round(fuel + 1.23e-7, 6) + 0.0 AS calc_sensors_fuel_level FROM points",
 )
 def metric_points(spark, d):
     return b.plain(_points(spark, d))

@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR names the tables (default /root/testdata/sf0.1), BENCH_CPUS the local cores. Each
-query runs once to warm up and then BENCH_RUNS times (default 3); the median counts.
+query runs once to warm up and then BENCH_RUNS times (default 2); the median counts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES")
     names = names.split(",") if names else HEADLINE
     builder = (

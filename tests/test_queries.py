@@ -6,6 +6,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from tankline.plans.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -16,10 +17,10 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SMALL)
-    sql = entry.oracle_sql().get(name)
+    df = QUERIES[name](spark, SMALL)
+    sql = ORACLES.get(name)
     if sql is None:
         assert df.count() > 0
     else:
@@ -33,4 +34,5 @@ def test_entry(spark):
 
 def test_all_but_file_queries_have_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"table_file_hash"}
+    assert set(QUERIES) - set(ORACLES) == {"table_file_hash"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

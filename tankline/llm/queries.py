@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, quality
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,3 +38,13 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(documents(spark, d), vocab_name="byte_bpe_50k.json", capacity=1024, end_id=2)
+
+
+@query("op2_line_dedup", line_dedup.SQL)
+def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, d), min_docs=10)
+
+
+@query("op5_line_quality", quality.SQL)
+def op5_line_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.line_quality(documents(spark, d), min_words=20, max_repeat=30, min_kept=0.5).drop("cleaned")

@@ -121,10 +121,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+``, and the first word of each row (n+1)."""
+#: bytes of words of letters: ASCII letters and all of longer characters
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(raw: np.ndarray, ends: np.ndarray, of: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (by default ``[^\\x20\\x09-\\x0D]+``), and the first word of each row (n+1)."""
     inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = ~SPACE[raw]
+    inside[1:-1] = of[raw]
     begin = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     cut = ends[1:-1]
@@ -133,3 +138,17 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     last[cut - 1] = inside[cut]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(last) + 1
     return starts, stops, np.searchsorted(starts, ends)
+
+
+def bounded_sample(df: DataFrame, label: str, per_label: int, max_labels: int = 200) -> DataFrame:
+    """About ``per_label`` rows of each label (fewer labels than ``max_labels``), chosen by a hash of their id.
+
+    For fitting models only. The driver sees one count for each label; the sample has at most twice
+    the rows that were asked for.
+    """
+    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    if not counts:
+        return df.limit(0)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["count"]))))
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
+    return df.filter(spot < F.try_element_at(share, F.col(label))).limit(2 * per_label * len(counts))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality
+from . import language, line_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_line_quality", quality.SQL)
 def op5_line_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.line_quality(documents(spark, d), min_words=20, max_repeat=30, min_kept=0.5).drop("cleaned")
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.learn_and_predict(documents(spark, d))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, quality
+from . import language, line_dedup, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,13 @@ def op5_line_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_language_id")
 def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language.learn_and_predict(documents(spark, d))
+
+
+@query("op6_toxicity_chain")
+def op6_toxicity_chain(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.classify(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+@query("op7_minhash_near_dup")
+def op7_minhash_near_dup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, d))

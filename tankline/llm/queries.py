@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, near_dup, quality, toxicity
+from . import decontam, language, line_dedup, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op6_toxicity_chain(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_minhash_near_dup")
 def op7_minhash_near_dup(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, d))
+
+
+@query("op9_latent_decontamination")
+def op9_latent_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))

@@ -115,12 +115,19 @@ def _passages(batches, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, i
         yield passage, term, int(base[-1])
 
 
+def _by_term(term: np.ndarray, width: int) -> np.ndarray:
+    return np.argsort(term.astype(np.uint16 if width <= 1 << 16 else np.int32), kind="stable")
+
+
 def _count(batches, items: Items) -> Iterator[pa.RecordBatch]:
     width = len(_terms(items).hashes)
     total, n = np.zeros(width, np.int64), 0
     for passage, term, some in _passages(batches, items):
-        pair = np.unique(passage * width + term)
-        total += np.bincount(pair % width, minlength=width)
+        order = _by_term(term, width)  # passages stay in order within a term
+        passage, term = passage[order], term[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (passage[1:] != passage[:-1])
+        total += np.bincount(term[new], minlength=width)
         n += some
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *total[some].tolist()], pa.int64())], names=["term", "n"])
@@ -145,7 +152,7 @@ def _sketch(batches, items: Items, idf: bytes, columns: int) -> Iterator[pa.Reco
             p, t, v = passage[lo : lo + 200_000], term[lo : lo + 200_000], value[lo : lo + 200_000, None]
             begin = np.flatnonzero(np.diff(p, prepend=-1))
             y = np.add.reduceat(omega[t] * v, begin)
-            order = np.argsort(t.astype(np.int32), kind="stable")
+            order = _by_term(t, width)
             own = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(p)))[order]
             t = t[order]
             cut = np.flatnonzero(np.diff(t, prepend=-1))
@@ -218,11 +225,14 @@ def _opened(items: Items, space: Space):
     size = np.array([min(SIZES, key=lambda s: abs(s - len(w))) for w in own])
     scales = [(s, np.flatnonzero(size == s), latent[size == s].T.copy()) for s in SIZES if (size == s).any()]
     answers = [np.frombuffer(a, np.uint64) for a in items.answers]
-    return terms, np.concatenate([project, np.zeros((1, space.rank), np.float32)]), own, answers, scales
+    used = np.zeros((len(own), len(terms.hashes) + 1), bool)  # the last column, also -1, is for other words
+    for k, w in enumerate(own):
+        used[k, np.searchsorted(terms.hashes, w)] = True
+    return terms, np.concatenate([project, np.zeros((1, space.rank), np.float32)]), own, answers, scales, used
 
 
 def _search(batches, items: Items, space: Space, cosine: float, copied: float, paraphrased: float, answered: float) -> Iterator[pa.RecordBatch]:
-    terms, project, own, answers, scales = _opened(items, space)
+    terms, project, own, answers, scales, used = _opened(items, space)
     for batch, raw, ends in parts(batches, 2 << 20):
         h, first = word_hashes(raw, ends)
         term = terms.number(h)
@@ -237,8 +247,7 @@ def _search(batches, items: Items, space: Space, cosine: float, copied: float, p
         if len(begin):
             np.cumsum(np.add.reduceat(project[term], begin), axis=0, out=sums[1:], dtype=np.float64)
         owner = np.repeat(np.arange(len(count)), blocks)
-        best: dict[tuple[int, int], float] = {}
-        spans: dict[tuple[int, int], list[int]] = {}
+        hits: list[np.ndarray] = [np.zeros((3, 0))]  # row and item, first block, cosine
         for size, which, latent in scales:
             n = size // STEP
             start = np.arange(int(base[-1]))
@@ -252,22 +261,29 @@ def _search(batches, items: Items, space: Space, cosine: float, copied: float, p
                 norm = np.sqrt(np.einsum("ij,ij->i", v, v))
                 near = v @ latent
                 w, i = np.nonzero(near >= cosine * np.maximum(norm, 1e-6)[:, None])
-                for x, y, c in zip(w.tolist(), i.tolist(), (near[w, i] / norm[w]).tolist()):
-                    key = (int(owner[a[x]]), int(which[y]))
-                    best[key] = max(best.get(key, 0.0), c)
-                    spans.setdefault(key, []).append(int(a[x]))
+                hits.append(np.stack([owner[a[w]] * len(own) + which[i], a[w], near[w, i] / norm[w]]))
+        key, at, near = np.concatenate(hits, axis=1)
+        order = np.lexsort((at, key))
+        key, at, near = key[order].astype(np.int64), at[order].astype(np.int64), near[order]
+        cut = np.flatnonzero(np.diff(key, prepend=-1))
+        top = np.maximum.reduceat(near, cut) if len(cut) else near
         out: list[tuple] = []
         docs = batch.column("doc_id")
-        for (r, i), at in spans.items():
-            item, answer, found = own[i], answers[i], (0, False)
+        for lo_at, hi_at, c in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], top.tolist()):
+            r, i = divmod(int(key[lo_at]), len(own))
+            item, found = own[i], (0, False)
             reach = 2 * len(item) + 2 * STEP
-            for lo, hi in _joined(sorted((x - base[r]) * STEP for x in at), reach):
-                text = h[first[r] + max(0, lo - len(item) // 2 - STEP) : min(first[r + 1], first[r] + hi + reach)]
+            for lo, hi in _joined(((at[lo_at:hi_at] - base[r]) * STEP).tolist(), reach):
+                lo, hi = first[r] + max(0, lo - len(item) // 2 - STEP), min(first[r + 1], first[r] + hi + reach)
+                # only words of the item can be in a common subsequence
+                text = h[lo:hi][used[i][term[lo:hi]]]
+                if len(text) < paraphrased * len(item):
+                    continue
                 shared = lcs(item, text)
                 if shared >= paraphrased * len(item):
-                    found = max(found, (shared, lcs(answer, text) >= answered * len(answer)))
+                    found = max(found, (shared, lcs(answers[i], text) >= answered * len(answers[i])))
             if found[0] >= copied * len(item) or (found[0] >= paraphrased * len(item) and found[1]):
-                out.append((docs[r].as_py(), items.ids[i], best[r, i], found[0] / len(item), found[1]))
+                out.append((docs[r].as_py(), items.ids[i], c, found[0] / len(item), found[1]))
         columns = list(zip(*out)) or [[], [], [], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))],
@@ -287,7 +303,7 @@ def _joined(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, rank: int = 48, cosine: float = 0.7, copied: float = 0.7, paraphrased: float = 0.5, answered: float = 0.75, least: int = 8, block: int = 2000
+    docs: DataFrame, benchmark: DataFrame, *, rank: int = 32, cosine: float = 0.75, copied: float = 0.7, paraphrased: float = 0.6, answered: float = 0.75, least: int = 8, block: int = 1000
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): the items (item_id, text) that documents hold.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, line_dedup, near_dup, quality, toxicity
+from . import decontam, language, line_dedup, near_dup, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op7_minhash_near_dup(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_latent_decontamination")
 def op9_latent_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(documents(spark, d))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, line_dedup, near_dup, quality, suffix_dedup, toxicity
+from . import decontam, language, licenses, line_dedup, near_dup, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op9_latent_decontamination(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.repeat_digests(documents(spark, d))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(documents(spark, d))

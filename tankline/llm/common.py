@@ -152,3 +152,10 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, max_labels: int =
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["count"]))))
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     return df.filter(spot < F.try_element_at(share, F.col(label))).limit(2 * per_label * len(counts))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """``docs`` as (doc, row): all columns in one struct, so that none can clash, and the row's key."""
+    own = {c: docs[f"`{c}`"] for c in docs.columns}
+    key = F.xxhash64(F.lit(17), own.get("doc_id", F.lit(None)).cast("long"), own.get("text", F.lit(None)).cast("string"))
+    return docs.select(F.struct(*(c.alias(n) for n, c in own.items())).alias("doc"), key.alias("row"))

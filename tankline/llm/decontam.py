@@ -24,10 +24,10 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, parts, plain, words
+from .common import LETTER, Rolling, parts, plain, slices, text_arrays, words
 from .language import folded
 
 PASSAGE, STEP = 32, 4
@@ -231,64 +231,86 @@ def _opened(items: Items, space: Space):
     return terms, np.concatenate([project, np.zeros((1, space.rank), np.float32)]), own, answers, scales, used
 
 
-def _search(batches, items: Items, space: Space, cosine: float, copied: float, paraphrased: float, answered: float) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Limits:
+    cosine: float = 0.75
+    copied: float = 0.7
+    paraphrased: float = 0.6
+    answered: float = 0.75
+
+
+def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, limits: Limits) -> list[tuple]:
+    """(row, item id, cosine, share of the subsequence, answer held) for the items that rows hold, by row."""
     terms, project, own, answers, scales, used = _opened(items, space)
-    for batch, raw, ends in parts(batches, 2 << 20):
-        h, first = word_hashes(raw, ends)
-        term = terms.number(h)
-        count = np.diff(first)
-        # blocks of STEP words, rows apart from each other
-        blocks = -(-count // STEP)
-        base = np.concatenate([[0], np.cumsum(blocks)])
-        row = np.repeat(np.arange(len(count)), count)
-        block = base[row] + (np.arange(len(h)) - first[row]) // STEP
-        begin = np.flatnonzero(np.diff(block, prepend=-1))
-        sums = np.zeros((int(base[-1]) + 1, space.rank))
-        if len(begin):
-            np.cumsum(np.add.reduceat(project[term], begin), axis=0, out=sums[1:], dtype=np.float64)
-        owner = np.repeat(np.arange(len(count)), blocks)
-        hits: list[np.ndarray] = [np.zeros((3, 0))]  # row and item, first block, cosine
-        for size, which, latent in scales:
-            n = size // STEP
-            start = np.arange(int(base[-1]))
-            stop = np.minimum(start + n, base[owner + 1]) if len(start) else start
-            # a window that the end of its text cuts short adds nothing unless it is the first
-            keep = (start + n <= stop) | (start == base[owner] if len(start) else start)
-            start, stop = start[keep], stop[keep]
-            for lo in range(0, len(start), 50_000):
-                a, b = start[lo : lo + 50_000], stop[lo : lo + 50_000]
-                v = (sums[b] - sums[a]).astype(np.float32)
-                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-                near = v @ latent
-                w, i = np.nonzero(near >= cosine * np.maximum(norm, 1e-6)[:, None])
-                hits.append(np.stack([owner[a[w]] * len(own) + which[i], a[w], near[w, i] / norm[w]]))
-        key, at, near = np.concatenate(hits, axis=1)
-        order = np.lexsort((at, key))
-        key, at, near = key[order].astype(np.int64), at[order].astype(np.int64), near[order]
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
-        top = np.maximum.reduceat(near, cut) if len(cut) else near
-        out: list[tuple] = []
-        docs = batch.column("doc_id")
-        for lo_at, hi_at, c in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], top.tolist()):
-            r, i = divmod(int(key[lo_at]), len(own))
-            item, found = own[i], (0, False)
-            reach = 2 * len(item) + 2 * STEP
-            for lo, hi in _joined(((at[lo_at:hi_at] - base[r]) * STEP).tolist(), reach):
-                lo, hi = first[r] + max(0, lo - len(item) // 2 - STEP), min(first[r + 1], first[r] + hi + reach)
-                # only words of the item can be in a common subsequence
-                text = h[lo:hi][used[i][term[lo:hi]]]
-                if len(text) < paraphrased * len(item):
-                    continue
-                shared = lcs(item, text)
-                if shared >= paraphrased * len(item):
-                    found = max(found, (shared, lcs(answers[i], text) >= answered * len(answers[i])))
-            if found[0] >= copied * len(item) or (found[0] >= paraphrased * len(item) and found[1]):
-                out.append((docs[r].as_py(), items.ids[i], c, found[0] / len(item), found[1]))
-        columns = list(zip(*out)) or [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))],
-            names=["doc_id", "item_id", "cosine", "lcs", "answer"],
-        )
+    h, first = word_hashes(raw, ends)
+    term = terms.number(h)
+    count = np.diff(first)
+    # blocks of STEP words, rows apart from each other
+    blocks = -(-count // STEP)
+    base = np.concatenate([[0], np.cumsum(blocks)])
+    row = np.repeat(np.arange(len(count)), count)
+    block = base[row] + (np.arange(len(h)) - first[row]) // STEP
+    begin = np.flatnonzero(np.diff(block, prepend=-1))
+    sums = np.zeros((int(base[-1]) + 1, space.rank))
+    if len(begin):
+        np.cumsum(np.add.reduceat(project[term], begin), axis=0, out=sums[1:], dtype=np.float64)
+    owner = np.repeat(np.arange(len(count)), blocks)
+    hits: list[np.ndarray] = [np.zeros((3, 0))]  # row and item, first block, cosine
+    for size, which, latent in scales:
+        n = size // STEP
+        start = np.arange(int(base[-1]))
+        stop = np.minimum(start + n, base[owner + 1]) if len(start) else start
+        # a window that the end of its text cuts short adds nothing unless it is the first
+        keep = (start + n <= stop) | (start == base[owner] if len(start) else start)
+        start, stop = start[keep], stop[keep]
+        for lo in range(0, len(start), 50_000):
+            a, b = start[lo : lo + 50_000], stop[lo : lo + 50_000]
+            v = (sums[b] - sums[a]).astype(np.float32)
+            norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+            near = v @ latent
+            w, i = np.nonzero(near >= limits.cosine * np.maximum(norm, 1e-6)[:, None])
+            hits.append(np.stack([owner[a[w]] * len(own) + which[i], a[w], near[w, i] / norm[w]]))
+    key, at, near = np.concatenate(hits, axis=1)
+    order = np.lexsort((at, key))
+    key, at, near = key[order].astype(np.int64), at[order].astype(np.int64), near[order]
+    cut = np.flatnonzero(np.diff(key, prepend=-1))
+    top = np.maximum.reduceat(near, cut) if len(cut) else near
+    out: list[tuple] = []
+    for lo_at, hi_at, c in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], top.tolist()):
+        r, i = divmod(int(key[lo_at]), len(own))
+        item, found = own[i], (0, False)
+        reach = 2 * len(item) + 2 * STEP
+        for lo, hi in _joined(((at[lo_at:hi_at] - base[r]) * STEP).tolist(), reach):
+            lo, hi = first[r] + max(0, lo - len(item) // 2 - STEP), min(first[r + 1], first[r] + hi + reach)
+            # only words of the item can be in a common subsequence
+            text = h[lo:hi][used[i][term[lo:hi]]]
+            if len(text) < limits.paraphrased * len(item):
+                continue
+            shared = lcs(item, text)
+            if shared >= limits.paraphrased * len(item):
+                found = max(found, (shared, lcs(answers[i], text) >= limits.answered * len(answers[i])))
+        if found[0] >= limits.copied * len(item) or (found[0] >= limits.paraphrased * len(item) and found[1]):
+            out.append((r, items.ids[i], c, found[0] / len(item), found[1]))
+    return out
+
+
+_HELD = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.bool_())]))
+
+
+def items_of(text: Column, items: Items, space: Space, limits: Limits) -> Column:
+    """Array of what each text holds of a block of items."""
+
+    @F.arrow_udf("array<struct<item_id:bigint,cosine:double,lcs:double,answer:boolean>>")
+    def udf(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in arrays:
+            raw, ends = text_arrays(column)
+            out: list[list] = [[] for _ in range(len(column))]
+            for lo, hi in slices(ends, 2 << 20):
+                for r, *found in held_items(raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], items, space, limits):
+                    out[lo + r].append(dict(zip(("item_id", "cosine", "lcs", "answer"), found)))
+            yield pa.array(out, _HELD)
+
+    return udf(F.coalesce(text, F.lit("")))
 
 
 def _joined(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
@@ -302,27 +324,32 @@ def _joined(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, rank: int = 32, cosine: float = 0.75, copied: float = 0.7, paraphrased: float = 0.6, answered: float = 0.75, least: int = 8, block: int = 1000
-) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer): the items (item_id, text) that documents hold.
+def searches(docs: DataFrame, benchmark: DataFrame, *, rank: int = 32, least: int = 8, block: int = 1000, limits: Limits = Limits()) -> Iterator[Column]:
+    """For each block of items a column that tells what ``text`` holds of it, fitted on ``docs``.
 
-    ``block``: items searched at once; more are searched block after block, each over all documents.
+    ``block``: items searched at once; more are searched block after block.
     """
-    rows, found, items = plain(docs, "doc_id", "text"), [], []
+    rows = plain(docs, "text")
 
-    def search(some: list) -> None:
+    def search(some: list) -> Iterator[Column]:
         own = read_items(some, least)
         if own.ids:
-            space = fit_space(rows, own, rank)
-            found.append(rows.mapInArrow(lambda b: _search(b, own, space, cosine, copied, paraphrased, answered), "doc_id long, item_id long, cosine double, lcs double, answer boolean"))
+            yield items_of(F.col("text"), own, fit_space(rows, own, rank), limits)
 
+    items: list = []
     for r in plain(benchmark, "item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         items.append((r.item_id, r.text))
         if len(items) == block:
-            search(items)
+            yield from search(items)
             items = []
-    search(items)
+    yield from search(items)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer): the items (item_id, text) that documents hold."""
+    rows = plain(docs, "doc_id", "text")
+    found = [rows.select("doc_id", F.explode(held).alias("i")).select("doc_id", "i.*") for held in searches(docs, benchmark, **options)]
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer boolean")
+    # rows, or items, that repeat an id give it once
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))

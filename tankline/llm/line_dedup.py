@@ -92,20 +92,30 @@ def frequent_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = 4, fan
     return runs.frequent()
 
 
-def drop_frequent_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = 4, fan: int = 3) -> DataFrame:
-    """Per row: row_id, doc_id, text (cleaned), n_lines, n_dropped. Rows equal in id and text share a row_id."""
-    rows = plain(docs, "doc_id", "text").select(row_key().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def line_drops(docs: DataFrame, *, min_docs: int = 10, batches: int = 4, fan: int = 3) -> DataFrame:
+    """(row_id, drop): for rows that hold frequent lines, by ``row_key``, the places of these lines."""
     frequent = saved(frequent_lines(docs, min_docs=min_docs, batches=batches, fan=fan), "frequent-lines")
-    lines = rows.select("row_id", F.posexplode(F.transform(F.split("text", "\n"), _hashed)).alias("at", "k")).filter("k is not null")
+    rows = plain(docs, "doc_id", "text").select(row_key().alias("row_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lines = rows.select("row_id", F.posexplode(F.transform("lines", _hashed)).alias("at", "k")).filter("k is not null")
     found = lines.select("row_id", "at", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).join(frequent, ["h1", "h2"], "left_semi")
-    drops = found.groupBy("row_id").agg(F.collect_set("at").alias("drop"))
+    return found.groupBy("row_id").agg(F.collect_set("at").alias("drop"))
+
+
+def without_lines(text: Column, drop: Column) -> Column:
+    """The text without the lines at these places; as it is where they are NULL."""
     kept = let(
-        F.split("text", "\n"),
-        lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop")), lambda i: F.get(ls, i)), "\n"),
+        F.split(text, "\n"),
+        lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop), lambda i: F.get(ls, i)), "\n"),
     )
-    return rows.join(drops, "row_id", "left").select(
+    return F.when(drop.isNull(), text).otherwise(kept)
+
+
+def drop_frequent_lines(docs: DataFrame, **options) -> DataFrame:
+    """Per row: row_id, doc_id, text (cleaned), n_lines, n_dropped. Rows equal in id and text share a row_id."""
+    rows = plain(docs, "doc_id", "text").select(row_key().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(line_drops(docs, **options), "row_id", "left").select(
         "row_id", "doc_id",
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        without_lines(F.col("text"), F.col("drop")).alias("text"),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

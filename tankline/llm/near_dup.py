@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, mix, parts, plain, saved, words
+from .common import LOWER, Rolling, mix, parts, plain, row_key, saved, words
 from .graph import components
 
 SAMPLES, ROWS, BANDS, BITS = 160, 6, 96, 1024
@@ -138,8 +138,8 @@ def _sketched(batches) -> Iterator[pa.RecordBatch]:
             for k, at in enumerate(full):
                 keys[at], sketches[at] = bands[k].tobytes(), odd[k].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[0]), pa.array(h[1]), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
+            [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(h[0]), pa.array(h[1]), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "row", "n", "h1", "h2", "keys", "sketch"],
         )
 
 
@@ -264,19 +264,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    rows = plain(docs, "doc_id", "text")
-    sketched = saved(rows.mapInArrow(_sketched, "doc_id long, n long, h1 long, h2 long, keys binary, sketch binary"), "sketches")
-    small = sketched.select("doc_id", "n", "h1", "h2")
+    """Per row: doc_id, row (its ``row_key``), n_shingles, component_id, kept."""
+    rows = plain(docs, "doc_id", "text").select("doc_id", "text", row_key().alias("row"))
+    sketched = saved(rows.mapInArrow(_sketched, "doc_id long, row long, n long, h1 long, h2 long, keys binary, sketch binary"), "sketches")
+    small = sketched.select("doc_id", "row", "n", "h1", "h2")
     full = small.filter("n > 0")
     kinds = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls")).filter("cls is not null"), "classes")
     reps = kinds.select("h1", "h2", F.col("n").alias("m"), "cls")
     classes = sketched.join(reps, (sketched.doc_id == reps.cls) & (sketched.h1 == reps.h1) & (sketched.h2 == reps.h2), "left_semi").select(F.col("doc_id").alias("cls"), "keys", "sketch").dropDuplicates(["cls", "sketch"])
     pairs = saved(candidates(classes), "pairs")
-    links = confirmed(pairs, rows.filter("doc_id is not null"))
+    links = confirmed(pairs, rows.select("doc_id", "text").filter("doc_id is not null"))
     # an id that has several texts ties their classes together
     member = full.filter("doc_id is not null").join(kinds, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
     groups = saved(components(links.unionByName(member.filter("a <> b"))), "components")
-    out = small.join(kinds, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("doc_id", "cls").alias("node"))
-    named = out.join(groups, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    out = small.join(kinds, ["h1", "h2", "n"], "left").select("doc_id", "row", "n", F.coalesce("doc_id", "cls").alias("node"))
+    named = out.join(groups, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return named.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """(row): keys of the rows to keep, one of each group; of rows that share the least id, one."""
+    found = near_duplicates(docs)
+    # rows without words, and groups without any id, are told apart by their text
+    group = F.struct("component_id", F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.col("row")))
+    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("later"), "doc_id", "row")).alias("first"))
+    return first.select("first.row").distinct()

@@ -62,7 +62,7 @@ def op6_toxicity_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op7_minhash_near_dup")
 def op7_minhash_near_dup(spark: SparkSession, d: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, d))
+    return near_dup.near_duplicates(documents(spark, d)).drop("row")
 
 
 @query("op9_latent_decontamination")

@@ -102,7 +102,7 @@ def _public(df: DataFrame) -> DataFrame:
 
 def time_gap(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add ``dtime_s`` and ``dtime_per_hour``: time since the previous reading of the gap bin."""
-    p = settle(df, p)
+    p = settle(p)
     return _hours(_public(_gaps(_arranged(df, p), p)).drop("voltage_max"))
 
 
@@ -123,7 +123,7 @@ def voltage_filter(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def fuel_diff(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add ``spent_fuel``: change of level since the previous reading of the diff bin."""
-    p = settle(df, p)
+    p = settle(p)
     if p.layout == "slot":
         return _public(_steps(_with_slot(df, p), p))
     rows = add_bin(add_bin(df, "_sensor", p.sensor_s), "_diff", p.diff_s)
@@ -215,19 +215,19 @@ def _labelled(df: DataFrame, p: Params, bin_col: str) -> DataFrame:
 
 def bin_sensor(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Readings -> sensor bins (median level, mean speed, summed steps and gaps)."""
-    p = settle(df, p)
+    p = settle(p)
     return _labelled(_sensor_bins(cleaned(df, p), p), p, "_sensor")
 
 
 def bin_pre(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Readings -> middle bins, before the parked-noise rule."""
-    p = settle(df, p)
+    p = settle(p)
     return _labelled(_pre_bins(_sensor_bins(cleaned(df, p), p), p), p, "_pre")
 
 
 def bin_period(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Readings -> final bins, before travel and consumption are derived."""
-    p = settle(df, p)
+    p = settle(p)
     pre = parked_noise(_pre_bins(_sensor_bins(cleaned(df, p), p), p), p)
     return _labelled(_period_bins(pre, p), p, "_period")
 

@@ -198,10 +198,15 @@ def page(df: DataFrame, order: tuple[str, ...], number: int = 1, size: int = PAG
     keys = [_sort_key(c) for c in order]
     if after is None:
         return df.orderBy(*keys).offset((number - 1) * size).limit(size)
-    if any(c.startswith("-") for c in order):
-        raise ValueError("after needs an ascending order")
-    beyond = F.struct(*order) > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, after)])
-    return df.filter(beyond).orderBy(*keys).limit(size)
+    # rows beyond a key: greater in the first column, or equal in it and beyond in the rest; the bound
+    # on the first column alone is what the scan can use
+    beyond, bound = F.lit(False), None
+    for c, v in reversed(list(zip(order, after))):
+        col, down = F.col(c.lstrip("-")), c.startswith("-")
+        further = col < F.lit(v) if down else col > F.lit(v)
+        beyond = further | ((col == F.lit(v)) & beyond)
+        bound = col <= F.lit(v) if down else col >= F.lit(v)
+    return df.filter(bound & beyond).orderBy(*keys).limit(size)
 
 
 def first_row(df: DataFrame, tables: dict, name: str) -> DataFrame:
@@ -222,31 +227,33 @@ def with_parent(df: DataFrame, parent: DataFrame, fk: str, how: str = "inner") -
     return df.join(inner, df[fk] == inner["_pk"], how).select(*keep)
 
 
-def nest_children(
-    df: DataFrame, children: DataFrame, key: str, name: str, sort: str = "id", max_items: int = 10_000
-) -> DataFrame:
-    """Attach the child rows as a sorted list of structs; parents without children get an empty one.
+def child_rows(df: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """(id of the parent, child as a struct), one row for each child: the form for parents of any size."""
+    item = [c for c in children.columns if c != key]
+    return children.join(df.select("id"), children[key] == df["id"], "left_semi").select(F.col(key).alias("id"), F.struct(*item).alias(name))
+
 
-    Parents with more than ``max_items`` children come as several rows, numbered by ``part``, with
-    the children dealt out by hash: no list, task or row then has to hold an unbounded group and no
-    child is lost. The usual parent has the single part 0. The exchange on (parent, part) is asked
-    for by name: without it the lists would be built where the join left all children of a parent.
+def nest_children(df: DataFrame, children: DataFrame, key: str, name: str, sort: str = "id", parts: int = 1) -> DataFrame:
+    """Attach the child rows as sorted lists of structs; parents without children get an empty one.
+
+    Every parent has ``parts`` rows, numbered by ``part`` from 0, among which its children are dealt by
+    hash; the caller names their number, whatever the data. With more than one the exchange on
+    (parent, part) is asked for by name: without it the lists would be built where the join left all
+    children of a parent.
     """
     item = [c for c in children.columns if c != key]
-    per_parent = children.groupBy(key).agg(F.count("*").alias("_n"))
-    many = per_parent.filter(F.col("_n") > max_items)
-    many = many.select(key, F.ceil(F.col("_n") / max_items).alias("_parts"))
-    dealt = children.join(many, key, "left").withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64(*item), F.col("_parts")), F.lit(0)).cast("int")
-    )
-    lists = dealt.repartition(F.col(key), F.col("part")).groupBy(key, "part").agg(
+    dealt = children.withColumn("part", F.pmod(F.xxhash64(*item), F.lit(parts)).cast("int"))
+    if parts > 1:
+        dealt = dealt.repartition(F.col(key), F.col("part"))
+    lists = dealt.groupBy(key, "part").agg(
         F.sort_array(F.collect_list(F.struct(sort, *[c for c in item if c != sort]))).alias(name)
     )
     kind = lists.schema[name].dataType
-    out = df.join(lists, df["id"] == lists[key], "left")
+    slots = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else df.withColumn("_part", F.lit(0))
+    out = slots.join(lists, (slots["id"] == lists[key]) & (slots["_part"] == lists["part"]), "left")
     return out.select(
-        *[df[c] for c in df.columns],
-        F.coalesce("part", F.lit(0)).alias("part"),
+        *[slots[c] for c in df.columns],
+        F.col("_part").alias("part"),
         F.coalesce(F.col(name), F.array().cast(kind)).alias(name),
     )
 

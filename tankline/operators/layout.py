@@ -7,32 +7,16 @@
            needs from outside its slice (last earlier reading, best voltage of the hour) comes from
            a table of slice facts that is far smaller than the rows. For fleets where even a single
            slot of one vehicle is too big for a task.
-``auto``   counts rows per (vehicle, slot), reading two columns with map-side pre-aggregation, and
-           takes ``slot`` unless the biggest cell is above ``Params.max_cell_rows``. Name the layout
-           to save the count, which reads text files once more.
+The caller names the layout; ``slot`` is the standard, and both give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.bins import add_bin
 from ..params import Params
 
 
-def largest_cell(df: DataFrame, p: Params) -> int:
-    cells = add_bin(df.select(*p.keys, "timestamp"), "_slot", p.slot_s)
-    counts = cells.groupBy(*p.keys, "_slot").count()
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
-def settle(df: DataFrame, p: Params) -> Params:
-    """Turn ``layout="auto"`` into a fixed choice."""
-    sliceable = not any(w % p.sensor_s for w in (p.pre_s, p.period_s, p.gap_s, p.diff_s))
-    if p.layout == "auto":
-        fits = not sliceable or largest_cell(df, p) <= p.max_cell_rows
-        return p.but(layout="slot" if fits else "slice")
-    if p.layout == "slice" and not sliceable:
+def settle(p: Params) -> Params:
+    """The parameters, if their layout goes with their widths."""
+    if p.layout == "slice" and any(w % p.sensor_s for w in (p.pre_s, p.period_s, p.gap_s, p.diff_s)):
         raise ValueError("the slice layout needs every width to be a multiple of sensor_s")
     return p

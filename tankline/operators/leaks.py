@@ -120,21 +120,26 @@ def _flag_outliers(df: DataFrame, p: Params) -> DataFrame:
     return df.withColumn("is_leak_delta_sp", F.coalesce(outlier, F.lit(False)))
 
 
-def leak_stats(df: DataFrame, p: Params = Params(), grouped: bool = False) -> DataFrame:
+def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag.
 
-    The window keeps a vehicle's rows in one task. ``grouped`` aggregates them map-side and joins
-    the result back instead, for vehicles with more rows than a task should see.
+    Equal values of a vehicle, such as those of equal norms, are counted first; the statistics then
+    take every value with its count. Both aggregations combine map-side, and their result, a row for
+    each vehicle, is joined back: no task has to hold a vehicle's rows.
     """
     df = _with_delta(df)
-    median, std = F.median("delta_sp"), F.stddev_samp("delta_sp")
-    if grouped:
-        stats = df.groupBy(*p.keys).agg(median.alias("delta_sp_median"), std.alias("delta_sp_std"))
-        return _flag_outliers(df.join(stats, p.keys), p)
-    car = Window.partitionBy(*p.keys)
-    return _flag_outliers(
-        df.withColumns({"delta_sp_median": median.over(car), "delta_sp_std": std.over(car)}), p
+    keys = [F.col(k) for k in p.keys]
+    counted = df.groupBy(*keys, "delta_sp").agg(F.count("*").alias("_n"))
+    x, n = F.col("delta_sp"), F.when(F.col("delta_sp").isNotNull(), F.col("_n"))
+    sums = counted.groupBy(*keys).agg(
+        F.percentile("delta_sp", 0.5, F.col("_n")).alias("delta_sp_median"),
+        F.sum(n).alias("_count"), (F.sum(x * n) / F.sum(n)).alias("_mean"),
     )
+    # deviations from the mean, not a difference of large sums
+    spread = counted.join(sums.select(*p.keys, "_mean"), p.keys).groupBy(*keys).agg(F.sum((x - F.col("_mean")) * (x - F.col("_mean")) * n).alias("_square"))
+    std = F.when(F.col("_count") > 1, F.sqrt(F.col("_square") / (F.col("_count") - 1)))
+    stats = sums.join(spread, p.keys).select(*p.keys, "delta_sp_median", std.alias("delta_sp_std"))
+    return _flag_outliers(df.join(stats, p.keys), p)
 
 
 def _neighbours(df: DataFrame, p: Params) -> DataFrame:
@@ -172,11 +177,6 @@ def tank_steps(df: DataFrame, p: Params = Params()) -> DataFrame:
     return _tank(_neighbours(df, p), many=False)
 
 
-def most_norms(norms: DataFrame) -> int:
-    """Norms of the vehicle that has the most."""
-    return norms.groupBy("sl_avto").count().agg(F.max("count")).first()[0] or 0
-
-
 def _mark_ends(norms: DataFrame) -> DataFrame:
     """Mark each vehicle's first and last norm. Both come from an aggregate that combines map-side,
     so a long norm history is never sorted in one task."""
@@ -198,17 +198,16 @@ def detect_leaks(
 
     ``sigma=False, drop_null_engine=True`` gives the plain variant without per-vehicle statistics.
 
-    The vehicle's window runs before the norms multiply its rows. The statistics after that use the
-    same exchange and sort, unless some vehicle has more than ``p.max_norms`` norms.
+    The vehicle's window runs before the norms multiply its rows; nothing after that needs a vehicle's
+    rows together.
     """
-    norms_per_car = most_norms(norms) if policy == "fanout" else 1
-    many = norms_per_car > 1
+    many = policy == "fanout"
     df = attach_norms(_neighbours(consumed(df), p), _mark_ends(norms) if many else norms, policy)
     df = leak_volume(season_norm(df, p), p)
     if drop_null_engine:
         df = df.dropna(subset=["sl_tip_dvigat"])
     if sigma:
-        df = leak_stats(df, p, grouped=norms_per_car > p.max_norms)
+        df = leak_stats(df, p)
     return _tank(df, many)
 
 

@@ -76,17 +76,22 @@ def missing_cars(detected: DataFrame, cars: DataFrame, org: str) -> DataFrame:
 
 def load_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split incoming norms (car, winter_norm, summer_norm, due) into rows for the norm table and
-    rejects whose vehicle the tenant does not have. A missing norm becomes -1."""
+    rejects: those whose vehicle the tenant does not have, and those with a due date that can't be
+    read. A missing norm becomes -1, a missing date NULL. The file order ``seq`` comes along."""
     own = cars if org is None else cars.filter(F.col("organization") == org)
-    own = own.select(F.col("id").alias("car"))
-    norms = norms.withColumn("car", F.col("car").cast("string"))
-    accepted = norms.join(own, "car", "left_semi").select(
+    own = own.select(F.col("id").alias("car"), F.lit(True).alias("_own"))
+    marked = norms.withColumn("car", F.col("car").cast("string")).join(own, "car", "left")
+    period = F.col("due").try_cast("timestamp_ntz").cast("date")
+    given = F.coalesce(F.length(F.trim("due")) > 0, F.lit(False))
+    fits = F.col("_own").isNotNull() & (period.isNotNull() | ~given)
+    accepted = marked.filter(fits).select(
         "car",
         F.coalesce(F.col("winter_norm").cast("double"), F.lit(-1.0)).alias("winter_volume"),
         F.coalesce(F.col("summer_norm").cast("double"), F.lit(-1.0)).alias("summer_volume"),
-        F.col("due").try_cast("timestamp_ntz").cast("date").alias("valid_period"),
+        period.alias("valid_period"),
+        *(["seq"] if "seq" in norms.columns else []),
     )
-    return accepted, norms.join(own, "car", "left_anti")
+    return accepted, marked.filter(~fits).select(*norms.columns)
 
 
 def update_where(df: DataFrame, cond: Column, **values) -> DataFrame:

@@ -30,17 +30,14 @@ class Params:
     idle_rate: dict = field(default_factory=lambda: {0: 1.17 / 6, 1: 1 / 6}, hash=False)
     # extra key columns: readings never meet across different values of these
     scope: tuple[str, ...] = ()
-    # "slot", "slice" or "auto"; see operators/layout.py
-    layout: str = "auto"
-    max_cell_rows: int = 20_000_000
-    # norms of one vehicle up to which its statistics stay in one task
-    max_norms: int = 1_000
+    # "slot" or "slice"; see operators/layout.py
+    layout: str = "slot"
 
     def __post_init__(self):
         widths = (self.sensor_s, self.pre_s, self.period_s, self.gap_s, self.diff_s)
         if any(w <= 0 or w != int(w) for w in widths):
             raise ValueError("bin widths must be positive whole seconds")
-        if self.layout not in ("auto", "slot", "slice"):
+        if self.layout not in ("slot", "slice"):
             raise ValueError(f"unknown layout {self.layout!r}")
 
     @classmethod

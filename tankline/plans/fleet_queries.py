@@ -118,7 +118,7 @@ def _load_norms(spark, d):
     "norm_load",
     f"""SELECT CAST(p_partkey AS VARCHAR) AS car, coalesce(CAST(nullif(p_size, 3) AS DOUBLE), -1.0) AS winter_volume,
   round(p_retailprice / 100 + 1.23e-7, 6) + 0.0 AS summer_volume, strftime(try_cast({_DUE} AS DATE), '%Y-%m-%d') AS valid_period
-FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer)""",
+FROM part WHERE p_partkey IN (SELECT c_custkey FROM customer) AND ({_DUE} IS NULL OR try_cast({_DUE} AS DATE) IS NOT NULL)""",
 )
 def norm_load(spark, d):
     return b.plain(_load_norms(spark, d)[0])
@@ -128,7 +128,7 @@ def norm_load(spark, d):
     "norm_rejects",
     f"""SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(nullif(p_size, 3) AS DOUBLE) AS winter_norm,
   round(p_retailprice / 100 + 1.23e-7, 6) + 0.0 AS summer_norm, {_DUE} AS due
-FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
+FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer) OR ({_DUE} IS NOT NULL AND try_cast({_DUE} AS DATE) IS NULL)""",
 )
 def norm_rejects(spark, d):
     return b.plain(_load_norms(spark, d)[1])

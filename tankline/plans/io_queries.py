@@ -1,9 +1,10 @@
 """Queries that write to the shared folder and read back: files, whole upload jobs, streams."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.metrics import POINT_KEY
-from ..schemas import FUEL, SPEED, VOLTAGE, TELEMETRY
+from ..schemas import CARS_FILE, FUEL, SPEED, TELEMETRY, VOLTAGE
 from ..sources import files, sinks
 from ..sources.scratch import fresh_dir
 from ..streaming.bins import stream_bins
@@ -46,7 +47,7 @@ def _cars_over(spark, d, fmt):
         F.lit("0").alias("organization"),
     )
     sinks.export_table(new, path, fmt)
-    return sinks.import_table(spark, path, fmt, b.cars(spark, d))
+    return sinks.import_table(spark, path, fmt, b.cars(spark, d))[0]
 
 
 _IMPORT_SQL = f"""WITH {q.CARS}
@@ -64,29 +65,148 @@ def table_import_json(spark, d):
     return _cars_over(spark, d, "json")
 
 
-@query("table_file_hash")
+@query(
+    "csv_mixed_headers",
+    f"WITH {q.TELEMETRY} SELECT {_READINGS_SQL} FROM tele",
+)
+def csv_mixed_headers(spark, d):
+    """Readings in two folders whose files have their columns in different order, read together."""
+    root = fresh_dir(spark, "csv")
+    rows = b.telemetry(spark, d)
+    other = ["auto", VOLTAGE, SPEED, "timestamp", FUEL]
+    for n, names in ((0, TELEMETRY.names), (1, other)):
+        sinks.snapshot(rows.filter(F.pmod("seq", F.lit(2)) == n).select(*names), f"{root}/{n}")
+    good, _ = files.read_telemetry(spark, [f"{root}/0", f"{root}/1"])
+    return b.plain(good.select(*_READINGS))
+
+
+_ODD_TEXT = "p_name || ' \"' || p_type || '\", ' || chr(10) || p_brand"
+
+
+@query("csv_quoted", f"SELECT CAST(p_partkey AS VARCHAR) AS id, {_ODD_TEXT} AS name FROM part")
+def csv_quoted(spark, d):
+    """Texts with quotes, commas and line breaks, out and in again."""
+    path = fresh_dir(spark, "csv")
+    text = F.concat("p_name", F.lit(' "'), "p_type", F.lit('", \n'), "p_brand")
+    sinks.export_table(b.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), text.alias("name")), path, "csv")
+    good, _ = files.read_table(spark, path, b.cars(spark, d).select("id", "name").schema, "csv")
+    return good.select("id", "name")
+
+
+@query(
+    "cars_file",
+    """SELECT CAST(p_partkey AS VARCHAR) AS guid, CASE WHEN p_partkey % 7 = 1 THEN NULL ELSE p_type END AS description,
+  CASE WHEN p_partkey % 7 IN (1, 2) THEN NULL ELSE CAST(p_size AS DOUBLE) END AS sl_tip_dvigat, p_partkey % 7 = 3 AS rejected FROM part""",
+)
+def cars_file(spark, d):
+    """A vehicle file with short rows (kept), engine types that are no numbers (kept) and long rows (rejects)."""
+    path = fresh_dir(spark, "csv")
+    kind = F.col("p_partkey") % 7
+    cells = [F.col("p_partkey").cast("string"), *(F.lit(x) for x in ("A1", "V1", "make", "model"))]
+    tail = [F.col("p_type"), F.when(kind == 2, "diesel").otherwise(F.col("p_size").cast("string"))]
+    line = F.when(kind == 1, F.concat_ws(",", *cells)).when(kind == 3, F.concat_ws(",", *cells, *tail, F.lit("more"))).otherwise(F.concat_ws(",", *cells, *tail))
+    head = spark.createDataFrame([(",".join(CARS_FILE.names),)], "value string")
+    # each file needs its header: one file
+    head.unionByName(b.table(spark, d, "part").select(line.alias("value"))).coalesce(1).write.text(f"{path}/cars.csv")
+    good, rejects = files.read_cars(spark, path + "/cars.csv")
+    out = good.withColumn("rejected", F.lit(False)).unionByName(
+        rejects.select(*CARS_FILE.names[:-1], F.col("sl_tip_dvigat").cast("double").alias("sl_tip_dvigat"), F.lit(True).alias("rejected"))
+    )
+    return out.select("guid", "description", "sl_tip_dvigat", "rejected")
+
+
+@query(
+    "norms_file",
+    """SELECT CAST(p_partkey AS VARCHAR) AS sl_avto, CASE WHEN p_partkey % 5 = 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS norma_rasx,
+  p_partkey % 5 = 1 AS rejected FROM part""",
+)
+def norms_file(spark, d):
+    """A norm file in which some norms are no numbers."""
+    path = fresh_dir(spark, "csv")
+    size = F.when(F.col("p_partkey") % 5 == 1, "many").otherwise(F.col("p_size").cast("string"))
+    rows = b.table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("sl_avto"), F.lit("p").alias("period"), size.alias("norma_rasx"),
+        F.col("p_type").alias("vid_norm_rasx"), F.lit("2025-01-01").alias("deystvuet_do"),
+    )
+    sinks.export_table(rows, path, "csv")
+    good, rejects = files.read_norms(spark, path)
+    return good.select("sl_avto", "norma_rasx", F.lit(False).alias("rejected")).unionByName(
+        rejects.select("sl_avto", F.lit(None).cast("double").alias("norma_rasx"), F.lit(True).alias("rejected"))
+    )
+
+
+@query(
+    "fleet_file",
+    """SELECT CAST(p_partkey AS VARCHAR) AS guid, p_name AS name, CAST(p_size AS DOUBLE) AS winter_norm, strftime(DATE '2025-01-01', '%Y-%m-%d') AS due FROM part""",
+)
+def fleet_file(spark, d):
+    """The merged table written as CSV, in another order of columns, and read."""
+    path = fresh_dir(spark, "csv")
+    rows = b.table(spark, d, "part").select(
+        F.lit("2025-01-01").alias("due"), (F.col("p_partkey") % 2).alias("engine_type"), F.col("p_name").alias("name"),
+        F.col("p_size").alias("winter_norm"), F.lit(None).cast("double").alias("summer_norm"), F.col("p_type").alias("description"),
+        F.col("p_partkey").cast("string").alias("guid"),
+    )
+    sinks.export_table(rows, path, "csv")
+    good, _ = files.read_fleet(spark, path)
+    return good.select("guid", "name", "winter_norm", "due")
+
+
+@query(
+    "import_repeated_id",
+    """SELECT CAST(p_size AS VARCHAR) AS id, max_by(p_name, p_partkey) AS name, CAST(max(p_partkey) AS DOUBLE) AS engine_type
+FROM part GROUP BY p_size""",
+)
+def import_repeated_id(spark, d):
+    """A file in which most ids repeat: the last row of each counts."""
+    path = fresh_dir(spark, "csv")
+    rows = b.table(spark, d, "part").orderBy("p_partkey").select(
+        F.col("p_size").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("").alias("description"),
+        F.col("p_partkey").cast("double").alias("engine_type"), F.lit("0").alias("organization"),
+    )
+    sinks.export_table(rows.coalesce(1), path, "csv")
+    out, _ = sinks.import_table(spark, path, "csv", b.cars(spark, d).filter("false"))
+    return out.select("id", "name", "engine_type")
+
+
+@query(
+    "table_file_hash",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS file, CAST(strlen(n_name) + 1 AS BIGINT) AS size, sha256(n_name || chr(10)) AS file_hash FROM nation""",
+)
 def table_file_hash(spark, d):
-    """Size and digest of the files the tables are stored in."""
-    out = files.hash_files(spark, f"{d.rstrip('/')}/*.parquet")
-    return out.withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
+    """A file for each nation, in a folder whose name has a blank and signs that mean something in a URI."""
+    path = fresh_dir(spark, "files") + "/a b%20#c"
+    names = b.table(spark, d, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("nation"))
+    names.write.partitionBy("nation").text(path)
+    out = files.hash_files(spark, path.replace("%", "?").replace("#", "?") + "/nation=*/*.txt")
+    return out.select(F.regexp_extract("path", "nation=([0-9]+)", 1).alias("file"), "size", "file_hash")
 
 
 @query(
     "fleet_load",
-    """SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(p_size AS DOUBLE) AS winter_volume, CAST(-1 AS DOUBLE) AS summer_volume
-FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)""",
+    """WITH new AS (SELECT CAST(p_partkey AS VARCHAR) AS car, CAST(p_size AS DOUBLE) AS winter_volume, CAST(-1 AS DOUBLE) AS summer_volume,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '2025-01-01' END AS valid_period
+FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) AND p_partkey % 3 <> 1),
+allof AS (SELECT * FROM new UNION ALL
+  SELECT CAST(c_custkey AS VARCHAR), CAST(10 + c_custkey % 5 AS DOUBLE), CAST(8 + c_custkey % 4 AS DOUBLE), '2024-12-31' FROM customer)
+SELECT car, winter_volume, summer_volume, valid_period, true AS all_ids_differ FROM allof""",
 )
 def fleet_load(spark, d):
-    """A tenant's merged file: norms are taken for its own and its new vehicles only."""
+    """A tenant's merged file, loaded twice over the stored norms: its own and its new vehicles only,
+    dates that can't be read left out, missing ones NULL, every norm once and with an id of its own."""
     fleet = b.table(spark, d, "part").select(
         F.col("p_partkey").cast("string").alias("guid"), F.col("p_name").alias("name"),
         F.col("p_type").alias("description"), F.col("p_size").cast("double").alias("winter_norm"),
-        F.lit(None).cast("double").alias("summer_norm"), F.lit("2025-01-01").alias("due"),
+        F.lit(None).cast("double").alias("summer_norm"),
+        F.when(F.col("p_partkey") % 3 == 1, "2025-13-45").when(F.col("p_partkey") % 3 == 2, "2025-01-01").alias("due"),
         (F.col("p_partkey") % 2).cast("double").alias("engine_type"), F.col("p_partkey").alias("seq"),
     )
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
-    loaded, _ = load_fleet(fleet, {**tables, "car_consumption": tables["car_consumption"].filter("false")}, "3")
-    return loaded["car_consumption"].select("car", "winter_volume", "summer_volume")
+    for _ in range(2):
+        tables, _ = load_fleet(fleet, tables, "3", "f1")
+    out = tables["car_consumption"]
+    alone = F.count("*").over(Window.partitionBy("id")) == 1
+    return out.select("car", "winter_volume", "summer_volume", F.col("valid_period").cast("string").alias("valid_period"), alone.alias("all_ids_differ"))
 
 
 # ---- upload jobs --------------------------------------------------------------------------------
@@ -108,7 +228,7 @@ def upload_reports(spark, d):
     out = fresh_dir(spark, "upload")
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
     for _ in range(2):
-        paths = run_upload(spark, b.telemetry(spark, d), tables, out, P, upload_id="u1")
+        paths = run_upload(spark, b.telemetry(spark, d), tables, out, P, upload_id="u 1%", load_seq=1)
     return _report_rows(sinks.read_reports(spark, paths["reports"]))
 
 
@@ -119,11 +239,15 @@ def upload_reports(spark, d):
 FROM series JOIN customer ON auto = CAST(c_custkey AS VARCHAR)""",
 )
 def upload_metrics(spark, d):
-    """The stored points of two uploads with the same readings."""
+    """The stored points of two uploads over the same vehicles and times, named against their order;
+    the first one's levels are not the last one's."""
     out = fresh_dir(spark, "upload")
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
-    for n in (1, 2):
-        paths = run_upload(spark, b.telemetry(spark, d), tables, out, P, upload_id=f"u{n}", load_seq=n)
+    for n, name in ((1, "u9"), (2, "u10")):
+        rows = b.telemetry(spark, d)
+        if n == 1:
+            rows = rows.withColumn(FUEL, F.when(F.col(FUEL) <= 4096, F.col(FUEL) / 2).otherwise(F.col(FUEL)))
+        paths = run_upload(spark, rows, tables, out, P, upload_id=name, load_seq=n)
     return b.plain(sinks.read_metrics(spark, paths["metrics"]).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
 
 

@@ -14,7 +14,8 @@ from ..operators.uploads import advance, pending_uploads
 from ..operators.upsert import load_norms, upsert_cars
 from ..params import Params
 from ..sources.files import read_telemetry
-from ..sources.sinks import write_metrics, write_partitions
+from ..sources.scratch import fresh_dir
+from ..sources.sinks import folder, write_metrics, write_partitions
 
 
 def run_upload(
@@ -25,7 +26,7 @@ def run_upload(
     p: Params = Params(),
     org: str | None = None,
     upload_id: str | None = None,
-    load_seq: int = 0,
+    load_seq: int | None = None,
     mode: str = "overwrite",
     **detection,
 ) -> dict[str, str]:
@@ -34,6 +35,9 @@ def run_upload(
     ``telemetry`` is a path, whose rejected rows are stored too, or a frame. Without ``upload_id``
     the frame must have that column: many uploads then run as one job, each with its own statistics.
 
+    ``load_seq`` says which load is later: of a metric point written by several, that of the greatest
+    one counts. Without it the frame must have that column, one value for each upload.
+
     The tenant is ``org``, else the frame's column ``organization``, else that of the vehicle; in
     the last case points of unknown vehicles go to the tenant "unknown".
 
@@ -49,24 +53,28 @@ def run_upload(
             write_partitions(bad.withColumn("upload_id", F.lit(upload_id)), paths["rejects"], ["upload_id"], fixed)
     if fixed:
         telemetry = telemetry.withColumn("upload_id", F.lit(upload_id))
-    scope = [c for c in ("organization", "upload_id") if c == "upload_id" or (org is None and c in telemetry.columns)]
+    if load_seq is not None:
+        telemetry = telemetry.withColumn("load_seq", F.lit(load_seq).cast("long"))
+    elif "load_seq" not in telemetry.columns:
+        raise ValueError("a load needs load_seq, or readings with that column")
+    scope = [c for c in ("organization", "upload_id", "load_seq") if c != "organization" or (org is None and c in telemetry.columns)]
     p = p.but(scope=tuple(dict.fromkeys([*p.scope, *scope])))
 
     series = preprocess(normalise(telemetry, p), p)
-    load = f"{paths['series']}/load={upload_id or load_seq}"
+    load = f"{paths['series']}/{folder('load', upload_id)}" if fixed else fresh_dir(spark, "series")
     series.write.mode("overwrite").parquet(load)
     series = spark.read.schema(series.schema).parquet(load)
 
     cars = org_cars(tables["car"], org)
     if org is not None:
-        points, target = metric_points(series, org, "upload_id"), {"organization": org, **fixed}
+        points, target = metric_points(series, org, "upload_id", "load_seq"), {"organization": org, **fixed}
     else:
         owned = series
         if "organization" not in series.columns:
             owned = series.join(cars.select(F.col("id").alias("auto"), "organization"), "auto", "left")
-        points = metric_points(owned, F.coalesce("organization", F.lit("unknown")), "upload_id")
+        points = metric_points(owned, F.coalesce("organization", F.lit("unknown")), "upload_id", "load_seq")
         target = {}
-    write_metrics(points.withColumn("load_seq", F.lit(load_seq).cast("long")), paths["metrics"], target)
+    write_metrics(points, paths["metrics"], target)
 
     norms = norm_columns(tables["car_consumption"])
     detected = detect_leaks(attach_cars(series, cars), norms, p, **detection)
@@ -81,13 +89,13 @@ def run_pending(
     tables: dict[str, DataFrame],
     out: str,
     p: Params = Params(),
-    load_seq: int = 0,
+    load_seq: int | None = None,
     **detection,
 ) -> DataFrame:
     """Process the next waiting upload of every tenant that is ready, all in one job.
 
-    ``readings`` holds the raw rows of the uploads with their ``upload_id``. Returns the upload table
-    with the processed ones completed.
+    ``readings`` holds the raw rows of the uploads with their ``upload_id``. A later run has a
+    greater ``load_seq``. Returns the upload table with the processed ones completed.
     """
     following = pending_uploads(uploads).select(F.col("id").alias("upload_id"), "organization")
     mine = readings.drop("organization").join(following, "upload_id", "inner")
@@ -97,14 +105,19 @@ def run_pending(
 
 
 def load_fleet(
-    fleet: DataFrame, tables: dict[str, DataFrame], org: str
+    fleet: DataFrame, tables: dict[str, DataFrame], org: str, upload_id: str
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Take a merged fleet table into the vehicle and norm tables. Returns the new tables and the
-    norm rows whose vehicle belongs to somebody else."""
+    norm rows whose vehicle belongs to somebody else or whose date can't be read.
+
+    A norm's id tells its upload and its place in the file, so an upload loaded again adds nothing and
+    the same norm in another upload is another row.
+    """
     cars, norms = split_fleet(fleet)
     known = upsert_cars(tables["car"], cars, org)
     accepted, rejected = load_norms(norms, known, org)
-    identity = F.concat_ws("|", "car", "winter_volume", "summer_volume", F.col("valid_period").cast("string"))
+    identity = F.to_json(F.struct(F.lit(upload_id).alias("upload"), "seq", "car"))
     accepted = accepted.withColumn("id", F.sha2(identity, 256))
-    consumption = tables["car_consumption"].unionByName(accepted.select(*tables["car_consumption"].columns))
-    return {**tables, "car": known, "car_consumption": consumption}, rejected
+    stored = tables["car_consumption"]
+    new = accepted.select(*stored.columns).join(stored.select("id"), "id", "left_anti")
+    return {**tables, "car": known, "car_consumption": stored.unionByName(new)}, rejected

@@ -12,9 +12,17 @@ from pyspark.sql import types as T
 from ..operators.metrics import POINT_KEY
 from ..operators.upsert import latest_wins, upsert
 from ..schemas import METRICS, TABLES
-from .files import read_table
+from .files import QUOTES, read_table
 
-_SAFE = re.compile(r"[A-Za-z0-9_.\-]+")
+
+# The characters that partition folders hold as a percent sign and two digits.
+_ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
+def folder(key: str, value) -> str:
+    """Folder of a partition, with the value written as Spark's reader undoes it."""
+    text = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", "" if value is None else str(value))
+    return f"{key}={text or '__HIVE_DEFAULT_PARTITION__'}"
 
 
 def write_partitions(
@@ -29,8 +37,8 @@ def write_partitions(
     adds to them). Where all rows share the ``fixed`` partition values that one partition is
     replaced as a whole, also by nothing. Rows are ordered by ``sort`` inside each file."""
     fixed = fixed or {}
-    if [*fixed] == by and all(_SAFE.fullmatch(str(v)) for v in fixed.values()):
-        path = "/".join([path, *[f"{k}={v}" for k, v in fixed.items()]])
+    if [*fixed] == by:
+        path = "/".join([path, *[folder(k, v) for k, v in fixed.items()]])
         one = df.sortWithinPartitions(*sort) if sort else df
         one.drop(*by).write.mode(mode).parquet(path)
         return
@@ -43,7 +51,7 @@ def write_partitions(
 
 
 def write_metrics(points: DataFrame, path: str, fixed: dict | None = None) -> None:
-    """Store points (with upload_id and load_seq). A point written again by a later upload wins when
+    """Store points (with upload_id and load_seq). A point written again by a later load wins when
     read; no stored file is rewritten. Files are sorted, so a vehicle's points share row groups and
     a query for it skips the others."""
     write_partitions(points, path, ["organization", "upload_id"], fixed, sort=("auto", "timestamp"))
@@ -80,7 +88,7 @@ def export_table(df: DataFrame, path: str, fmt: str) -> None:
     df = df.withColumns({c: F.col(c).cast("string") for c in times})
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **QUOTES).csv(path)
     else:
         writer.json(path)
 
@@ -92,7 +100,9 @@ def snapshot(df: DataFrame, path: str) -> None:
 
 def import_table(
     spark: SparkSession, path: str, fmt: str, existing: DataFrame, key: str = "id"
-) -> DataFrame:
-    """Existing rows with those of the file put in or over them, by ``key``."""
-    incoming = read_table(spark, path, existing.schema, fmt)
-    return upsert(existing, incoming, [key])
+) -> tuple[DataFrame, DataFrame]:
+    """Existing rows with those of the file put in or over them, by ``key``; of a key that repeats in
+    the file the last row counts. Returns the table and the rejects."""
+    incoming, rejects = read_table(spark, path, existing.schema, fmt)
+    both = upsert(existing.withColumn("seq", F.lit(0).cast("long")), incoming, [key], ["seq"])
+    return both.drop("seq"), rejects

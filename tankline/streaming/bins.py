@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..params import Params
 from ..schemas import FUEL, SPEED
@@ -55,10 +55,26 @@ def stream_bins(readings: DataFrame, p: Params = Params(), watermark: str = "1 h
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Readings dropped so far because they were older than the watermark."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for op in progress.get("stateOperators", [])
-    )
+class LateRows(StreamingQueryListener):
+    """Counts what queries drop for being older than the watermark, as they go.
+
+    The numbers are of groups (readings of one bin that a task has already put together), as that is
+    what the operators report. Register with ``spark.streams.addListener``.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..params import Params
 from ..plans.jobs import run_upload
 from ..schemas import TELEMETRY
-from ..sources.files import CORRUPT, text_schema, type_text
+from ..sources.files import CORRUPT, QUOTES, text_schema, type_text
 from ..sources.sinks import write_partitions
 
 # Which part of a file's path names its upload.
@@ -24,21 +24,30 @@ def telemetry_stream(
     max_files: int | None = None,
     tenant: str | None = None,
 ) -> DataFrame:
-    """Text rows of new CSV files with ``upload_id``, taken from the file name or its folder, and
-    with ``organization`` if ``tenant``, a pattern with one group, tells it from the path."""
+    """Text rows of new CSV files with ``upload_id``, taken from the file name or its folder, with
+    the time the file was ``changed`` (microseconds), and with ``organization`` if ``tenant``, a pattern with one group, tells it from the path.
+
+    ``header`` is the order of columns in all files. A file with another header stops the stream
+    before anything of its batch is stored; it is never read under the wrong names.
+    """
     reader = (
         spark.readStream.schema(text_schema(header))
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
+        .option("enforceSchema", False)
+        .options(**QUOTES)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     path = F.col("_metadata.file_path")
-    named = {"upload_id": F.regexp_extract(path, UNITS[unit], 1)}
+    named = {
+        "upload_id": F.regexp_extract(path, UNITS[unit], 1),
+        "changed": F.unix_micros(F.col("_metadata.file_modification_time")),
+    }
     if tenant:
         named["organization"] = F.regexp_extract(path, tenant, 1)
     return reader.csv(in_dir).withColumns(named)
@@ -71,8 +80,10 @@ def stream_uploads(
         write_partitions(bad, f"{out.rstrip('/')}/rejects", ["upload_id"])
         given = "seq" in good.columns
         seq = F.col("seq").cast("long") if given else F.monotonically_increasing_id()
-        good = good.withColumn("seq", seq)
-        run_upload(spark, good, tables, out, p, load_seq=batch_id, **options)
+        # of a point in several uploads that of the file changed last counts
+        last = good.groupBy("upload_id").agg(F.max("changed").alias("load_seq"))
+        good = good.withColumn("seq", seq).drop("changed").join(last, "upload_id")
+        run_upload(spark, good, tables, out, p, **options)
 
     return (
         text.writeStream.foreachBatch(process)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tankline import Params
 from tankline.operators import clean
-from tankline.operators.layout import largest_cell, settle
+from tankline.operators.layout import settle
 
 GOLDEN = [
     ("v1", "2024-06-15T10:00:00", 200.0, 60.0, 27.0),
@@ -127,14 +127,10 @@ def test_text_times_are_parsed_and_bad_ones_dropped(spark):
         clean.normalise(df.drop("pos_s"))
 
 
-def test_layout_is_chosen_by_the_biggest_cell(spark):
-    df = clean.normalise(spark.createDataFrame(random_rows(600, hot=0.5), READING))
-    biggest = largest_cell(df, Params())
-    assert 100 < biggest < 400
-    assert settle(df, Params(max_cell_rows=biggest)).layout == "slot"
-    assert settle(df, Params(max_cell_rows=biggest - 1)).layout == "slice"
+def test_layout_and_widths(spark):
+    assert settle(Params()).layout == "slot"
     with pytest.raises(ValueError):
-        settle(df, Params(layout="slice", pre_s=15))
+        settle(Params(layout="slice", pre_s=15))
 
 
 def test_scope_keeps_uploads_apart(spark):

@@ -58,7 +58,10 @@ def test_pages(spark):
     assert ids(ent.page(df, ("id",), 1, 2, after=("2",))) == ["3", "4"]
     many = spark.range(1500).select(F.format_string("%05d", "id").alias("id"))
     assert len(ids(ent.page(many, ("id",), 1, 5000))) == 1000
-    for bad in (dict(number=0), dict(after=("1",), order=("-id",))):
+    assert ids(ent.page(df, ("-id",), 1, 2, after=("4",))) == ["3", "2"]
+    two = spark.createDataFrame([(k // 3, str(k)) for k in range(9)], "day int, id string")
+    assert ids(ent.page(two, ("-day", "id"), 1, 4, after=(2, "7"))) == ["8", "3", "4", "5"]
+    for bad in (dict(number=0),):
         with pytest.raises(ValueError):
             ent.page(df, **{"order": ("id",), **bad})
 
@@ -92,15 +95,18 @@ def test_nesting(tables):
     assert drivers == {"d1": ["c1", "c2", "c3"], "d2": ["c3"], "d3": []}
 
 
-def test_long_lists_come_in_parts_and_lose_nothing(spark, tables):
+def test_lists_come_in_as_many_parts_as_asked(spark, tables):
     links = spark.range(5000).select(F.lit("d1").alias("driver"), F.col("id").cast("string").alias("id")).unionByName(
         spark.createDataFrame([("d2", "7")], "driver string, id string")
     )
-    got = ent.nest_children(tables["driver"], links, "driver", "car", max_items=100).collect()
+    got = ent.nest_children(tables["driver"], links, "driver", "car", parts=50).collect()
     mine = [r for r in got if r.id == "d1"]
     assert len(mine) == 50 and max(len(r.car) for r in mine) < 200
     assert sorted(int(c.id) for r in mine for c in r.car) == list(range(5000))
-    assert [len(r.car) for r in got if r.id in ("d2", "d3")] == [1, 0]
+    whole = ent.nest_children(tables["driver"], links, "driver", "car").collect()
+    assert sorted((r.id, r.part, len(r.car)) for r in whole) == [("d1", 0, 5000), ("d2", 0, 1), ("d3", 0, 0)]
+    assert ent.child_rows(tables["driver"], links, "driver", "car").count() == 5001
+    assert sorted(len(r.car) for r in got if r.id in ("d2", "d3")) == [0] * 99 + [1]
 
 
 def test_drivers(tables):

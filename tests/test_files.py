@@ -2,7 +2,6 @@ import hashlib
 
 import pytest
 from data import fleet
-from pyspark.sql import functions as F
 
 from tankline.schemas import TABLES
 from tankline.sources import files, scratch, sinks
@@ -49,22 +48,26 @@ def test_reference_files(spark, tmp_path):
         "g1,A1,V1,,X5,text,",
         "g2,A1,V1,M,X5,text,1,surplus",
         "g3,A1,V1,M,X5,\"a, b\",1",
+        "g4,A1,V1,M",
+        "g5,A1,V1,M,X5,\"OOO \"\"Romashka\"\", 2\nsecond line\",diesel",
     )
-    assert {r.guid: r.sl_tip_dvigat for r in files.read_cars(spark, cars).collect()} == {"g1": None, "g3": 1.0}
+    assert {r.guid: r.sl_tip_dvigat for r in files.read_cars(spark, cars)[0].collect()} == {"g1": None, "g3": 1.0, "g4": None, "g5": None}
+    assert [r.guid for r in files.read_cars(spark, cars)[1].collect()] == ["g2"]
+    assert {r.guid: r.description for r in files.read_cars(spark, cars)[0].collect()}["g5"] == 'OOO "Romashka", 2\nsecond line'
     norms = put(
         tmp_path / "norms.csv", "sl_avto,period,norma_rasx,vid_norm_rasx,deystvuet_do", "1,p,5.5,k,2024-01-01", "1,p,,k,"
     )
-    rows = files.read_norms(spark, norms).orderBy("seq").collect()
+    rows = files.read_norms(spark, norms)[0].orderBy("seq").collect()
     assert [(r.norma_rasx, r.deystvuet_do) for r in rows] == [(5.5, "2024-01-01"), (None, None)]
     table = put(
         tmp_path / "fleet.csv", "guid,name,description,winter_norm,summer_norm,due,engine_type", "g,n,d,1,2,2024-01-01,1"
     )
-    fleet_csv = files.read_fleet(spark, table)
+    fleet_csv, _ = files.read_fleet(spark, table)
     assert tuple(fleet_csv.collect()[0])[:7] == ("g", "n", "d", 1.0, 2.0, "2024-01-01", 1.0)
     for fmt in ("parquet", "orc"):
         out = str(tmp_path / fmt)
         fleet_csv.write.format(fmt).save(out)
-        assert files.read_fleet(spark, out, fmt).drop("seq").collect() == fleet_csv.drop("seq").collect()
+        assert files.read_fleet(spark, out, fmt)[0].drop("seq").collect() == fleet_csv.drop("seq").collect()
     with pytest.raises(ValueError):
         files.read_fleet(spark, table, "xls")
 
@@ -86,7 +89,7 @@ def test_export_and_import(spark, tmp_path, fmt):
     newer = fleet(spark, [("2", "новое, имя", 5.0, "p"), ("3", "c", None, "p")]).select(*TABLES["car"].names)
     path = str(tmp_path / "out")
     sinks.export_table(newer, path, fmt)
-    got = {r.id: (r.name, r.engine_type) for r in sinks.import_table(spark, path, fmt, existing).collect()}
+    got = {r.id: (r.name, r.engine_type) for r in sinks.import_table(spark, path, fmt, existing)[0].collect()}
     assert got == {"1": ("a", 0.0), "2": ("новое, имя", 5.0), "3": ("c", None)}
     with pytest.raises(ValueError):
         sinks.export_table(newer, path, "xml")
@@ -124,8 +127,33 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     assert read() == {("1", "007"), ("3", "b")}
     sinks.write_partitions(mk(("4", "b")), path, ["upload_id"], mode="append")
     assert ("4", "b") in read() and ("3", "b") in read()
-    # a fixed partition is replaced even by nothing, an odd name goes the dynamic way
+    # a fixed partition is replaced even by nothing, whatever its name
     sinks.write_partitions(mk(("9", "b")).filter("false"), path, ["upload_id"], {"upload_id": "b"})
     sinks.write_partitions(mk(("5", "x/y z")), path, ["upload_id"], {"upload_id": "x/y z"})
     assert read() == {("1", "007"), ("5", "x/y z")}
-    assert F is not None
+    for name in ("july 2024.csv", "50%=a", "июль", "x/y z"):
+        sinks.write_partitions(mk(("6", name)), path, ["upload_id"], {"upload_id": name})
+        assert ("6", name) in read()
+        sinks.write_partitions(mk(("6", name)).filter("false"), path, ["upload_id"], {"upload_id": name})
+    assert read() == {("1", "007")}
+
+
+def test_headers_of_each_file_and_the_order_of_files(spark, tmp_path):
+    put(tmp_path / "a.csv", "auto,timestamp,pos_s,calc_sensors_fuel_level,calc_sensors_voltage", "1,2024-06-15 10:00:00,60,100,27", "1,2024-06-15 10:00:01,60,100,27")
+    put(tmp_path / "b.csv", "calc_sensors_fuel_level,pos_s,calc_sensors_voltage,timestamp,auto", "100,60,27,2024-06-15 10:00:02,1")
+    (tmp_path / "empty.csv").write_text("")
+    good, rejects = files.read_telemetry(spark, str(tmp_path))
+    assert {(r.pos_s, r.calc_sensors_fuel_level, r.calc_sensors_voltage) for r in good.collect()} == {(60.0, 100.0, 27.0)}
+    assert [r.timestamp.second for r in good.orderBy("seq").collect()] == [0, 1, 2] and rejects.count() == 0
+    put(tmp_path / "c.csv", "auto,timestamp", "1,2")
+    with pytest.raises(ValueError, match="c.csv"):
+        files.read_telemetry(spark, str(tmp_path))
+
+
+def test_paths_that_look_like_uris(spark, tmp_path):
+    odd = tmp_path / "a b%20#c"
+    odd.mkdir()
+    (odd / "x y.bin").write_bytes(b"abc")
+    for limit in (100, 1):
+        (row,) = files.hash_files(spark, str(tmp_path / "a b*" / "*.bin"), whole_up_to=limit).collect()
+        assert (row.size, row.file_hash) == (3, hashlib.sha256(b"abc").hexdigest())

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from data import READING, brute, fleet, norm_rows, random_rows, rounded
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from tankline.operators.reports import leak_reports
 from tankline.plans.jobs import load_fleet, run_pending, run_upload
 from tankline.schemas import FUEL, SPEED, TELEMETRY
 from tankline.sources import sinks
-from tankline.streaming.bins import as_instant, as_wall_clock, late_rows, stream_bins
+from tankline.streaming.bins import LateRows, as_instant, as_wall_clock, stream_bins
 from tankline.streaming.intake import stream_uploads
 
 P = Params(leak_limit=1.0)
@@ -54,8 +56,8 @@ def test_an_upload_twice_is_an_upload_once(spark, tables, tmp_path):
 
 def test_a_later_upload_overwrites_points(spark, tables, tmp_path):
     out = str(tmp_path / "store")
-    for n, seed in ((1, 1), (2, 2)):
-        paths = run_upload(spark, _frame(spark, seed), tables, out, P, org="o1", upload_id=f"u{n}", load_seq=n)
+    for n, (name, seed) in enumerate((("u9", 1), ("u10", 2))):
+        paths = run_upload(spark, _frame(spark, seed), tables, out, P, org="o1", upload_id=name, load_seq=n)
     got = sinks.read_metrics(spark, paths["metrics"])
     newest = {(r[0], r[1]): r[4] for seed in (1, 2) for r in brute(random_rows(800, cars=4, seed=seed))}
     assert {(r.auto, r.timestamp): r[FUEL] for r in got.collect()} == newest
@@ -69,10 +71,12 @@ def test_a_later_upload_overwrites_points(spark, tables, tmp_path):
 
 def test_append_mode_and_missing_upload_id(spark, tables, tmp_path):
     for _ in range(2):
-        paths = run_upload(spark, _frame(spark, 1), tables, str(tmp_path), P, org="o1", upload_id="u1", mode="append")
+        paths = run_upload(spark, _frame(spark, 1), tables, str(tmp_path), P, org="o1", upload_id="u1", load_seq=1, mode="append")
     assert sinks.read_reports(spark, paths["reports"]).count() == 2 * len(_expected(spark, tables, 1, "u1"))
     with pytest.raises(ValueError, match="upload_id"):
-        run_upload(spark, _frame(spark, 1), tables, str(tmp_path), P)
+        run_upload(spark, _frame(spark, 1), tables, str(tmp_path), P, load_seq=1)
+    with pytest.raises(ValueError, match="load_seq"):
+        run_upload(spark, _frame(spark, 1), tables, str(tmp_path), P, upload_id="u1")
 
 
 def _csv(spark, seed, path):
@@ -121,7 +125,15 @@ def test_stream_bins_and_late_rows(spark, tmp_path):
     read = lambda: [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert [(r[0], str(r[1]), r[2], r[3]) for r in read()] == [("v1", "2024-06-15 10:00:00", 25.0, 199.0)]
     put(2, ("2024-06-15 10:01:00", 4000.0, 0.0), ("2024-06-15 11:01:00", 110.0, 10.0))
-    assert late_rows(run()) >= 1
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    query = run()
+    for _ in range(50):
+        if counter.dropped.get(str(query.id), 0):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counter)
+    assert counter.dropped[str(query.id)] >= 1
     assert len(read()) == 1
 
 
@@ -139,14 +151,18 @@ def test_wall_clock_survives_the_zone(spark):
 def test_fleet_file(spark, tables):
     rows = [("v0", "New name", "d", 5.0, None, "2024-12-31", 1.0, 1), ("x1", "Added", None, 3.0, 4.0, "soon", 1.0, 2)]
     fleet_rows = spark.createDataFrame(rows, "guid string, name string, description string, winter_norm double, summer_norm double, due string, engine_type double, seq long")
-    loaded, rejected = load_fleet(fleet_rows, tables, "o1")
+    loaded, rejected = load_fleet(fleet_rows, tables, "o1", "f1")
     cars = {r.id: (r.name, r.engine_type, r.organization) for r in loaded["car"].collect()}
     assert cars["v0"] == ("New name", 0.0, "o1") and cars["x1"] == ("Added", 1.0, "o1") and len(cars) == 4
     norms = [(r.car, r.winter_volume, r.summer_volume, str(r.valid_period)) for r in loaded["car_consumption"].collect() if len(r.id) > 5]
-    assert sorted(norms) == [("v0", 5.0, -1.0, "2024-12-31"), ("x1", 3.0, 4.0, "None")]
-    assert rejected.count() == 0
-    _, foreign = load_fleet(fleet_rows, tables, "o2")
-    assert [r.car for r in foreign.collect()] == ["v0"]
+    assert sorted(norms) == [("v0", 5.0, -1.0, "2024-12-31")]
+    assert [r.car for r in rejected.collect()] == ["x1"]
+    again, _ = load_fleet(fleet_rows, loaded, "o1", "f1")
+    assert again["car_consumption"].count() == loaded["car_consumption"].count()
+    other, _ = load_fleet(fleet_rows, loaded, "o1", "f2")
+    assert other["car_consumption"].count() == loaded["car_consumption"].count() + 1
+    _, foreign = load_fleet(fleet_rows, tables, "o2", "f1")
+    assert sorted(r.car for r in foreign.collect()) == ["v0", "x1"]
 
 
 def test_pending_uploads_run_as_one_job_and_stay_with_their_tenant(spark, tables, tmp_path):
@@ -159,7 +175,7 @@ def test_pending_uploads_run_as_one_job_and_stay_with_their_tenant(spark, tables
         part = _frame(spark, n).withColumn("upload_id", F.lit(u))
         readings = part if readings is None else readings.unionByName(part)
     mine = {**tables, "car": cars}
-    after = run_pending(spark, uploads, readings, mine, str(tmp_path), P)
+    after = run_pending(spark, uploads, readings, mine, str(tmp_path), P, load_seq=1)
     assert {r.id: r.status for r in after.collect() if r.id[0] == "r"} == {"r1": "created", "r2": "completed", "r3": "completed", "r4": "created"}
     want = []
     for seed, u, org in ((2, "r2", "o1"), (3, "r3", "o2")):
@@ -176,7 +192,7 @@ def test_pending_uploads_run_as_one_job_and_stay_with_their_tenant(spark, tables
 def test_rejects_are_kept(spark, tables, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("timestamp,calc_sensors_fuel_level,pos_s,calc_sensors_voltage,auto\n2024-06-15 10:00:00,1,1,27,v1\nsoon,1,1,27,v1\n")
-    paths = run_upload(spark, str(path), tables, str(tmp_path / "out"), P, org="o1", upload_id="u1")
+    paths = run_upload(spark, str(path), tables, str(tmp_path / "out"), P, org="o1", upload_id="u1", load_seq=1)
     assert [r.timestamp for r in spark.read.parquet(paths["rejects"]).collect()] == ["soon"]
     assert sinks.read_metrics(spark, paths["metrics"]).count() == 1
 

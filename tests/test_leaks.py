@@ -1,3 +1,4 @@
+import statistics
 from datetime import datetime
 
 import pytest
@@ -89,20 +90,23 @@ def test_several_norms_fan_out_or_the_last_counts(spark):
         leaks.attach_norms(_series(spark, CASES), norms, "first")
 
 
-def test_many_norms_give_the_same_rows_either_way(spark):
-    """The statistics of a vehicle with a long norm history are grouped, not windowed."""
+def test_many_norms(spark):
+    """No window runs after the norms have multiplied the rows; statistics and steps are right."""
     norms = leaks.norm_columns(
         norm_rows(spark, [(f"n{i}", "driving", 10.0 + i % 3, 8.0 + i % 5, [None, "2024-01-01", "2023-05-05"][i % 3]) for i in range(40)])
     )
     rows = [("driving", datetime(2024, 6, 1 + h // 20, h % 20), 60.0, -10.0 - h, 300.0 - h, 30.0, "driving", 0.0) for h in range(45)]
     series = spark.createDataFrame(rows, _series(spark, []).schema)
-    key = ["timestamp", "norm_id"]
-    a, b = (leaks.detect_leaks(series, norms, Params(max_norms=n)).orderBy(*key) for n in (1000, 10))
-    joins = [x._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") for x in (a, b)]
-    assert joins[1] > joins[0]
-    cols = sorted(a.columns)
-    got, want = (rounded(tuple(r) for r in x.select(*key, *cols).collect()) for x in (b, a))
-    assert got == want and len(got) == 45 * 40
+    b = leaks.detect_leaks(series, norms, Params())
+    got = b.collect()
+    assert len(got) == 45 * 40
+    delta = [r.delta_sp for r in got]
+    assert {round(r.delta_sp_median, 9) for r in got} == {round(statistics.median(delta), 9)}
+    assert {round(r.delta_sp_std, 9) for r in got} == {round(statistics.stdev(delta), 9)}
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    windows = [k for k, line in enumerate(plan.split("\n")) if "Window" in line]
+    norm_join = next(k for k, line in enumerate(plan.split("\n")) if "Join Inner" in line and "sl_avto" in line)
+    assert windows and min(windows) > norm_join  # below the join in the tree
     # brute force: neighbours of the fanned-out rows in order of time, period (open last) and id
     rank = {r.norm_id: (r.period is None, r.period, r.norm_id) for r in norms.collect()}
     rank = sorted(rank, key=lambda n: (rank[n][0], str(rank[n][1]), n))

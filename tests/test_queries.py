@@ -32,7 +32,7 @@ def test_entry(spark):
     assert df.columns == ["organization", "day", "value"] and df.count() > 0
 
 
-def test_all_but_file_queries_have_sql():
+def test_all_queries_have_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"table_file_hash"}
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -21,15 +21,6 @@ def test_hot_vehicle_is_cut_into_slots_or_slices(spark):
         assert biggest < (1200 if layout == "slot" else 30)
 
 
-def test_auto_takes_slices_for_a_hot_cell_and_stays_right(spark):
-    rows = random_rows(4000, cars=5, hot=0.7)
-    df = clean.normalise(spark.createDataFrame(rows, READING))
-    p = Params(max_cell_rows=500)
-    text = clean.preprocess(df, p)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_carry_ts" in text
-    assert series_rows(clean.preprocess(df, p)) == rounded(brute(rows))
-
-
 def test_many_copies_of_one_key_shrink_before_the_exchange(spark):
     df = spark.range(100_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v")

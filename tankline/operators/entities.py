@@ -35,12 +35,12 @@ ENTITIES = {
         ("name",), ("name", "bot_token", "chat_id"), default_order=("name",), facets=("name",), tenant="id"
     ),
     "org_user": Entity(
-        ("org", "username"), ("username", "org.name"), default_order=("username",),
+        ("org", "username"), ("username", "email", "org.name"), default_order=("username",),
         facets=("org", "is_active", "is_staff"), tenant="org", parents=(("org", "organization", "left"),),
     ),
     "car": Entity(
-        ("organization", "name"), ("name", "description", "organization.name"),
-        default_order=("name",), facets=("organization", "engine_type"),
+        ("organization", "name"), ("id", "name", "description", "organization.name"),
+        default_order=("organization.name", "name"), facets=("organization", "engine_type"),
         parents=(("organization", "organization", "inner"),),
     ),
     "car_consumption": Entity(
@@ -53,8 +53,8 @@ ENTITIES = {
         facets=("status", "organization"), parents=(("organization", "organization", "inner"),),
     ),
     "media": Entity(
-        ("type", "report_query"), ("filename", "media_type", "type"), default_order=("filename",),
-        facets=("type",), tenant="report_query", parents=(("report_query", "report_query", "inner"),),
+        ("type", "report_query"), ("filename", "media_type", "type", "report_query.organization.name"), default_order=("filename",),
+        facets=("type", "report_query.organization"), tenant="report_query", parents=(("report_query", "report_query", "inner"),),
     ),
     "car_report": Entity(
         ("car", "datetime", "status"), ("car.name", "datetime"), order=("datetime", "id"),
@@ -127,6 +127,21 @@ def filter_entities(df: DataFrame, tables: dict, name: str, filters: dict) -> Da
     return df
 
 
+def _reach(df: DataFrame, tables: dict, name: str, path: str) -> tuple[DataFrame, Column]:
+    """``df`` with what a path of foreign keys, such as "car.organization.name", leads to, as a column.
+    Each step is joined once."""
+    *keys, last = path.split(".")
+    tag, column = "", (keys + [last])[0]
+    for key, following in zip(keys, [*keys[1:], last]):
+        table, how = next((t, h) for k, t, h in _spec(name).parents if k == key)
+        tag += f"_{key}"
+        if f"{tag}_id" not in df.columns:
+            parent = tables[table].select(*(F.col(c).alias(f"{tag}_{c}") for c in tables[table].columns))
+            df = df.join(parent, df[column] == parent[f"{tag}_id"], how)
+        name, column = table, f"{tag}_{following}"
+    return df, F.col(column)
+
+
 def search_entities(df: DataFrame, tables: dict, name: str, text: str | None) -> DataFrame:
     """Keep rows matching every term in some search column."""
     spec = _spec(name)
@@ -136,14 +151,8 @@ def search_entities(df: DataFrame, tables: dict, name: str, text: str | None) ->
         return _search_drivers(df, tables, text)
     fields, joined = [], df
     for column in spec.search:
-        if "." not in column:
-            fields.append(F.col(column))
-            continue
-        fk, column = column.split(".")
-        table, how = next((t, h) for key, t, h in spec.parents if key == fk)
-        parent = tables[table].select(F.col("id").alias(f"_{fk}"), F.col(column).alias(f"_{fk}_{column}"))
-        joined = joined.join(parent, joined[fk] == parent[f"_{fk}"], how)
-        fields.append(F.col(f"_{fk}_{column}"))
+        joined, field = _reach(joined, tables, name, column)
+        fields.append(field)
     return joined.filter(matches(fields, text)).select(*df.columns)
 
 
@@ -178,14 +187,9 @@ def default_sorted(df: DataFrame, tables: dict, name: str) -> DataFrame:
     """Sort as the entity is listed when nothing else is asked for."""
     spec, columns = _spec(name), df.columns
     keys = []
-    for column in spec.default_order:
-        if "." in column:
-            fk, column = column.split(".")
-            table = next(t for key, t, _ in spec.parents if key == fk)
-            parent = tables[table].select(F.col("id").alias("_fk"), F.col(column).alias("_key"))
-            df = df.join(parent, df[fk] == parent["_fk"], "inner")
-            column = "_key"
-        keys.append(_sort_key(column))
+    for path in spec.default_order:
+        df, column = _reach(df, tables, name, path.lstrip("-"))
+        keys.append(column.desc() if path.startswith("-") else column.asc())
     return df.orderBy(*keys, "id").select(*columns)
 
 
@@ -309,6 +313,14 @@ def facets(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def entity_facets(tables: dict, name: str, path: str, org: str | None = None) -> DataFrame:
+    """Distinct values (``value``) of one of the entity's facets, also of one behind foreign keys."""
+    if path not in _spec(name).facets:
+        raise ValueError(f"{name} has no facet {path!r}")
+    df, column = _reach(_scoped(tables, name, org), tables, name, path)
+    return df.select(column.alias("value")).distinct()
+
+
 # ---- entry points -------------------------------------------------------------------------------
 
 

@@ -97,3 +97,24 @@ def advance(uploads: DataFrame, cond: Column, status: str) -> DataFrame:
     from .upsert import update_where
 
     return update_where(uploads, cond & F.col("status").isin(*came_from[status]), status=status)
+
+
+def run_ready(uploads: DataFrame, process, needs: tuple[str, ...] = ("auto", "norm"), failures: tuple = (Exception,)) -> DataFrame:
+    """Process the next waiting raw upload of every tenant, one after the other, and keep its status.
+
+    An upload whose tenant has not completed the types it ``needs`` stays as it is. The others go to
+    pending, then ``process(upload id)`` runs, and they are completed, or in error if it raises one of
+    ``failures``; the rest goes on. The driver sees the ids of these uploads: one for each tenant.
+    """
+    waiting = uploads.filter((F.col("type") == "raw") & (F.col("status") == "created"))
+    first = waiting.groupBy("organization").agg(F.max("id").alias("id"))
+    ids = sorted(r.id for r in ready(first, uploads, *needs).toLocalIterator())
+    now = advance(uploads, F.col("id").isin(ids), "pending")
+    failed = []
+    for one in ids:
+        try:
+            process(one)
+        except failures:
+            failed.append(one)
+    now = advance(now, F.col("id").isin(failed), "error")
+    return advance(now, F.col("id").isin(ids), "completed")

@@ -116,6 +116,7 @@ def users(spark: SparkSession, d: str) -> DataFrame:
         _text("s_suppkey").alias("id"),
         F.when(F.col("s_acctbal") >= 0, _text("s_nationkey")).alias("org"),
         F.col("s_name").alias("username"),
+        F.concat(F.lit("post"), _text("s_suppkey"), F.lit("@fleet.example")).alias("email"),
         (F.col("s_acctbal") > 5000).alias("is_active"),
     )
 

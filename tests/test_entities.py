@@ -10,7 +10,7 @@ def tables(spark):
     mk = spark.createDataFrame
     return {
         "organization": mk([("o1", "North", None, "1"), ("o2", "South", "t", "2")], "id string, name string, bot_token string, chat_id string"),
-        "org_user": mk([("u1", "o1", "ann"), ("u2", None, "bob"), ("u3", "o2", "cid")], "id string, org string, username string"),
+        "org_user": mk([("u1", "o1", "ann", "a@x"), ("u2", None, "bob", "x@y"), ("u3", "o2", "cid", "zed@y")], "id string, org string, username string, email string"),
         "car": mk(
             [("c1", "Beta 12", "red", 0.0, "o1"), ("c2", "Alpha", None, 1.0, "o1"), ("c3", "Gamma", "blue", 0.0, "o2")],
             "id string, name string, description string, engine_type double, organization string",
@@ -70,6 +70,7 @@ def test_search_and_filters(tables):
     find = lambda name, text: sorted(ids(ent.list_entities(tables, name, search=text, nested=False)))
     assert find("car", "beta") == ["c1"] and find("car", "NORTH a") == ["c1", "c2"]
     assert find("car", "north blue") == [] and find("car", "") == ["c1", "c2", "c3"]
+    assert find("org_user", "zed@") == ["u3"]
     assert find("org_user", "b") == ["u2"] and find("org_user", "south") == ["u3"]
     assert find("car_report", "gamma 2024-01") == ["r3"]
     assert find("car_consumption", "2024-05 beta") == ["k1"]

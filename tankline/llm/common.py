@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,26 @@ from pyspark.sql import functions as F
 from ..sources.scratch import fresh_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: tasks import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"  # Spark copies it from here
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator works on, whatever else the table carries; a missing one is NULL."""
+    ship(docs.sparkSession)
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "item_id": "long", "toxic": "int", "quality": "int"}
     have = set(docs.columns)
     return docs.select(*((docs[c] if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in columns))

@@ -182,7 +182,7 @@ def toxicity_of(text: Column, model: Chain) -> Column:
     return udf(F.coalesce(text, F.lit("")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.8, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
     """Per row: doc_id, a probability for each category (p_<category>), and toxic (p_toxic >= threshold)."""
     model, rows = fit(docs, labels, **options), plain(docs, "doc_id", "text")
     chain = options.get("chain", ("low_quality", "toxic"))

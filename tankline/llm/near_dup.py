@@ -8,16 +8,20 @@ fewer words the whole sequence is one shingle. Documents are linked if 100 * int
    of ``rows`` samples, chosen at random) and an odd sketch: a bitmap whose bits are flipped by the
    samples, so that the XOR of two bitmaps has a population count that tells how many samples differ.
 2. Documents with equal sets collapse into a class, whose least id stands for it.
-3. Classes that share a band key are candidates. Keys of few classes give all their pairs. Keys of
-   many are dealt to tasks of bounded size, which cluster their classes by the sketches and give
-   one pair for each join of clusters and the unsure pairs between clusters; then one class of each
-   cluster meets those of the key's other tasks. So a group of n near copies gives about n pairs a key.
-4. Candidates pass if the sketches estimate a similarity of at least CUT.
-5. What passes is confirmed on the full sets, and components are drawn over the confirmed links.
-
-With 160 samples and 96 bands of 6, a pair at similarity 0.75 shares no band with a probability under
-1e-5, and is cut by its sketch with one of about 1e-6; both fall steeply above. Sets are compared by
-64-bit shingle hashes, equal sets by their size and 128 bits.
+3. Classes that share a band key are candidates. Keys of many classes come first, in passes: they are
+   dealt to tasks of bounded size, which cluster their classes by the sketches, starting from the
+   groups known so far, and give one pair for each join of clusters and the few most alike classes of
+   other clusters for each class; some classes of each cluster then meet those of the key's other
+   tasks. What is confirmed makes groups for the next pass, which looks for more partners outside
+   them, until a pass finds no link. So a group of n near copies gives about n pairs a key, not n * n.
+4. Candidates pass if the sketches estimate a similarity of at least CUT, and are confirmed on the
+   full sets. Keys of few classes then give all their pairs between classes that these links do not
+   yet join, which pass and are confirmed alike.
+5. Components are drawn over all confirmed links.
+
+With 160 samples and 60 bands of 5, a pair at similarity 0.75 shares no band with a probability of
+about 1e-5, and its sketch cuts it with about one of 1e-4; both fall steeply above. Sets are compared
+by 64-bit shingle hashes, equal sets by their size and 128 bits.
 
 A NULL or empty text, or one without words, has an empty set and is linked with nothing. A NULL id has
 component NULL unless its group holds another id, and is kept only alone. Rows that repeat an id are
@@ -28,7 +32,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,9 +43,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, Rolling, mix, parts, plain, row_key, saved, words
 from .graph import components
 
-SAMPLES, ROWS, BANDS, BITS = 160, 6, 96, 1024
+SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
+SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
 FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs; classes in one task beyond that
-CUT, NEAR, SAME = 0.56, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
+HEADS = 8  # classes of a cluster that meet those of a key's other tasks
+PARTNERS = (4, 16)  # most alike classes of other groups that a class is paired with in a key, by pass
+CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
 
 
 @lru_cache(maxsize=1)
@@ -151,81 +158,105 @@ def _exploded(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some.column("cls").to_numpy(), BANDS))], names=["band", "cls"])
 
 
-def _within(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs among the classes of one task's share of a key, and (b = NULL) one class of each cluster.
+def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
+    """Candidate pairs among the classes of one task's share of a key, and (b = NULL) some of each cluster.
 
-    Classes whose sketches are near are clustered, and one pair is given for each join of clusters;
-    of the pairs that may or may not be links, those between different clusters are given. The order
-    differs from key to key, so clusters do not always hang on the same pairs.
+    Clusters start as the groups that are known. Classes whose sketches are near join clusters, and one
+    pair is given for each join. Then each class gives its ``partners`` most alike ones of other
+    clusters. There are two orders of the classes, one for every other key: clusters do not all hang
+    on the same pairs, and yet keys with many classes in common mostly give the same ones.
     """
     band = int(pdf["band"].iloc[0])
     pdf = pdf.drop_duplicates(["cls", "sketch"])
     ids = pdf["cls"].to_numpy(np.int64)
-    order = np.argsort(mix(ids.view(np.uint64) ^ mix(np.array([band], np.int64).view(np.uint64))), kind="stable")
+    order = np.argsort(mix(ids.view(np.uint64) ^ mix(np.array([band & 1], np.uint64))), kind="stable")
     ids = ids[order]
     sketch = np.frombuffer(b"".join(pdf["sketch"].iloc[order]), np.uint64).reshape(len(ids), -1)
-    cluster, same = np.arange(len(ids)), np.zeros(len(ids), bool)
-    pairs, unsure = [], []
+    cluster = np.unique(pdf["known"].to_numpy(np.int64)[order], return_inverse=True)[1]
+    same, pairs, unsure = np.zeros(len(ids), bool), [], []
     for k in range(len(ids)):
         if same[k]:  # nearly equal to one that has been compared with all
             continue
         near = estimate(np.bitwise_count(sketch ^ sketch[k]).sum(1, dtype=np.int64))
         same |= near >= SAME
-        maybe = np.flatnonzero((near >= CUT) & (near < NEAR))
-        unsure.append((k, maybe))
-        sure = np.flatnonzero((near >= NEAR) & (cluster != cluster[k]))
-        for j in sure[np.unique(cluster[sure], return_index=True)[1]]:
-            pairs.append((ids[k], ids[j]))
+        other = np.flatnonzero((near >= CUT) & (cluster != cluster[k]))
+        other = other[np.argsort(-near[other], kind="stable")]
+        sure = other[near[other] >= NEAR]
+        pairs += [(ids[k], ids[j]) for j in sure[np.unique(cluster[sure], return_index=True)[1]]]
         cluster[np.isin(cluster, cluster[sure])] = cluster[k]
-    for k, maybe in unsure:
-        pairs += [(ids[k], ids[j]) for j in maybe[cluster[maybe] != cluster[k]]]
-    heads = ids[np.unique(cluster, return_index=True)[1]]
+        unsure.append((k, other[len(sure) :]))
+    for k, other in unsure:
+        pairs += [(ids[k], ids[j]) for j in other[cluster[other] != cluster[k]][:partners]]
+    # the first of each cluster, by the order
+    by = np.argsort(cluster, kind="stable")
+    turn = np.arange(len(by)) - np.searchsorted(cluster[by], cluster[by])
+    heads = ids[by[turn < HEADS]]
     a = [min(p) for p in pairs] + heads.tolist()
     b = [max(p) for p in pairs] + [None] * len(heads)
     return pd.DataFrame({"band": np.full(len(a), band), "a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
 
 
-def _large_keys(met: DataFrame, sketches: DataFrame) -> list[DataFrame]:
+def _large_keys(met: DataFrame, sketches: DataFrame, groups: DataFrame, partners: int) -> list[DataFrame]:
     """Candidate pairs of keys with many classes, by rounds of tasks of about CHUNK classes each."""
+    known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("known"))
+    known = saved(known, "known")
     found, many, before = [], met.select("band", "cls"), None
     while True:
         sizes = saved(many.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("share")), "key-sizes")
-        dealt = many.join(sizes, "band").withColumn("part", F.array(F.pmod(F.xxhash64("cls", "band"), F.col("share"))))
-        now = many.count()
-        if last := before is not None and 2 * now > before:
-            # the classes of one key differ too much to be thinned out: every two shares meet
-            own = F.element_at("part", 1)
-            dealt = dealt.withColumn("part", F.transform(F.sequence(F.lit(0), F.col("share").cast("int") - 1), lambda i: F.least(own, i.cast("long")) * 1_000_000 + F.greatest(own, i.cast("long"))))
-        rows = dealt.select("band", "cls", F.explode("part").alias("part")).join(sketches, "cls")
-        tried = saved(rows.groupBy("band", "part").applyInPandas(_within, "band long, a long, b long"), "within")
+        part = F.pmod(F.xxhash64("cls", F.col("band").bitwiseAND(1), F.lit(partners)), F.col("share"))
+        rows = many.join(sizes, "band").withColumn("part", part).join(known, "cls")
+        tried = saved(rows.groupBy("band", "part").applyInPandas(lambda pdf: _within(pdf, partners), "band long, a long, b long"), "within")
         found.append(tried.filter("b is not null").select("a", "b"))
         split = sizes.filter("share > 1").select("band")
-        if last or not split.limit(1).count():
+        # some of each cluster meet those of their key's other tasks, as long as that makes them fewer
+        many = saved(tried.filter("b is null").select("band", F.col("a").alias("cls")).join(split, "band"), "heads")
+        now = many.count()
+        if not now or before is not None and 2 * now > before:
             return found
-        # heads of clusters meet those of their key's other tasks
-        many, before = saved(tried.filter("b is null").select("band", F.col("a").alias("cls")).join(split, "band"), "heads"), now
+        before = now
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that share a band key and whose sketches let them pass.
-
-    classes: cls, keys, sketch.
-    """
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(band, cls, n): keys that n > 1 classes have. classes: cls, keys, sketch."""
     bands = classes.select("cls", "keys").mapInArrow(_exploded, "band long, cls long")
     counts = saved(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "key-counts")
-    met = saved(bands.join(counts, "band"), "keys-met")
-    few = met.filter(F.col("n") <= FEW).groupBy("band").agg(F.array_sort(F.collect_set("cls")).alias("c"))
-    first = few.select("c", F.posexplode("c").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).distinct()
-    sketches = classes.select("cls", "sketch")
+    return saved(bands.join(counts, "band"), "keys-met")
+
+
+def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links of keys with many classes, in passes.
+
+    A pass starts from the groups that the links found so far make and looks for partners outside
+    them, more of them each time; passes end when one finds no new link.
+    """
+    links = texts.sparkSession.createDataFrame([], "a long, b long")
+    tried, groups, large = links, components(links), met.filter(F.col("n") > FEW)
+    for partners in PARTNERS:
+        pairs = reduce(DataFrame.unionByName, _large_keys(large, sketches, groups, partners)).filter("a < b").distinct()
+        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-many")
+        new = saved(confirmed(pairs, texts), "links-new")
+        links, tried = links.unionByName(new), tried.unionByName(pairs)
+        if not new.limit(1).count():
+            break
+        groups = components(links)
+    return links
+
+
+def pairs_of_few(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of keys with few classes, for classes that are not in one group
+    (node, component) already."""
+    rows = met.filter(F.col("n") <= FEW).join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    own = F.struct("cls", F.coalesce("component", "cls").alias("group"))
+    few = rows.groupBy("band").agg(F.array_sort(F.collect_set(own)).alias("c"), F.min(own["group"]).alias("lo"), F.max(own["group"]).alias("hi"))
+    first = few.filter("lo < hi").select("c", F.posexplode("c").alias("i", "x"))
+    later = F.filter(F.slice("c", F.col("i") + 2, F.size("c")), lambda y: y["group"] != F.col("x.group"))
+    pairs = first.select(F.col("x.cls").alias("a"), F.explode(F.transform(later, lambda y: y["cls"])).alias("b")).distinct()
     passed = (
         pairs.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
         .mapInArrow(_pass, "a long, b long")
     )
-    for more in _large_keys(met.filter(F.col("n") > FEW), sketches):
-        passed = passed.unionByName(more)
-    return passed.filter("a < b").distinct()
+    return saved(passed.filter("a < b").distinct(), "pairs-few")
 
 
 def _pass(batches) -> Iterator[pa.RecordBatch]:
@@ -253,9 +284,12 @@ def _confirm(batches) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough; only texts of documents in pairs are read into sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids-met")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)  # at most 8 bytes for each of SENT_IDS; beyond that the texts are moved
     # an id with several texts is linked if one of them is
-    sets = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "cls long, own binary"), "sets")
+    near = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = saved(near.mapInArrow(_sets, "cls long, own binary"), "sets")
     return (
         pairs.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
@@ -272,8 +306,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kinds = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls")).filter("cls is not null"), "classes")
     reps = kinds.select("h1", "h2", F.col("n").alias("m"), "cls")
     classes = sketched.join(reps, (sketched.doc_id == reps.cls) & (sketched.h1 == reps.h1) & (sketched.h2 == reps.h2), "left_semi").select(F.col("doc_id").alias("cls"), "keys", "sketch").dropDuplicates(["cls", "sketch"])
-    pairs = saved(candidates(classes), "pairs")
-    links = confirmed(pairs, rows.select("doc_id", "text").filter("doc_id is not null"))
+    texts, sketches = rows.select("doc_id", "text").filter("doc_id is not null"), classes.select("cls", "sketch")
+    met = shared_keys(classes)
+    sure = links_of_many(met, sketches, texts)
+    links = sure.unionByName(confirmed(pairs_of_few(met, sketches, components(sure)), texts))
     # an id that has several texts ties their classes together
     member = full.filter("doc_id is not null").join(kinds, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
     groups = saved(components(links.unionByName(member.filter("a <> b"))), "components")

@@ -47,7 +47,7 @@ SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
 SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
 FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs; classes in one task beyond that
 HEADS = 8  # classes of a cluster that meet those of a key's other tasks
-PARTNERS = (4, 16)  # most alike classes of other groups that a class is paired with in a key, by pass
+PARTNERS = (2, 4, 8, 16)  # most alike classes of other groups that a class is paired with in a key, by pass
 CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
 
 
@@ -159,7 +159,8 @@ def _exploded(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
-    """Candidate pairs among the classes of one task's share of a key, and (b = NULL) some of each cluster.
+    """Candidate pairs among the classes of one task's share of a key, and, if the key
+    has other tasks, some of each cluster (b = NULL).
 
     Clusters start as the groups that are known. Classes whose sketches are near join clusters, and one
     pair is given for each join. Then each class gives its ``partners`` most alike ones of other
@@ -187,10 +188,10 @@ def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
         unsure.append((k, other[len(sure) :]))
     for k, other in unsure:
         pairs += [(ids[k], ids[j]) for j in other[cluster[other] != cluster[k]][:partners]]
-    # the first of each cluster, by the order
+    # where the key has other tasks: the first of each cluster, by the order
     by = np.argsort(cluster, kind="stable")
     turn = np.arange(len(by)) - np.searchsorted(cluster[by], cluster[by])
-    heads = ids[by[turn < HEADS]]
+    heads = ids[by[turn < HEADS]] if pdf["share"].iloc[0] > 1 else ids[:0]
     a = [min(p) for p in pairs] + heads.tolist()
     b = [max(p) for p in pairs] + [None] * len(heads)
     return pd.DataFrame({"band": np.full(len(a), band), "a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})

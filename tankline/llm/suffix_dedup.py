@@ -38,7 +38,7 @@ from .common import Rolling, mix, parts, plain, row_key, saved, shuffle_width
 
 WINDOW, GRAM = 200, 64
 SPAN = WINDOW - GRAM + 1  # anchors in a window
-SHARD = 3000  # contexts in a shard
+SHARD = 2000  # contexts in a shard
 _MOST = np.uint64(np.iinfo(np.uint64).max)
 _MARK = "row long, lo long, hi long"
 
@@ -74,44 +74,56 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     least = _slide(h, np.minimum, _MOST)
     chosen = np.concatenate([np.zeros(SPAN - 1, np.uint64), np.where(whole, least, 0), np.zeros(SPAN - 1, np.uint64)])
     p = np.flatnonzero((_slide(chosen, np.maximum, 0) == h) & (h > 0))
-    row = np.searchsorted(ends, p, side="right") - 1
-    lo, hi = np.maximum(p - (SPAN - 1), ends[row]), np.minimum(p + WINDOW, ends[row + 1])
+    # the windows that have chosen an anchor lie side by side: a run of equal least hashes
+    least = np.where(whole, least, 0)
+    first = np.flatnonzero(np.diff(least, prepend=~least[:1]))
+    last = np.append(first[1:], len(least)) - 1
+    run = np.searchsorted(first, p, side="right") - 1
+    while len(far := np.flatnonzero(least[first[run]] != h[p])):
+        run[far] -= 1
+    lo, hi = np.maximum(first[run], p - (SPAN - 1)), np.minimum(last[run], p) + WINDOW
     two.load(raw)
     g = mix(two.hashes(lo, hi) + (p - lo).astype(np.uint64))
     return p, h[p].view(np.int64), g.view(np.int64), lo, hi
 
 
+def _packed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Start and size of a context in one number; a context has under 512 bytes."""
+    return lo << 9 | (hi - lo)
+
+
 def _anchor_rows(batches) -> Iterator[pa.RecordBatch]:
     """Anchors, one row for all equal contexts among about 32 MB of text; n tells if there were several.
 
-    The contexts that repeat among them are given as marks (n = 0, pos to g) at once.
+    ``at`` tells where its context is (see ``_packed``). The contexts that repeat among them are given
+    as marks (n = 0, h to g) at once.
     """
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, g, row, pos, lo, hi = np.concatenate(held, axis=1)
+        h, g, row, lo, hi = np.concatenate(held, axis=1)
         held.clear()
         order = np.lexsort((g, h))
-        h, g, row, pos, lo, hi = (x[order] for x in (h, g, row, pos, lo, hi))
+        h, g, row, lo, hi = (x[order] for x in (h, g, row, lo, hi))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         first = np.flatnonzero(new)
         n = np.diff(first, append=len(h))
         again = np.flatnonzero(np.repeat(n, n) > 1)
         row_, lo_, hi_ = joined(row[again], lo[again], hi[again])
-        names = ["h", "g", "n", "row", "pos"]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first], g[first], n.astype(np.int32), row[first], pos[first].astype(np.int32))], names=names)
+        names = ["h", "g", "n", "row", "at"]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[first], g[first], n.astype(np.int32), row[first], _packed(lo[first], hi[first]))], names=names)
         if len(row_):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lo_, hi_, np.zeros(len(lo_), np.int32), row_, np.zeros(len(lo_), np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lo_, hi_, np.zeros(len(lo_), np.int32), row_, np.zeros(len(lo_), np.int64))], names=names)
 
     size = 0
-    for batch, raw, ends in parts(batches):
+    for batch, raw, ends in parts(batches, 1 << 20):
         p, h, g, lo, hi = anchors(raw, ends)
         if not len(p):
             continue
         at = np.searchsorted(ends, p, side="right") - 1
         row = batch.column("row").to_numpy(zero_copy_only=False)[at]
-        held.append(np.stack([h, g, row, p - ends[at], lo - ends[at], hi - ends[at]]))
+        held.append(np.stack([h, g, row, lo - ends[at], hi - ends[at]]))
         size += len(raw)
         if size > 32 << 20:
             yield from flush()
@@ -170,45 +182,51 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, new
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, new: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix has in common with the one before it in ``sa``, at most ``most``.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, new: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start within ``starts`` to ``ends``, in the order of ``sa``, and the bytes each
+    has in common with the one before it, at most ``most``.
 
-    Kasai's method: going through a context from left to right, a prefix loses at most one byte from a
-    suffix to the next. All contexts (starts to ends) are gone through side by side. Suffixes that the
-    refinement left together have ``most`` bytes in common; as their order is open, the one after a
-    suffix with so many begins anew unless it is such a one itself.
+    Kasai's method: going from left to right, a prefix loses at most one byte from a suffix to the
+    next. All stretches are gone through side by side. It begins anew where the suffix compared with
+    was the last of its stretch; and suffixes that the refinement left together have ``most`` bytes in
+    common, but as their order is open, one that follows such a suffix and is none begins anew too.
     """
     n = len(text)
-    place = np.empty(n, np.int32)
-    place[sa] = np.arange(n, dtype=np.int32)
-    before = sa[np.maximum(place - 1, 0)]  # by position
-    before[sa[0]] = n  # nothing before the first
-    wide = np.concatenate([text, np.full(most + 16, 255, np.uint8)])
+    size = ends - starts
+    asked = np.zeros(n + 1, bool)
+    asked[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())] = True
+    own = asked[sa]
+    group = np.cumsum(new, dtype=np.int32)[own]
+    order = sa[own]
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1]
+    together = np.zeros(n, bool)
+    together[order[1:]] = group[1:] == group[:-1]
+    wide = np.concatenate([text, np.full(most + 16 + -len(text) % 8, 255, np.uint8)])
     words = as_strided(wide[: len(wide) // 8 * 8].view(np.uint64), (len(wide) - 15,), (1,))
-    together = np.empty(n, bool)
-    together[sa] = ~new
     plcp = np.zeros(n, np.int32)
-    have = np.zeros(len(starts), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        live = np.flatnonzero(starts + step < ends)
+    live, have, chain = np.arange(len(starts)), np.zeros(len(starts), np.int32), np.zeros(len(starts), bool)
+    for step in range(int(size.max(initial=0))):
+        stay = size[live] > step
+        if not stay.all():
+            live, have, chain = live[stay], have[stay], chain[stay]
         i = starts[live] + step
-        j = before[i].astype(np.int64)
-        length = np.maximum(have[live] - 1, 0)
-        length[have[live] >= most] = 0
-        length[together[i]] = most
-        length[j >= n] = 0
-        go = np.flatnonzero(j < n)
+        j = before[i]
+        length = np.where(chain & (have < most), np.maximum(have - 1, 0), 0)
+        same = together[i]
+        length[same] = most
+        go = np.flatnonzero((j >= 0) & ~same)
+        a, b, m = i[go], j[go], length[go]
         while len(go):
-            a, b = i[go] + length[go], j[go] + length[go]
-            ok = (a < n) & (b < n) & (length[go] < most)
-            go, a, b = go[ok], a[ok], b[ok]
-            diff = words[a] ^ words[b]
-            same = np.where(diff == 0, 8, np.log2((diff & (~diff + np.uint64(1))).astype(np.float64) + (diff == 0)).astype(np.int64) >> 3)
-            length[go] = np.minimum(length[go] + same, most)
-            go = go[same == 8]
+            diff = words[a + m] ^ words[b + m]
+            m += np.where(diff == 0, 8, np.bitwise_count((diff & (~diff + np.uint64(1))) - np.uint64(1)) >> 3).astype(m.dtype)
+            on = (diff == 0) & (m < most) & (np.maximum(a, b) + m < n)
+            off = ~on
+            length[go[off]] = np.minimum(m[off], most)
+            go, a, b, m = go[on], a[on], b[on], m[on]
         plcp[i] = length
-        have[live] = length
-    return plcp[sa]
+        have, chain = length, (j >= 0) & asked[j + 1]
+    return order, plcp[order]
 
 
 def _shard_repeats(ctx: list[bytes], row: np.ndarray, lo: np.ndarray):
@@ -218,15 +236,12 @@ def _shard_repeats(ctx: list[bytes], row: np.ndarray, lo: np.ndarray):
     text = np.frombuffer(b"".join(ctx) + bytes(WINDOW), np.uint8)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     sa, new = suffix_array(text, WINDOW)
-    valid = np.zeros(len(text), bool)
     owner = np.repeat(np.arange(len(ctx)), size)
     inside = np.arange(len(owner)) - starts[owner]
-    valid[: len(owner)] = inside <= size[owner] - WINDOW
-    apart = common_prefixes(text, sa, new, starts, starts + size, WINDOW) < WINDOW
-    # runs of suffixes with a whole window in common; those that are no windows fall out of them
-    own = valid[sa]
-    group = np.cumsum(apart)[own]
-    at = sa[own].astype(np.int64)
+    at, common = common_prefixes(text, sa, new, starts, starts + size - WINDOW + 1, WINDOW)
+    # runs of suffixes with a whole window in common
+    group = np.cumsum(common < WINDOW)
+    at = at.astype(np.int64)
     place_row, place = row[owner[at]], lo[owner[at]] + inside[at]
     first = np.flatnonzero(np.diff(group, prepend=-1))
     differ = (place_row != np.repeat(place_row[first], np.diff(first, append=len(at)))) | (place != np.repeat(place[first], np.diff(first, append=len(at))))
@@ -302,29 +317,29 @@ def _contexts(batches) -> Iterator[pa.RecordBatch]:
         for k, (row, asked) in enumerate(zip(batch.column("row").to_pylist(), batch.column("asked").to_pylist())):
             own = raw[ends[k] : ends[k + 1]].tobytes()
             for x in asked:
-                lo = max(0, x["pos"] - (SPAN - 1))
+                lo, size = x["at"] >> 9, x["at"] & 511
                 out["h"].append(x["h"])
                 out["row"].append(row)
                 out["lo"].append(lo)
-                out["ctx"].append(own[lo : x["pos"] + WINDOW])
+                out["ctx"].append(own[lo : lo + size])
         yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["row"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["ctx"], pa.binary())], names=list(out))
 
 
 def repeats(texts: DataFrame) -> DataFrame:
     """(row, lo, hi): byte ranges of the rows of ``texts`` (row, text) that are covered by repeats."""
-    found = lambda: texts.mapInArrow(_anchor_rows, "h long, g long, n int, row long, pos int")
-    marked = saved(found().filter("n = 0").select("row", F.col("h").alias("lo"), F.col("g").alias("hi")), "marks-local")
-    rows = found().filter("n > 0")
+    found = saved(texts.mapInArrow(_anchor_rows, "h long, g long, n int, row long, at long"), "anchors")
+    marked = found.filter("n = 0").select("row", F.col("h").alias("lo"), F.col("g").alias("hi"))
+    rows = found.filter("n > 0")
     several = saved(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "anchors-met")
-    met = saved(rows.join(several, "h", "left_semi"), "anchors")
-    kinds = met.groupBy("h", "g").agg(F.sum("n").alias("total"), F.min(F.struct("row", "pos")).alias("at"))
+    met = saved(rows.join(several, "h", "left_semi"), "anchors-shared")
+    kinds = met.groupBy("h", "g").agg(F.sum("n").alias("total"), F.min(F.struct("row", "at")).alias("place"))
     kinds = saved(kinds, "contexts-met")
     whole = met.filter("n = 1").join(kinds.filter("total > 1").select("h", "g"), ["h", "g"], "left_semi")
-    whole = whole.select("row", F.greatest(F.lit(0), F.col("pos") - (SPAN - 1)).cast("long").alias("lo"), (F.col("pos") + WINDOW).cast("long").alias("hi"))
+    whole = whole.select("row", F.shiftright("at", 9).alias("lo"), (F.shiftright("at", 9) + F.col("at").bitwiseAND(511)).alias("hi"))
     # anchors with different contexts, one of which is alone, have to be looked at
     looked = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("total").alias("least")).filter("kinds > 1 and least = 1")
-    shares = saved(looked.select("h", F.ceil(F.col("kinds") / (2 * SHARD)).alias("share"), "kinds"), "shares")
-    asked = kinds.join(shares, "h").groupBy("at.row").agg(F.collect_list(F.struct("h", "at.pos")).alias("asked"))
+    shares = saved(looked.select("h", F.ceil(F.col("kinds") / SHARD).alias("share"), "kinds"), "shares")
+    asked = kinds.join(shares, "h").groupBy("place.row").agg(F.collect_list(F.struct("h", "place.at")).alias("asked"))
     contexts = texts.join(asked, "row").select("row", "asked", "text").dropDuplicates(["row"]).mapInArrow(_contexts, "h long, row long, lo long, ctx binary")
     total = shares.agg(F.sum("kinds")).first()[0] or 0
     shards = max(1, -(-total // SHARD))

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import LETTER, Rolling, parts, plain, slices, text_arrays, words
 from .language import folded
 
-PASSAGE, STEP = 32, 4
-SIZES = (12, 16, 24, 32, 48, 64, 96)  # words of a window
+PASSAGE, STEP = 32, 6
+SIZES = (12, 18, 24, 36, 48, 60, 96)  # words of a window
 _WORD = LETTER.copy()
 _WORD[48:58] = True
 
@@ -179,7 +179,7 @@ class Space:
     rank: int
 
 
-def fit_space(docs: DataFrame, items: Items, rank: int, spare: int = 8) -> Space:
+def fit_space(docs: DataFrame, items: Items, rank: int, spare: int = 4) -> Space:
     """IDF over all passages and the leading right singular vectors of their TF-IDF matrix."""
     width = len(_terms(items).hashes)
     counted = docs.select("text").mapInArrow(lambda b: _count(b, items), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -197,7 +197,12 @@ def fit_space(docs: DataFrame, items: Items, rank: int, spare: int = 8) -> Space
     core = _omega(width, columns).T.astype(np.float64) @ g
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > 1e-9 * max(values.max(initial=0), 1e-30)
-    basis = np.linalg.svd(g @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)[0][:, :rank] if keep.any() else np.eye(width, 1)
+    if not keep.any():
+        return Space(np.zeros((width, 1), np.float32).tobytes(), 1)
+    basis, singular, _ = np.linalg.svd(g @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    # directions that all passages of a language share would hide what a passage is about, so each is
+    # divided by its singular value
+    basis = (basis / np.maximum(singular, 1e-9 * singular[0]))[:, :rank]
     return Space((basis * idf[:, None]).astype(np.float32).tobytes(), basis.shape[1])
 
 
@@ -226,14 +231,17 @@ def _opened(items: Items, space: Space):
     scales = [(s, np.flatnonzero(size == s), latent[size == s].T.copy()) for s in SIZES if (size == s).any()]
     answers = [np.frombuffer(a, np.uint64) for a in items.answers]
     used = np.zeros((len(own), len(terms.hashes) + 1), bool)  # the last column, also -1, is for other words
+    places, counts = np.zeros(used.shape, np.int16), []  # an item's words by its own numbers
     for k, w in enumerate(own):
-        used[k, np.searchsorted(terms.hashes, w)] = True
-    return terms, np.concatenate([project, np.zeros((1, space.rank), np.float32)]), own, answers, scales, used
+        at, times = np.unique(np.searchsorted(terms.hashes, w), return_counts=True)
+        used[k, at], places[k, at] = True, np.arange(len(at))
+        counts.append(times)
+    return terms, project, own, answers, scales, used, places, counts
 
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.75
+    cosine: float = 0.7
     copied: float = 0.7
     paraphrased: float = 0.6
     answered: float = 0.75
@@ -241,7 +249,7 @@ class Limits:
 
 def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, limits: Limits) -> list[tuple]:
     """(row, item id, cosine, share of the subsequence, answer held) for the items that rows hold, by row."""
-    terms, project, own, answers, scales, used = _opened(items, space)
+    terms, project, own, answers, scales, used, places, counts = _opened(items, space)
     h, first = word_hashes(raw, ends)
     term = terms.number(h)
     count = np.diff(first)
@@ -250,10 +258,12 @@ def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, li
     base = np.concatenate([[0], np.cumsum(blocks)])
     row = np.repeat(np.arange(len(count)), count)
     block = base[row] + (np.arange(len(h)) - first[row]) // STEP
-    begin = np.flatnonzero(np.diff(block, prepend=-1))
     sums = np.zeros((int(base[-1]) + 1, space.rank))
-    if len(begin):
-        np.cumsum(np.add.reduceat(project[term], begin), axis=0, out=sums[1:], dtype=np.float64)
+    known = np.flatnonzero(term >= 0)
+    if len(known):
+        begin = np.flatnonzero(np.diff(block[known], prepend=-1))
+        sums[block[known[begin]] + 1] = np.add.reduceat(project[term[known]], begin)
+        np.cumsum(sums, axis=0, out=sums)
     owner = np.repeat(np.arange(len(count)), blocks)
     hits: list[np.ndarray] = [np.zeros((3, 0))]  # row and item, first block, cosine
     for size, which, latent in scales:
@@ -283,9 +293,14 @@ def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, li
         for lo, hi in _joined(((at[lo_at:hi_at] - base[r]) * STEP).tolist(), reach):
             lo, hi = first[r] + max(0, lo - len(item) // 2 - STEP), min(first[r + 1], first[r] + hi + reach)
             # only words of the item can be in a common subsequence
-            text = h[lo:hi][used[i][term[lo:hi]]]
-            if len(text) < limits.paraphrased * len(item):
+            inside = used[i][term[lo:hi]]
+            if np.count_nonzero(inside) < limits.paraphrased * len(item):
                 continue
+            number = places[i][term[lo:hi][inside]]
+            # no subsequence is longer than the words in common, each as often as in both
+            if np.minimum(np.bincount(number, minlength=len(counts[i])), counts[i]).sum() < limits.paraphrased * len(item):
+                continue
+            text = h[lo:hi][inside]
             shared = lcs(item, text)
             if shared >= limits.paraphrased * len(item):
                 found = max(found, (shared, lcs(answers[i], text) >= limits.answered * len(answers[i])))
@@ -324,7 +339,7 @@ def _joined(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield lo, hi
 
 
-def searches(docs: DataFrame, benchmark: DataFrame, *, rank: int = 32, least: int = 8, block: int = 1000, limits: Limits = Limits()) -> Iterator[Column]:
+def searches(docs: DataFrame, benchmark: DataFrame, *, rank: int = 40, least: int = 8, block: int = 1000, limits: Limits = Limits()) -> Iterator[Column]:
     """For each block of items a column that tells what ``text`` holds of it, fitted on ``docs``.
 
     ``block``: items searched at once; more are searched block after block.

@@ -104,7 +104,7 @@ def read_items(rows: list, least: int) -> Items:
 def _passages(batches, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Per piece of a task's texts: (passage, term) pairs once each, and the number of passages."""
     terms = _terms(items)
-    for _, raw, ends in parts(batches):
+    for _, raw, ends in parts(batches, 1 << 20):
         h, first = word_hashes(raw, ends)
         count = np.diff(first)
         base = np.concatenate([[0], np.cumsum(-(-count // PASSAGE))])
@@ -320,7 +320,7 @@ def items_of(text: Column, items: Items, space: Space, limits: Limits) -> Column
         for column in arrays:
             raw, ends = text_arrays(column)
             out: list[list] = [[] for _ in range(len(column))]
-            for lo, hi in slices(ends, 2 << 20):
+            for lo, hi in slices(ends, 1 << 20):
                 for r, *found in held_items(raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], items, space, limits):
                     out[lo + r].append(dict(zip(("item_id", "cosine", "lcs", "answer"), found)))
             yield pa.array(out, _HELD)

@@ -8,12 +8,13 @@ fewer words the whole sequence is one shingle. Documents are linked if 100 * int
    of ``rows`` samples, chosen at random) and an odd sketch: a bitmap whose bits are flipped by the
    samples, so that the XOR of two bitmaps has a population count that tells how many samples differ.
 2. Documents with equal sets collapse into a class, whose least id stands for it.
-3. Classes that share a band key are candidates. Keys of many classes come first, in passes: they are
-   dealt to tasks of bounded size, which cluster their classes by the sketches, starting from the
-   groups known so far, and give one pair for each join of clusters and the few most alike classes of
-   other clusters for each class; some classes of each cluster then meet those of the key's other
-   tasks. What is confirmed makes groups for the next pass, which looks for more partners outside
-   them, until a pass finds no link. So a group of n near copies gives about n pairs a key, not n * n.
+3. Classes that share a band key are candidates. Keys of many classes come first, in passes that only
+   save work: their classes are dealt to tasks of bounded size, which cluster them by the sketches,
+   starting from the groups known so far, and give one pair for each join of clusters and a few most
+   alike classes of other clusters for each class. What is confirmed makes groups. Then every two
+   classes of such a key that are in different groups meet in a block of two shares of the key. What
+   passes there is given as pairs, or, where there are more than PAIRS for each class, as a family of
+   classes, whose full sets are then compared in blocks, all that are in different groups.
 4. Candidates pass if the sketches estimate a similarity of at least CUT, and are confirmed on the
    full sets. Keys of few classes then give all their pairs between classes that these links do not
    yet join, which pass and are confirmed alike.
@@ -32,7 +33,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,9 +46,9 @@ from .graph import components
 
 SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
 SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
-FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs; classes in one task beyond that
-HEADS = 8  # classes of a cluster that meet those of a key's other tasks
-PARTNERS = (2, 4, 8, 16)  # most alike classes of other groups that a class is paired with in a key, by pass
+FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs at once; classes in one share beyond that
+PARTNERS = (2, 4)  # most alike classes of other groups that a class is paired with in a key, by clustering pass
+PAIRS = 4  # pairs for each class of a block that are given one by one
 CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
 
 
@@ -159,8 +160,7 @@ def _exploded(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
-    """Candidate pairs among the classes of one task's share of a key, and, if the key
-    has other tasks, some of each cluster (b = NULL).
+    """Likely pairs among the classes of one task's share of a key.
 
     Clusters start as the groups that are known. Classes whose sketches are near join clusters, and one
     pair is given for each join. Then each class gives its ``partners`` most alike ones of other
@@ -176,7 +176,7 @@ def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
     cluster = np.unique(pdf["known"].to_numpy(np.int64)[order], return_inverse=True)[1]
     same, pairs, unsure = np.zeros(len(ids), bool), [], []
     for k in range(len(ids)):
-        if same[k]:  # nearly equal to one that has been compared with all
+        if same[k]:  # nearly equal to one that has been compared with all; the blocks compare it
             continue
         near = estimate(np.bitwise_count(sketch ^ sketch[k]).sum(1, dtype=np.int64))
         same |= near >= SAME
@@ -188,33 +188,111 @@ def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
         unsure.append((k, other[len(sure) :]))
     for k, other in unsure:
         pairs += [(ids[k], ids[j]) for j in other[cluster[other] != cluster[k]][:partners]]
-    # where the key has other tasks: the first of each cluster, by the order
-    by = np.argsort(cluster, kind="stable")
-    turn = np.arange(len(by)) - np.searchsorted(cluster[by], cluster[by])
-    heads = ids[by[turn < HEADS]] if pdf["share"].iloc[0] > 1 else ids[:0]
-    a = [min(p) for p in pairs] + heads.tolist()
-    b = [max(p) for p in pairs] + [None] * len(heads)
-    return pd.DataFrame({"band": np.full(len(a), band), "a": pd.array(a, "Int64"), "b": pd.array(b, "Int64")})
-
-
-def _large_keys(met: DataFrame, sketches: DataFrame, groups: DataFrame, partners: int) -> list[DataFrame]:
-    """Candidate pairs of keys with many classes, by rounds of tasks of about CHUNK classes each."""
-    known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("known"))
-    known = saved(known, "known")
-    found, many, before = [], met.select("band", "cls"), None
-    while True:
-        sizes = saved(many.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("share")), "key-sizes")
-        part = F.pmod(F.xxhash64("cls", F.col("band").bitwiseAND(1), F.lit(partners)), F.col("share"))
-        rows = many.join(sizes, "band").withColumn("part", part).join(known, "cls")
-        tried = saved(rows.groupBy("band", "part").applyInPandas(lambda pdf: _within(pdf, partners), "band long, a long, b long"), "within")
-        found.append(tried.filter("b is not null").select("a", "b"))
-        split = sizes.filter("share > 1").select("band")
-        # some of each cluster meet those of their key's other tasks, as long as that makes them fewer
-        many = saved(tried.filter("b is null").select("band", F.col("a").alias("cls")).join(split, "band"), "heads")
-        now = many.count()
-        if not now or before is not None and 2 * now > before:
-            return found
-        before = now
+    return pd.DataFrame({"a": np.array([min(p) for p in pairs], np.int64), "b": np.array([max(p) for p in pairs], np.int64)})
+
+
+def _likely(met: DataFrame, known: DataFrame, partners: int) -> DataFrame:
+    """Likely pairs of keys with several known groups, by tasks of about CHUNK classes each."""
+    rows = met.join(known, "cls")
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("share"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo < hi").select("band", "share")
+    # dealt anew in each pass
+    part = F.pmod(F.xxhash64("cls", F.col("band").bitwiseAND(1), F.lit(partners)), F.col("share"))
+    dealt = rows.join(sizes, "band").select("band", part.alias("part"), "cls", "sketch", "known")
+    return dealt.groupBy("band", "part").applyInPandas(lambda pdf: _within(pdf, partners), "a long, b long")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(key, i, j, share, cls): every two classes of a key with different ``known`` groups are in one
+    block (key, i, j), of one share (i = j) or of two. rows: key, cls, known.
+
+    Classes are dealt to shares of about CHUNK, those of a long key's largest group apart from the
+    others, as they need not meet each other.
+    """
+    counts = rows.groupBy("key", "known").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "known")).alias("top")).filter("n > top.c")
+    long = F.col("n") > CHUNK
+    sizes = saved(
+        sizes.select(
+            "key", F.when(long, F.col("top.known")).alias("top"), F.when(long, F.ceil((F.col("n") - F.col("top.c")) / CHUNK)).otherwise(1).alias("others"),
+            F.when(long, F.ceil(F.col("top.c") / CHUNK)).otherwise(0).alias("tops"),
+        ),
+        "key-shares",
+    )
+    spot, own = F.xxhash64("cls", F.lit("share")), F.col("known") == F.col("top")
+    dealt = rows.join(sizes, "key").select(
+        "key", "cls", F.when(own, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).alias("share"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(own, 0).otherwise(F.col("tops")))).alias("with"),
+    )
+    return dealt.select("key", F.least("share", "with").alias("i"), F.greatest("share", "with").alias("j"), "share", "cls")
+
+
+def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Ids, sketches and groups of a block, its first share before the other; classes k < stop meet those
+    from max(k + 1, start) on."""
+    ids, sketch = pdf["cls"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        return ids, sketch, pdf["known"].to_numpy(np.int64), len(ids), 0
+    n = int((pdf["share"] == pdf["i"]).sum())
+    return ids, sketch, pdf["known"].to_numpy(np.int64), n, n
+
+
+@lru_cache(maxsize=1)
+def _far() -> int:
+    """Most differing bits of sketches whose estimate is at least CUT."""
+    return int(np.count_nonzero(estimate(np.arange(BITS // 2)) >= CUT)) - 1
+
+
+def _unsure(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block that pass, or where they are many, each class of them with the least (family)."""
+    pdf = pdf.drop_duplicates(["cls", "sketch", "share"]).sort_values(["share", "cls"], kind="stable")
+    ids, sketch, known, stop, start = _block(pdf)
+    first, second, total = [], [], 0
+    held = np.zeros(len(ids), bool)
+    for k in range(stop):
+        lo = max(k + 1, start)
+        near = np.bitwise_count(sketch[lo:] ^ sketch[k]).sum(1, dtype=np.int64) <= _far()
+        met = lo + np.flatnonzero(near & (known[lo:] != known[k]))
+        if len(met):
+            total += len(met)
+            held[k] = True
+            held[met] = True
+            if total <= PAIRS * len(ids):
+                first.append(np.full(len(met), ids[k]))
+                second.append(ids[met])
+    many = total > PAIRS * len(ids)
+    if many:
+        second = [np.unique(ids[held])]
+        first = [np.full(len(second[0]), second[0][0])]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "family": np.full(len(a), many)})
+
+
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block, confirmed on the full sets: as many as join all that its links join."""
+    pdf = pdf.sort_values(["share", "cls"], kind="stable")
+    ids, sketch, known, stop, start = _block(pdf)
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(int(number.max(initial=0)) + 1, bool)
+    cluster, pairs = np.unique(known, return_inverse=True)[1], []
+    for k in range(stop):
+        lo = max(k + 1, start)
+        met = lo + np.flatnonzero((cluster[lo:] != cluster[k]) & (np.bitwise_count(sketch[lo:] ^ sketch[k]).sum(1, dtype=np.int64) <= _far()))
+        if not len(met):
+            continue
+        own = number[at[k] : at[k + 1]]
+        held[own] = True
+        n = size[met]
+        begin = np.cumsum(n) - n
+        both = np.add.reduceat(held[number[np.repeat(at[met] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+        held[own] = False
+        for j in met[100 * both >= 75 * (size[k] + n - both)]:
+            if cluster[j] != cluster[k]:
+                pairs.append((ids[k], ids[j]))
+                cluster[cluster == cluster[j]] = cluster[k]
+    return pd.DataFrame({"a": np.array([min(p) for p in pairs], np.int64), "b": np.array([max(p) for p in pairs], np.int64)})
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -225,22 +303,39 @@ def shared_keys(classes: DataFrame) -> DataFrame:
 
 
 def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links of keys with many classes, in passes.
+    """Confirmed links of keys with many classes; they join all that any two classes of a key that pass do.
 
-    A pass starts from the groups that the links found so far make and looks for partners outside
-    them, more of them each time; passes end when one finds no new link.
+    Clustering passes find most links with few pairs; each starts from the groups that the links found
+    so far make. Then all classes of a key that are still in different groups meet in blocks.
     """
     links = texts.sparkSession.createDataFrame([], "a long, b long")
-    tried, groups, large = links, components(links), met.filter(F.col("n") > FEW)
+    tried, groups, large = links, components(links), met.filter(F.col("n") > FEW).select("band", "cls")
+
+    def known_now() -> DataFrame:
+        known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+        return saved(known.select("cls", "sketch", F.coalesce("component", "cls").alias("known")), "known")
+
     for partners in PARTNERS:
-        pairs = reduce(DataFrame.unionByName, _large_keys(large, sketches, groups, partners)).filter("a < b").distinct()
+        pairs = _likely(large, known_now(), partners).filter("a < b").distinct()
         pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-many")
         new = saved(confirmed(pairs, texts), "links-new")
         links, tried = links.unionByName(new), tried.unionByName(pairs)
         if not new.limit(1).count():
             break
         groups = components(links)
-    return links
+    known = known_now()
+    group = known.select("cls", "known").distinct()
+    met_in = blocks(large.join(group, "cls").select(F.col("band").alias("key"), "cls", "known"))
+    found = saved(met_in.join(known, "cls").groupBy("key", "i", "j").applyInPandas(_unsure, "a long, b long, family boolean").distinct(), "unsure")
+    pairs = saved(found.filter("not family and a < b").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs-unsure")
+    links = links.unionByName(saved(confirmed(pairs, texts), "links-unsure"))
+    families = found.filter("family")
+    if not families.limit(1).count():
+        return links
+    rows = components(families).select(F.col("component").alias("key"), F.col("node").alias("cls")).join(group, "cls")
+    sets = saved(full_sets(rows.select(F.col("cls").alias("doc_id")).distinct(), texts), "sets")
+    met_in = blocks(rows.select("key", "cls", "known")).join(known, "cls").join(sets, "cls")
+    return links.unionByName(saved(met_in.groupBy("key", "i", "j").applyInPandas(_linked, "a long, b long").filter("a < b").distinct(), "links-families"))
 
 
 def pairs_of_few(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
@@ -283,14 +378,18 @@ def _confirm(batches) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; only texts of documents in pairs are read into sets."""
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids-met")
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, own): the sets of the texts of ``ids`` (doc_id); an id with several texts has several."""
+    ids = saved(ids, "ids-met")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)  # at most 8 bytes for each of SENT_IDS; beyond that the texts are moved
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "cls long, own binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough; only texts of documents in pairs are read into sets."""
     # an id with several texts is linked if one of them is
-    near = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = saved(near.mapInArrow(_sets, "cls long, own binary"), "sets")
+    sets = saved(full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs), "sets")
     return (
         pairs.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")

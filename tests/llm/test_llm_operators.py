@@ -184,6 +184,45 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
         assert r.component_id == root[r.doc_id]
 
 
+def test_links_among_many_alike(spark, monkeypatch):
+    """Documents of one template at 0.62 to 0.73, which are not linked, with pairs at 0.75 to 0.8 and chains."""
+    monkeypatch.setattr(near_dup, "CHUNK", 60)
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base, docs = fresh(130), []
+    for _ in range(1000):
+        docs.append((fresh(n := rng.randrange(12, 18)), fresh(30 - n)))
+    for _ in range(150):  # a pair with a few words more in common
+        docs.append(own := (fresh(15), fresh(15)))
+        docs.append((fresh(15), own[1][: rng.randrange(9, 13)] + fresh(4)))
+    for _ in range(6):  # chains: each document is linked to the one before and the one after it only
+        left, right = fresh(15), fresh(15)
+        for k in range(12):
+            docs.append((left, right))
+            left, right = (left, right[:10] + fresh(5)) if k % 2 else (fresh(5) + left[5:], right)
+            left, right = (fresh(15), right) if k % 2 == 0 else (left, fresh(15))
+    rng.shuffle(docs)
+    rows = [(k, " ".join(a + base + b)) for k, (a, b) in enumerate(docs)]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {k: find(k) for k in range(len(rows))}
+    assert sum(want[k] != k for k in want) >= 200
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[k] != want[k] for k in want) == 0
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(4)
     for share in (0.5, 0.75, 0.9):

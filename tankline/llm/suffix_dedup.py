@@ -13,8 +13,8 @@ one document into the next and are judged on the input.
    double in depth, finished groups are left alone) and the common prefixes of neighbours by Kasai's
    method; runs of suffixes with WINDOW bytes in common and different places are repeats.
 3. Merging. Shards that share an anchor give their windows that are not yet known to repeat, and one
-   of each repeat, as runs sorted by 128-bit fingerprints, cut into ranges; each range is merged by
-   binary search of every run in the others.
+   of each repeat, as runs sorted by 128-bit fingerprints, cut into ranges; windows of a range that
+   have an equal one at another place are repeats.
 
 Results: a row for each input row. NULL and empty texts have no bytes. Equal rows are documents like
 any others, so all they hold that is long enough goes; ids may repeat or be NULL. Texts are UTF-8
@@ -298,14 +298,15 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     runs = [np.frombuffer(x.as_buffer(), np.int64).reshape(5, -1) for x in table.column("run")]
     # two 64-bit halves as one key that compares like the pair
     keys = [np.stack([r[0].view(np.uint64), r[1].view(np.uint64)], axis=1).astype(">u8").copy().view("S16").ravel() for r in runs]
-    row, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    merged = np.sort(np.concatenate(keys))
-    for r, k in zip(runs, keys):
-        met = np.searchsorted(merged, k, side="right") - np.searchsorted(merged, k, side="left") > 1
-        new = met & (r[4] == 0)
-        row.append(r[2, new])
-        lo.append(r[3, new])
-    row, lo = np.concatenate(row), np.concatenate(lo)
+    key, (row, lo, known) = np.concatenate(keys), np.concatenate(runs, axis=1)[2:]
+    order = np.argsort(key, kind="stable")
+    key, row, lo, known = key[order], row[order], lo[order], known[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(first, append=len(key))
+    # overlapping contexts bring a window to several shards; it repeats only if it has another place
+    elsewhere = (row != np.repeat(row[first], n)) | (lo != np.repeat(lo[first], n))
+    new = np.repeat(np.add.reduceat(elsewhere, first) > 0, n) & (known == 0)
+    row, lo = row[new], lo[new]
     row, lo, hi = joined(row, lo, lo + WINDOW)
     return pa.table([pa.array(row), pa.array(lo), pa.array(hi)], names=["row", "lo", "hi"])
 

@@ -144,6 +144,23 @@ def test_suffix_dedup_over_several_shards(spark, monkeypatch):
     assert got == dict(enumerate(cut_repeats(texts)))
 
 
+def test_suffix_dedup_beside_runs_over_several_shards(spark, monkeypatch):
+    """Unique text beside runs: a window holds its anchor's string at several places, and is no repeat of itself."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4)
+    rng = random.Random(15)
+    own = lambda: "".join(rng.choice("abcdefghijkl ") for _ in range(rng.randrange(220, 400)))
+    signs = [chr(c) for c in range(33, 127)]
+    at = np.arange(len(signs)) * suffix_dedup.GRAM
+    hasher = suffix_dedup._hashers()[0]
+    hasher.load(np.repeat(np.array([ord(c) for c in signs], np.uint8), suffix_dedup.GRAM))
+    sign = signs[int(np.argmin(hasher.hashes(at, at + suffix_dedup.GRAM)))]  # its run is the anchor of most windows that hold it
+    texts = [own() + sign * rng.randrange(64, 191) + own() for _ in range(90)]
+    texts += [texts[0], texts[70][:500]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table).collect()}
+    assert got == dict(enumerate(cut_repeats(texts)))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for _ in range(20):

@@ -4,14 +4,16 @@
    lower case) are the terms; how many passages of the corpus hold each is counted over all documents.
 2. The TF-IDF matrix of all passages (PASSAGE words each, unit rows) is sketched in one distributed
    pass, sum of A'(A Omega), from which the driver draws its leading right singular vectors.
-3. Windows of the documents, of sizes near each item's and at steps of STEP words, are projected and
-   compared with the items by cosine; what reaches ``cosine`` is a candidate.
+3. Items longer than the largest window are cut into pieces that are not. Windows of the documents, of
+   sizes near each piece's and at steps of STEP words, are projected and compared with the pieces by
+   cosine; what reaches ``cosine`` for one piece makes its whole item a candidate.
 4. A candidate's words, with a margin, are compared with the item's: the item is held if the longest
    common subsequence has ``copied`` of its words, or, for paraphrases, ``paraphrased`` of them and
    ``answered`` of the answer's, the item's last sentence.
+5. Items under ``least`` words are held where all their words stand side by side in their order.
 
 Results: a row for each document and item it holds. A NULL or empty text or item holds nothing and is
-held by nothing, as is an item under ``least`` words. Rows are searched one by one, so ids may repeat
+held by nothing. Rows are searched one by one, so ids may repeat
 or be NULL; items that repeat are reported once each per item_id. Other columns are not looked at. An
 empty table on either side gives no rows.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Rolling, parts, plain, slices, text_arrays, words
+from .common import LETTER, Rolling, mix, parts, plain, slices, text_arrays, words
 from .language import folded
 
 PASSAGE, STEP = 32, 6
@@ -79,6 +81,7 @@ class Items:
     ids: tuple
     words: tuple[bytes, ...]
     answers: tuple[bytes, ...]
+    short: tuple[tuple, ...] = ()  # (id, words) of items under ``least`` words
 
 
 @lru_cache(maxsize=2)
@@ -87,18 +90,20 @@ def _terms(items: Items) -> Terms:
 
 
 def read_items(rows: list, least: int) -> Items:
-    ids, own, answers = [], [], []
+    ids, own, answers, short = [], [], [], []
     for item, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         h = word_hashes(raw, np.array([0, len(raw)]))[0]
         if len(h) < least:
+            if len(h):
+                short.append((item, h.tobytes()))
             continue
         sentences = [s for s in (text or "").replace("?", ".").replace("!", ".").replace("\n", ".").split(".") if any(c.isalnum() for c in s)]
         last = np.frombuffer(sentences[-1].encode(), np.uint8)
         ids.append(item)
         own.append(h.tobytes())
         answers.append(word_hashes(last, np.array([0, len(last)]))[0].tobytes())
-    return Items(tuple(ids), tuple(own), tuple(answers))
+    return Items(tuple(ids), tuple(own), tuple(answers), tuple(short))
 
 
 def _passages(batches, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -225,13 +230,15 @@ def _opened(items: Items, space: Space):
     terms = _terms(items)
     project = np.frombuffer(space.rows, np.float32).reshape(-1, space.rank)
     own = [np.frombuffer(w, np.uint64) for w in items.words]
-    latent = np.stack([project[np.searchsorted(terms.hashes, w)].sum(0) for w in own])
+    pieces = [(k, int(x[0]), x) for k, w in enumerate(own) for x in np.array_split(np.arange(len(w)), -(-len(w) // SIZES[-1]))]
+    latent = np.stack([project[np.searchsorted(terms.hashes, own[k][x])].sum(0) for k, _, x in pieces])
     latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1))[:, None]
-    size = np.array([min(SIZES, key=lambda s: abs(s - len(w))) for w in own])
-    scales = [(s, np.flatnonzero(size == s), latent[size == s].T.copy()) for s in SIZES if (size == s).any()]
+    size = np.array([min(SIZES, key=lambda s: abs(s - len(x))) for *_, x in pieces])
+    whole, ahead = np.array([k for k, *_ in pieces]), np.array([at // STEP for _, at, _ in pieces])  # its item, blocks of it before
+    scales = [(s, whole[size == s], ahead[size == s], latent[size == s].T.copy()) for s in SIZES if (size == s).any()]
     answers = [np.frombuffer(a, np.uint64) for a in items.answers]
     used = np.zeros((len(own), len(terms.hashes) + 1), bool)  # the last column, also -1, is for other words
-    places, counts = np.zeros(used.shape, np.int16), []  # an item's words by its own numbers
+    places, counts = np.zeros(used.shape, np.int32), []  # an item's words by its own numbers
     for k, w in enumerate(own):
         at, times = np.unique(np.searchsorted(terms.hashes, w), return_counts=True)
         used[k, at], places[k, at] = True, np.arange(len(at))
@@ -239,6 +246,36 @@ def _opened(items: Items, space: Space):
     return terms, project, own, answers, scales, used, places, counts
 
 
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on."""
+    value = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(value)])
+    return value
+
+
+@lru_cache(maxsize=2)
+def _short(items: Items) -> list[tuple[int, np.ndarray, list]]:
+    """Of each number of words the hashes of the short items, sorted, and the ids of each."""
+    by: dict[int, dict[int, list]] = {}
+    for item, own in items.short:
+        w = np.frombuffer(own, np.uint64)
+        by.setdefault(len(w), {}).setdefault(int(_sequences(w, len(w))[0]), []).append(item)
+    return [(n, np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)]) for n, x in by.items()]
+
+
+def held_short(h: np.ndarray, first: np.ndarray, items: Items) -> list[tuple]:
+    """What ``held_items`` gives, for the short items."""
+    out: set[tuple] = set()
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n, hashes, ids in _short(items):
+        value = _sequences(h, n)
+        at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+        hit = np.flatnonzero((hashes[at] == value) & (row[: len(value)] == row[n - 1 :][: len(value)]))
+        out |= {(int(r), item, 1.0, 1.0, True) for r, k in set(zip(row[hit].tolist(), at[hit].tolist())) for item in ids[k]}
+    return list(out)
+
+
 @dataclass(frozen=True)
 class Limits:
     cosine: float = 0.7
@@ -249,8 +286,11 @@ class Limits:
 
 def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, limits: Limits) -> list[tuple]:
     """(row, item id, cosine, share of the subsequence, answer held) for the items that rows hold, by row."""
-    terms, project, own, answers, scales, used, places, counts = _opened(items, space)
     h, first = word_hashes(raw, ends)
+    out = held_short(h, first, items)
+    if not items.ids:
+        return out
+    terms, project, own, answers, scales, used, places, counts = _opened(items, space)
     term = terms.number(h)
     count = np.diff(first)
     # blocks of STEP words, rows apart from each other
@@ -266,7 +306,7 @@ def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, li
         np.cumsum(sums, axis=0, out=sums)
     owner = np.repeat(np.arange(len(count)), blocks)
     hits: list[np.ndarray] = [np.zeros((3, 0))]  # row and item, first block, cosine
-    for size, which, latent in scales:
+    for size, which, ahead, latent in scales:
         n = size // STEP
         start = np.arange(int(base[-1]))
         stop = np.minimum(start + n, base[owner + 1]) if len(start) else start
@@ -279,13 +319,12 @@ def held_items(raw: np.ndarray, ends: np.ndarray, items: Items, space: Space, li
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             near = v @ latent
             w, i = np.nonzero(near >= limits.cosine * np.maximum(norm, 1e-6)[:, None])
-            hits.append(np.stack([owner[a[w]] * len(own) + which[i], a[w], near[w, i] / norm[w]]))
+            hits.append(np.stack([owner[a[w]] * len(own) + which[i], a[w] - ahead[i], near[w, i] / norm[w]]))
     key, at, near = np.concatenate(hits, axis=1)
     order = np.lexsort((at, key))
     key, at, near = key[order].astype(np.int64), at[order].astype(np.int64), near[order]
     cut = np.flatnonzero(np.diff(key, prepend=-1))
     top = np.maximum.reduceat(near, cut) if len(cut) else near
-    out: list[tuple] = []
     for lo_at, hi_at, c in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], top.tolist()):
         r, i = divmod(int(key[lo_at]), len(own))
         item, found = own[i], (0, False)
@@ -348,8 +387,9 @@ def searches(docs: DataFrame, benchmark: DataFrame, *, rank: int = 40, least: in
 
     def search(some: list) -> Iterator[Column]:
         own = read_items(some, least)
-        if own.ids:
-            yield items_of(F.col("text"), own, fit_space(rows, own, rank), limits)
+        if own.ids or own.short:
+            space = fit_space(rows, own, rank) if own.ids else Space(b"", 1)
+            yield items_of(F.col("text"), own, space, limits)
 
     items: list = []
     for r in plain(benchmark, "item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():

@@ -319,6 +319,20 @@ def test_decontamination(spark, con, docs):
     assert len(got) <= len(exact) + 12
 
 
+def test_decontamination_of_long_and_short_items(spark, docs):
+    """Word-for-word copies of items of 200 to 400 words, and of three to six."""
+    rng = random.Random(21)
+    known = [w for _, t in docs for w in (t or "").split() if w.isalpha()]
+    item = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    items = [(k, item(n)) for k, n in enumerate([200, 250, 300, 350, 400] * 4)] + [(100 + k, item(3 + k % 4) + f" unusual{k}") for k in range(12)]
+    filler = lambda: item(90)
+    rows = [(5000 + k, f"{filler()} {t} {filler()}") for k, t in items]
+    table = spark.createDataFrame(docs + rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((5000 + k, k) in got for k, _ in items if k < 100) >= 19
+    assert {x for x in got if x[1] >= 100} == {(5000 + k, k) for k, _ in items if k >= 100}
+
+
 def test_subsequence():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, licenses, line_dedup, near_dup, quality, suffix_dedup, toxicity
+from . import byte_bpe, decontam, language, licenses, line_dedup, near_dup, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,10 @@ def op4_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_license_scan")
 def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(documents(spark, d))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.token_digests(documents(spark, d), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

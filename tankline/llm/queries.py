@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, language, licenses, line_dedup, near_dup, quality, suffix_dedup, toxicity
+from . import alignment, byte_bpe, decontam, hard_negatives, language, licenses, line_dedup, near_dup, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,15 @@ def op13_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.token_digests(documents(spark, d), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_hard_negatives", hard_negatives.SQL)
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{d}/embeddings.parquet"))

@@ -1,14 +1,12 @@
-"""Byte-level BPE encoding and decoding with higher-order functions.
+"""Byte-level BPE encoding and decoding, by a fold of higher-order functions over distinct words.
 
-Words (the matches of the splitting pattern) are arrays of byte tokens. A fold merges, again and
-again, the leftmost pair of the least rank; the ranks come from a literal map. The id of a merged
-pair is its rank, so the fold needs no byte strings.
-
-1. The distinct words of all texts are counted. A table of ``slots`` hash slots takes the most frequent
-   word of each; these are folded once each, and the table reaches the tasks as literals.
-2. Every text looks its words up there. Words that are not in the table are folded where they stand,
-   so the bound on the table drops nothing, and no text is ever shuffled.
-3. Decoding joins the byte pieces of the ids.
+1. Spark cuts the texts into words, the matches of the splitting pattern. Blocks of documents (about
+   BLOCK bytes) keep a list of their distinct words, and each document the numbers of its words in it.
+2. Every distinct word of the corpus is encoded once: a word is an array of byte tokens, and a fold
+   merges, again and again, the leftmost pair of the least rank. The ranks come from a literal map;
+   the id of a merged pair is its rank, so the fold needs no byte strings.
+3. The ids of its words go back to every block, and its documents are put together. Decoding joins the
+   byte pieces of the ids.
 
 Spark searches a map from end to end, so the rank map is a perfect hash table in an array: a pair's
 group tells a shift that moves the pairs of the group to slots of their own.
@@ -18,8 +16,8 @@ before it. Where the first of these tokens comes out unchanged, all before it st
 sequence of tokens is the encoding of its bytes if every two neighbours are that of theirs; else
 more tokens are taken, in the end all. So the work of a word grows with its length.
 
-A NULL or empty text has no tokens: its digests are those of the empty string. Very long texts are
-handled whole by one task. Rows that repeat, also with one id, are rows of the result each; a NULL
+A NULL or empty text has no tokens: its digests are those of the empty string. A very long text is one
+block, put together by one task. Rows that repeat, also with one id, are rows of the result each; a NULL
 id stays NULL; an empty table gives no rows. Ties of ranks go to the leftmost pair. Columns other
 than doc_id and text are not looked at. Letters and digits that the JVM's Unicode version does not
 know yet are taken from the library's.
@@ -28,19 +26,23 @@ know yet are taken from the library's.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, saved
+from .common import plain, saved, shuffle_width, slices
+from .gather import gathered, offsets, written
 
 LONG = 96  # bytes of a word that are folded at once
-SLOTS = 1 << 18  # words of the table
-WIDTH = 48  # tasks that fold the words of the table
+BLOCK = 16 << 20  # bytes of the words of a block
 TOP = 1 << 16  # above all ids
 
 
@@ -200,50 +202,93 @@ def jvm_pattern(spark: SparkSession, pattern: str) -> str:
     return "(?U)" + pattern
 
 
-class WordTable:
-    """The ids of at most ``slots`` words, as literals: every slot holds the most frequent of its words."""
+_ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("distinct", pa.list_(pa.string()))])
+_ROWS_SQL = "block long, doc_id long, numbers binary, distinct array<string>"
+
+
+def _blocks(batches) -> Iterator[pa.RecordBatch]:
+    """Documents with the numbers of their words in the list of their block, which its first row holds."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        words, rows = batch.column("words"), np.zeros(len(batch) + 1, np.int64)
+        np.cumsum(np.diff(words.offsets.to_numpy()), out=rows[1:])
+        flat = words.flatten().cast(pa.large_binary())
+        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        for lo, hi in slices(at[rows], BLOCK):
+            own = flat.slice(rows[lo], rows[hi] - rows[lo]).dictionary_encode()
+            data, ends = own.indices.to_numpy().astype("<i4"), (rows[lo : hi + 1] - rows[lo]).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(hi - lo, block)), batch.column("doc_id").slice(lo, hi - lo),
+                    pa.array([zlib.compress(data[x:y].tobytes(), 1) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([own.dictionary.cast(pa.large_string()).to_pylist(), *[None] * (hi - lo - 1)], pa.list_(pa.string())),
+                ],
+                schema=_ROWS,
+            )
+            block += 1
 
-    def __init__(self, texts: DataFrame, pattern: str, ranks: RankMap, slots: int):
-        self.slots = slots
-        words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word"))
-        counts = words.groupBy("word").count().filter(F.octet_length("word") <= LONG)
-        first = counts.groupBy(self._slot(F.col("word")).alias("slot")).agg(F.max(F.struct("count", "word"))["word"].alias("word"))
-        known = saved(first, "slot-words").repartition(WIDTH, "slot").select("slot", "word", encode_word(ranks, F.col("word")).alias("ids"))
-        word, at, size, ids = [""] * slots, [0] * slots, [0] * slots, []
-        # bounded by the number of slots, whatever the size of the corpus
-        for batch in saved(known, "word-table").toArrow().to_batches():
-            for slot, w, own in zip(*(batch.column(c).to_pylist() for c in ("slot", "word", "ids"))):
-                word[slot], at[slot], size[slot] = w, len(ids) + 1, len(own)
-                ids += own
-        self.word, self.at, self.size, self.ids = _literal(word, "array<string>"), _literal(at, "array<int>"), _literal(size, "array<int>"), _literal(ids, "array<bigint>")
 
-    def _slot(self, word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(self.slots)).cast("int")
+def _put_together(answer: Callable, schema: pa.Schema) -> Callable:
+    """For the documents of a block and its words: ``answer`` to all ids and the documents' offsets in them."""
 
-    def ids_of(self, word: Column) -> Column:
-        """The ids of a word of the table, NULL for any other."""
-        slot = self._slot(word)
-        return F.when(F.get(self.word, slot) == word, F.slice(self.ids, F.get(self.at, slot), F.get(self.size, slot)))
+    def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
+        own = words.sort_by("number").column("ids").combine_chunks()
+        pool, at = own.flatten().to_numpy().astype(np.int64), offsets(np.diff(own.offsets.to_numpy()))
+        numbers = [np.frombuffer(zlib.decompress(x), "<i4") for x in docs.column("numbers").to_pylist()]
+        ids, total = gathered(pool, at, np.concatenate([np.zeros(0, np.int32), *numbers]))
+        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *answer(ids, total[offsets(np.array([len(x) for x in numbers]))])], schema=schema)
 
+    return run
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, slots: int = SLOTS) -> DataFrame:
-    """Per row: doc_id, text, ids (array of bigint)."""
+
+def word_ids(docs: DataFrame, ranks: RankMap, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks (block, doc_id, numbers), and the ids of their words (of (a block), number, ids)."""
     texts = plain(docs, "doc_id", "text")
-    ranks, own = RankMap(read_ranks(ranks_path)), jvm_pattern(docs.sparkSession, pattern)
-    table = WordTable(texts.select("text"), own, ranks, slots)
-    words = F.regexp_extract_all("text", F.lit(own), F.lit(0))
-    ids = F.flatten(F.transform(words, lambda w: F.coalesce(table.ids_of(w), encode_word(ranks, w))))
-    return texts.select("doc_id", "text", F.coalesce(ids, F.array().cast("array<bigint>")).alias("ids"))
+    words = F.regexp_extract_all("text", F.lit(jvm_pattern(docs.sparkSession, pattern)), F.lit(0))
+    cut = texts.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    rows = saved(cut.mapInArrow(_blocks, _ROWS_SQL), "word-blocks")
+    # the fold is the work here, so the words are dealt to many tasks, however small they are
+    width = 4 * shuffle_width(docs.sparkSession)
+    listed = rows.filter("distinct is not null").select("block", F.posexplode("distinct").alias("number", "word")).repartition(width, "word")
+    encoded = listed.select("word").distinct().select("word", encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"))
+    return rows.select("block", "doc_id", "numbers"), listed.join(encoded, "word").select(F.col("block").alias("of"), "number", "ids")
+
+
+def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, answer: Callable, schema: pa.Schema, sql: str) -> DataFrame:
+    rows, words = word_ids(docs, RankMap(ranks), pattern)
+    return rows.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(_put_together(answer, schema), sql)
 
 
-def decoded(ids: Column, ranks: RankMap) -> Column:
-    """The bytes of a sequence of ids: their pieces, one after the other."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(ranks.pieces, i.cast("int"))), ""))
+def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Per row: doc_id, ids (array of int)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _answered(docs, read_ranks(ranks_path), pattern, lambda ids, at: [pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32))], schema, "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, ranks_path: str, pattern: str, slots: int = SLOTS) -> DataFrame:
+def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For ids: the bytes of their pieces, one after the other, and the n+1 offsets of the pieces."""
+    size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+    size[list(ranks.values())] = [len(t) for t in ranks]
+    pool = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+    return lambda ids: gathered(pool, offsets(size), ids)
+
+
+def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (the bytes decoded from them)."""
-    ranks = RankMap(read_ranks(ranks_path))
-    found = encode(docs, ranks_path, pattern, slots)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    decode = decoder(read_ranks(ranks_path))
+
+    def digests(ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        before = np.full(len(ids), ord(","), np.uint8)
+        before[at[:-1][at[1:] > at[:-1]]] = 0
+        text, size = written(ids, before)
+        raw, ends = decode(ids)
+        return [pa.array(np.diff(at)), *(_hashed(x.tobytes(), e[at]) for x, e in ((text, offsets(size)), (raw, ends)))]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _answered(docs, read_ranks(ranks_path), pattern, digests, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _hashed(data: bytes, at: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist())], pa.string())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -31,18 +32,27 @@ def odd_texts():
     return texts + ["".join(chr(rnd.choice([rnd.randrange(1, 0xD800), rnd.randrange(0xE000, 0x32000)])) for _ in range(200)) for _ in range(20)]
 
 
-@pytest.mark.parametrize("slots", [1, 64])  # most words are folded where they stand; some come from the table
-def test_ids_are_those_of_the_library(spark, library, slots):
+@pytest.mark.parametrize("block", [1, 1 << 24])  # a block for each document, or one for all of a batch
+def test_ids_are_those_of_the_library(spark, library, monkeypatch, block):
+    monkeypatch.setattr(byte_bpe, "BLOCK", block)
     texts = odd_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
-    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, slots).collect()}
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
     assert [i for i, x in enumerate(texts) if got[i] != library.encode_ordinary(x or "")] == []
 
 
+def test_round_trip():
+    ranks = byte_bpe.read_ranks(PATH)
+    texts = [t.encode() for t in odd_texts() if t]
+    ids = [[ranks[bytes([b])] for b in t] for t in texts]
+    raw, _ = byte_bpe.decoder(ranks)(np.concatenate([np.array(x) for x in ids]))
+    assert raw.tobytes() == b"".join(texts)
+
+
 def test_digests_null_empty_repeated_and_other_columns(spark, library):
     rows = [(1, None, 5), (2, "", 5), (None, "a tie a tie", 1), (3, "a tie", None), (3, "a tie", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").selectExpr("*", "1 as word", "2 as slot")
-    got = byte_bpe.token_digests(docs, PATH, public_tokenizers.PATTERN, 16).collect()
+    got = byte_bpe.token_digests(docs, PATH, public_tokenizers.PATTERN).collect()
     want = []
     for doc, text, _ in rows:
         ids = library.encode_ordinary(text or "")
@@ -51,12 +61,14 @@ def test_digests_null_empty_repeated_and_other_columns(spark, library):
 
 
 def test_empty_table(spark):
-    out = byte_bpe.token_digests(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN, 16)
+    out = byte_bpe.token_digests(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
 
 
-def test_no_text_is_shuffled(spark):
-    """The plan of the result has no exchange and no Python worker."""
-    docs = spark.createDataFrame([(1, "a b c")], SCHEMA)
-    plan = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, 16)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+def test_each_distinct_word_is_folded_once(spark):
+    """The fold stands behind the aggregate of the words, below the join that takes ids back."""
+    docs = spark.createDataFrame([(k, "a b a b") for k in range(50)], SCHEMA).repartition(4)
+    words = byte_bpe.word_ids(docs, byte_bpe.RankMap(byte_bpe.read_ranks(PATH)), public_tokenizers.PATTERN)[1]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [word") == 1 and "Python" not in plan.split("Aggregate [word")[0]
+    assert {tuple(r.ids) for r in words.collect()} == {(r,) for r in {byte_bpe.read_ranks(PATH)[w] for w in (b"a", b" a", b" b")}}

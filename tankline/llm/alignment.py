@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, plain, saved
 from .gather import gathered, offsets, written
+from .tokens import Encoder
 
 BLOCK = 1 << 20  # bytes of text whose links share a pair table
 _B = 1 << 20  # a pair is the id of B times this, plus the id of A
@@ -83,52 +85,83 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Pair:
-    """Ids of both tokenizers for stretches of text that begin with a space; remembers at most ``keep`` of them."""
+    """Ids of both tokenizers for stretches of text that begin with a space; remembers at most about ``keep`` of them."""
 
-    def __init__(self, a_path: str, b_path: str, keep: int = 200_000):
+    def __init__(self, a_path: str, b_path: str, keep: int = 400_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.rows = Encoder(a_path)
         byte = byte_level()
         size = self.a.get_vocab_size()
         tokens = [self.a.id_to_token(k) or "" for k in range(size)]
-        self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
-        self.b_bytes = [self._piece(k) for k in range(self.b.vocab_size())]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.keep, self.seen = keep, {}
+        own = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
+        other = [self._piece(k) for k in range(self.b.vocab_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (own, other))
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(t), np.uint8) for t in (own, other))
+        self.keep = keep
+        self._forget()
 
     def _piece(self, k: int) -> bytes:
         return bytes([int(self.b.id_to_piece(k)[1:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
 
+    def _forget(self) -> None:
+        """``seen`` numbers the stretches; ids of stretch k are pool[at[k] : at[k + 1]]."""
+        self.seen: dict[bytes, int] = {}
+        self.good = np.zeros(0, bool)
+        self.pools, self.ats = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+
     def _encode(self, stretches: list[bytes]) -> None:
         texts = [s.decode() for s in stretches]
-        for raw, a, b in zip(stretches, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1)):
-            same = b"".join(map(self.a_bytes.__getitem__, a.ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            self.seen[raw] = (np.array(a.ids, np.int32), np.array(b, np.int32), same)
-
-    def ids(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of A, their rows' offsets, ids of B, their rows' offsets, whether a row's bytes come out).
+        # the quick way takes the special token for a separator; stretches that hold it go one by one
+        plain_ = [not self.rows.mark or self.rows.mark not in t for t in texts]
+        quick = iter(self.rows._merge([t for t, p in zip(texts, plain_) if p]))
+        mine = [next(quick) if p else np.array(self.a.encode(t, add_special_tokens=False).ids, np.int32) for t, p in zip(texts, plain_)]
+        other = self.b.encode([t[1:] for t in texts], num_threads=1)
+        raw, length = np.frombuffer(b"".join(stretches), np.uint8), np.array([len(s) for s in stretches], np.int64)
+        good = np.ones(len(texts), bool)
+        for k, (ids, size, data) in enumerate(((np.concatenate(mine), self.a_size, self.a_bytes), (np.fromiter(chain.from_iterable(other), np.int64), self.b_size, self.b_bytes))):
+            at = offsets(np.array([len(x) for x in (mine, other)[k]], np.int64))
+            good &= _spells(ids, at, size, data, raw, length)
+            self.pools[k] = np.concatenate([self.pools[k], ids.astype(np.int32)])
+            self.ats[k] = np.concatenate([self.ats[k], self.ats[k][-1] + at[1:]])
+        self.good = np.concatenate([self.good, good])
+        self.seen.update(zip(stretches, range(len(self.seen), len(self.seen) + len(stretches))))
+
+    def ids(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, their rows' offsets, ids of B, their rows' offsets).
 
         raw, ends: rows that begin with a space each. Rows whose bytes do not come out have no ids.
         """
         starts = _stretches(raw, ends)
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         distinct, which = column.dictionary.to_pylist(), column.indices.to_numpy()
-        if len(self.seen) + len(distinct) > self.keep:
-            self.seen = {}
+        if len(self.seen) > self.keep:
+            self._forget()
         new = [s for s in distinct if s not in self.seen]
-        for lo in range(0, len(new), 5000):
-            self._encode(new[lo : lo + 5000])
-        own = [self.seen[s] for s in distinct]
+        if new:
+            self._encode(new)
+        which = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))[which]
         first = np.searchsorted(starts, ends)
-        good = np.array([x[2] for x in own], bool)[which]
-        whole = np.add.reduceat(np.append(~good, False), first[:-1], dtype=np.int64) * (np.diff(first) > 0) == 0
-        which = which[np.repeat(whole, np.diff(first))]
-        first = np.concatenate([[0], np.cumsum(np.diff(first) * whole)])
-        return (*_joined([x[0] for x in own], which, first), *_joined([x[1] for x in own], which, first), whole)
+        bad = offsets(~self.good[which])
+        whole = bad[first[1:]] == bad[first[:-1]]
+        which, first = which[np.repeat(whole, np.diff(first))], offsets(np.diff(first) * whole)
+        (a, at_a), (b, at_b) = (gathered(pool, at, which) for pool, at in zip(self.pools, self.ats))
+        return a, at_a[first], b, at_b[first]
+
+
+def _spells(ids: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the token bytes of each stretch are its own. data, size: bytes of all tokens; raw, length: of the stretches."""
+    spelt = np.diff(offsets(size[ids])[at])
+    same = spelt == length
+    mine = gathered(data, offsets(size), ids[np.repeat(same, np.diff(at))])[0]
+    differ = offsets(mine != raw[np.repeat(same, length)])
+    stop = np.cumsum(length[same])
+    same[same] = differ[stop] == differ[stop - length[same]]
+    return same
 
 
 def _stretches(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -142,13 +175,6 @@ def _stretches(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _joined(own: list[np.ndarray], which: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays own[w] for w in which, one after the other, and the offsets of rows of entries of ``which``."""
-    at = offsets(np.array([len(x) for x in own], np.int64))
-    ids, total = gathered(np.concatenate([np.zeros(0, np.int32), *own]), at, which)
-    return ids, total[first]
-
-
 @lru_cache(maxsize=1)
 def _pair(a_path: str, b_path: str) -> Pair:
     import os
@@ -170,7 +196,7 @@ class Aligned:
     """
 
     def __init__(self, pair: Pair, raw: np.ndarray, ends: np.ndarray):
-        self.a, self.first_a, self.b, self.first_b, _ = pair.ids(raw, ends)
+        self.a, self.first_a, self.b, self.first_b = pair.ids(raw, ends)
         self.end_a, self.end_b = np.cumsum(pair.a_size[self.a]), np.cumsum(pair.b_size[self.b])
         self.cut_a = shared_cuts(self.end_a, self.end_b, self.first_a)
         self.cut_b = np.zeros(len(self.b), bool)
@@ -179,11 +205,13 @@ class Aligned:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number in ``a`` and in ``b`` of every linked pair, in the order of bytes, and the rows' offsets."""
-        # every end of either closes one overlap; shared ends close one
-        end = np.concatenate([self.end_a, self.end_b[~self.cut_b]])
-        end.sort()
-        at = np.concatenate([[0], np.cumsum(np.diff(self.first_a) + np.diff(self.first_b) - self.n_groups)])
-        return np.searchsorted(self.end_a, end), np.searchsorted(self.end_b, end), at
+        # every end of either closes one overlap; a shared end closes one
+        order = np.argsort(np.concatenate([self.end_a, self.end_b[~self.cut_b]]), kind="stable")  # two ascending runs
+        of_a = order < len(self.a)
+        of_b = ~of_a
+        of_b[of_a] = self.cut_a
+        at = offsets(np.diff(self.first_a) + np.diff(self.first_b) - self.n_groups)
+        return np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b, at
 
     def digests(self) -> list[str]:
         """SHA-256 of each row's groups ``a1,a2|b1;a3|b2,b3``; '' for a row without tokens."""

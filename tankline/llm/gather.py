@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -17,15 +19,20 @@ def gathered(pool: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return pool[np.repeat(at[which] - total[:-1], size) + np.arange(total[-1])], total
 
 
+@lru_cache(maxsize=1)
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers below 10**5, right-justified, behind a free byte, and which of them are shown."""
+    n = np.arange(10**5)
+    digits, show = np.zeros((len(n), 6), np.uint8), np.zeros((len(n), 6), bool)
+    for k in range(5):
+        power = 10 ** (4 - k)
+        digits[:, k + 1] = 48 + n // power % 10
+        show[:, k + 1] = (n >= power) | (power == 1)
+    return digits, show
+
+
 def written(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal ids (below 10**7), each behind its separator (0: none), as bytes, and the number of bytes of each."""
-    digits = np.empty((len(ids), 8), np.uint8)
-    digits[:, 0] = before
-    show = np.ones(digits.shape, bool)
-    show[:, 0] = before > 0
-    for k in range(7):
-        power = 10 ** (6 - k)
-        digits[:, k + 1] = 48 + ids // power % 10
-        if power > 1:
-            show[:, k + 1] = ids >= power
+    """Decimal ids (below 10**5), each behind its separator (0: none), as bytes, and the number of bytes of each."""
+    digits, show = (t[ids] for t in _decimals())
+    digits[:, 0], show[:, 0] = before, before > 0
     return digits[show], show.sum(1)

@@ -42,7 +42,7 @@ from .common import plain, saved, shuffle_width, slices
 from .gather import gathered, offsets, written
 
 LONG = 96  # bytes of a word that are folded at once
-BLOCK = 16 << 20  # bytes of the words of a block
+BLOCK = 8 << 20  # bytes of the words of a block
 TOP = 1 << 16  # above all ids
 
 
@@ -53,7 +53,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """The rank map as literals: ``rank(l, r)`` of two ids, ids of single bytes, bytes of ids."""
+    """The rank map as literals: what two ids merge to, ids of single bytes, bytes of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
@@ -73,14 +73,15 @@ class RankMap:
             pieces[r] = token.hex()
         self.pieces = _literal(pieces, "array<string>")
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of a pair of ids (bigint), or some number from TOP on where it does not merge.
+    def link(self, left: Column, right: Column) -> Column:
+        """A token with what follows it: its id, and above that the rank of the pair, or TOP * 2 where it does not merge.
 
         The slot holds one entry of pair and rank; less the pair asked for, only its own entry leaves a rank.
         """
         shift = F.get(self.shift, F.pmod(F.xxhash64(right, left), F.lit(self.groups)).cast("int"))
         entry = F.get(self.entries, F.pmod(F.xxhash64(left, right).bitwiseXOR(shift), F.lit(self.slots)).cast("int"))
-        return F.pmod(entry - (left * F.lit(TOP**2) + right * F.lit(TOP)), F.lit(TOP**3))
+        rank = F.pmod(entry - (left * F.lit(TOP**2) + right * F.lit(TOP)), F.lit(TOP**3))
+        return F.least(rank, F.lit(2 * TOP)) * F.lit(TOP) + left
 
 
 def _spark_hash(*numbers: int) -> int:
@@ -122,30 +123,31 @@ def bytes_of(word: Column) -> Column:
     return F.transform(F.split(latin, ""), F.ascii)
 
 
-def _merge(ranks: RankMap, state: Column) -> Column:
-    """One merge of the leftmost pair of least rank, or the state itself where no pair merges.
+def _merge(ranks: RankMap, q: Column) -> Column:
+    """One merge of the leftmost pair of least rank, or ``q`` itself where no pair merges.
 
-    state: p (ids, between two end marks), r (ranks of the pairs of p), at (place of the pair to merge).
+    q: the tokens between two end marks, each as ``link`` gives it, so the least one tells the pair.
     """
-    p, r, at = state["p"], state["r"], state["at"]
-    merged = F.get(r, at - 1)
-    shorter = F.flatten(F.array(F.slice(p, F.lit(1), at - 1), F.array(merged), F.slice(p, at + 2, F.size(p))))
-    pairs = F.zip_with(F.array(F.get(p, at - 2), merged), F.array(merged, F.get(p, at + 1)), ranks.rank)
-    around = F.flatten(F.array(F.slice(r, F.lit(1), at - 2), pairs, F.slice(r, at + 2, F.size(r))))
-    return F.when(at > 0, F.get(F.transform(F.array(F.struct(shorter.alias("p"), around.alias("r"))), _placed), 0)).otherwise(state)
+    least = F.array_min(q)
+    place = F.when(least < TOP**2, F.array_position(q, least).cast("int")).otherwise(0)
 
+    def merged(at: Column) -> Column:
+        new = F.shiftright(F.get(q, at - 1), 16)
+        pair = F.zip_with(F.array(_id(F.get(q, at - 2)), new), F.array(new, _id(F.get(q, at + 1))), ranks.link)
+        return F.when(at > 0, F.flatten(F.array(F.slice(q, F.lit(1), at - 2), pair, F.slice(q, at + 2, F.size(q))))).otherwise(q)
 
-def _placed(x: Column) -> Column:
-    least = F.array_min(x["r"])
-    return F.struct(x["p"].alias("p"), x["r"].alias("r"), F.when(least < TOP, F.array_position(x["r"], least).cast("int")).otherwise(0).alias("at"))
+    return F.get(F.transform(F.array(place), merged), 0)
+
+
+def _id(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(TOP - 1).cast("bigint"))
 
 
 def fold(ranks: RankMap, ids: Column) -> Column:
     """Ids (bigint) of a stretch of tokens after all merges."""
     end = F.array(F.lit(ranks.end).cast("bigint"))
-    framed = F.transform(F.array(ids), lambda x: F.struct(F.flatten(F.array(end, x, end)).alias("p"), F.zip_with(F.flatten(F.array(end, x)), F.flatten(F.array(x, end)), ranks.rank).alias("r")))
-    begin = F.get(F.transform(framed, _placed), 0)
-    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), begin, lambda s, _: _merge(ranks, s), lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
+    begin = F.get(F.transform(F.array(ids), lambda x: F.zip_with(F.flatten(F.array(end, x, end)), F.flatten(F.array(x, end, end)), ranks.link)), 0)
+    return F.aggregate(F.sequence(F.lit(1), F.size(ids)), begin, lambda q, _: _merge(ranks, q), lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), _id))
 
 
 def _byte_ids(ranks: RankMap, word: Column) -> Column:
@@ -212,10 +214,10 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
 
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        words, rows = batch.column("words"), np.zeros(len(batch) + 1, np.int64)
-        np.cumsum(np.diff(words.offsets.to_numpy()), out=rows[1:])
-        flat = words.flatten().cast(pa.large_binary())
-        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        words = batch.column("words")
+        flat, rows = words.flatten(), offsets(np.diff(words.offsets.to_numpy()))
+        kind = np.int64 if pa.types.is_large_string(flat.type) else np.int32
+        at = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, kind)
         for lo, hi in slices(at[rows], BLOCK):
             own = flat.slice(rows[lo], rows[hi] - rows[lo]).dictionary_encode()
             data, ends = own.indices.to_numpy().astype("<i4"), (rows[lo : hi + 1] - rows[lo]).tolist()
@@ -223,7 +225,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(hi - lo, block)), batch.column("doc_id").slice(lo, hi - lo),
                     pa.array([zlib.compress(data[x:y].tobytes(), 1) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array([own.dictionary.cast(pa.large_string()).to_pylist(), *[None] * (hi - lo - 1)], pa.list_(pa.string())),
+                    pa.array([own.dictionary.to_pylist(), *[None] * (hi - lo - 1)], pa.list_(pa.string())),
                 ],
                 schema=_ROWS,
             )
@@ -252,8 +254,9 @@ def word_ids(docs: DataFrame, ranks: RankMap, pattern: str) -> tuple[DataFrame,
     # the fold is the work here, so the words are dealt to many tasks, however small they are
     width = 4 * shuffle_width(docs.sparkSession)
     listed = rows.filter("distinct is not null").select("block", F.posexplode("distinct").alias("number", "word")).repartition(width, "word")
-    encoded = listed.select("word").distinct().select("word", encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"))
-    return rows.select("block", "doc_id", "numbers"), listed.join(encoded, "word").select(F.col("block").alias("of"), "number", "ids")
+    # the least place of a word is not needed; asked for, it lets both sides read one exchange
+    encoded = listed.groupBy("word").agg(F.min(F.struct("block", "number")).alias("place")).select("word", encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"), F.col("place.number").alias("_"))
+    return rows.select("block", "doc_id", "numbers"), listed.join(encoded, "word").filter("_ is not null").select(F.col("block").alias("of"), "number", "ids")
 
 
 def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, answer: Callable, schema: pa.Schema, sql: str) -> DataFrame:

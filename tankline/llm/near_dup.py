@@ -9,12 +9,13 @@ fewer words the whole sequence is one shingle. Documents are linked if 100 * int
    samples, so that the XOR of two bitmaps has a population count that tells how many samples differ.
 2. Documents with equal sets collapse into a class, whose least id stands for it.
 3. Classes that share a band key are candidates. Keys of many classes come first, in passes that only
-   save work: their classes are dealt to tasks of bounded size, which cluster them by the sketches,
-   starting from the groups known so far, and give one pair for each join of clusters and a few most
-   alike classes of other clusters for each class. What is confirmed makes groups. Then every two
-   classes of such a key that are in different groups meet in a block of two shares of the key. What
-   passes there is given as pairs, or, where there are more than PAIRS for each class, as a family of
-   classes, whose full sets are then compared in blocks, all that are in different groups.
+   save work: each class is dealt to one of its keys (that of the least hash with the pass, which alike
+   classes mostly agree on) and there to a task of bounded size, which clusters them by the sketches,
+   starting from the groups known so far, and gives one pair for each join of clusters: fewer pairs
+   than classes. What is confirmed makes groups. Then every two classes of such a key that are in
+   different groups meet in a block of two shares of the key. What passes there is given as pairs, or,
+   where there are more than PAIRS for each class, as the classes concerned, and the full sets of these
+   are then compared in the same block, all that are in different groups.
 4. Candidates pass if the sketches estimate a similarity of at least CUT, and are confirmed on the
    full sets. Keys of few classes then give all their pairs between classes that these links do not
    yet join, which pass and are confirmed alike.
@@ -47,8 +48,9 @@ from .graph import components
 SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
 SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
 FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs at once; classes in one share beyond that
-PARTNERS = (2, 4)  # most alike classes of other groups that a class is paired with in a key, by clustering pass
-PAIRS = 4  # pairs for each class of a block that are given one by one
+SHINGLES = 2_000_000  # shingles of the classes in one share (16 MB of hashes)
+PASSES = 4  # clustering passes, each over other keys
+PAIRS = 1  # pairs for each class of a block that are given one by one
 CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
 
 
@@ -159,62 +161,55 @@ def _exploded(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(some.column("cls").to_numpy(), BANDS))], names=["band", "cls"])
 
 
-def _within(pdf: pd.DataFrame, partners: int) -> pd.DataFrame:
-    """Likely pairs among the classes of one task's share of a key.
+def _within(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One pair for each join of clusters among the classes of one task's share of a key.
 
-    Clusters start as the groups that are known. Classes whose sketches are near join clusters, and one
-    pair is given for each join. Then each class gives its ``partners`` most alike ones of other
-    clusters. There are two orders of the classes, one for every other key: clusters do not all hang
-    on the same pairs, and yet keys with many classes in common mostly give the same ones.
+    Clusters start as the groups that are known; classes whose sketches are near join them. There are
+    fewer pairs than classes.
     """
-    band = int(pdf["band"].iloc[0])
-    pdf = pdf.drop_duplicates(["cls", "sketch"])
+    pdf = pdf.drop_duplicates(["cls", "sketch"]).sort_values(["cls", "sketch"], kind="stable")
     ids = pdf["cls"].to_numpy(np.int64)
-    order = np.argsort(mix(ids.view(np.uint64) ^ mix(np.array([band & 1], np.uint64))), kind="stable")
-    ids = ids[order]
-    sketch = np.frombuffer(b"".join(pdf["sketch"].iloc[order]), np.uint64).reshape(len(ids), -1)
-    cluster = np.unique(pdf["known"].to_numpy(np.int64)[order], return_inverse=True)[1]
-    same, pairs, unsure = np.zeros(len(ids), bool), [], []
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(ids), -1)
+    cluster = np.unique(pdf["known"].to_numpy(np.int64), return_inverse=True)[1]
+    same, pairs = np.zeros(len(ids), bool), []
     for k in range(len(ids)):
         if same[k]:  # nearly equal to one that has been compared with all; the blocks compare it
             continue
         near = estimate(np.bitwise_count(sketch ^ sketch[k]).sum(1, dtype=np.int64))
         same |= near >= SAME
-        other = np.flatnonzero((near >= CUT) & (cluster != cluster[k]))
-        other = other[np.argsort(-near[other], kind="stable")]
-        sure = other[near[other] >= NEAR]
+        sure = np.flatnonzero((near >= NEAR) & (cluster != cluster[k]))
+        sure = sure[np.argsort(-near[sure], kind="stable")]
         pairs += [(ids[k], ids[j]) for j in sure[np.unique(cluster[sure], return_index=True)[1]]]
         cluster[np.isin(cluster, cluster[sure])] = cluster[k]
-        unsure.append((k, other[len(sure) :]))
-    for k, other in unsure:
-        pairs += [(ids[k], ids[j]) for j in other[cluster[other] != cluster[k]][:partners]]
     return pd.DataFrame({"a": np.array([min(p) for p in pairs], np.int64), "b": np.array([max(p) for p in pairs], np.int64)})
 
 
-def _likely(met: DataFrame, known: DataFrame, partners: int) -> DataFrame:
-    """Likely pairs of keys with several known groups, by tasks of about CHUNK classes each."""
-    rows = met.join(known, "cls")
+def _likely(large: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Likely pairs of classes in different known groups, by tasks of about CHUNK classes; one key for each class."""
+    spot = F.xxhash64("band", F.lit(turn))
+    own = large.groupBy("cls").agg(F.min_by("band", F.struct(spot, F.col("band"))).alias("band"))
+    rows = own.join(known, "cls")
     sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).alias("share"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo < hi").select("band", "share")
-    # dealt anew in each pass
-    part = F.pmod(F.xxhash64("cls", F.col("band").bitwiseAND(1), F.lit(partners)), F.col("share"))
+    part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("share"))
     dealt = rows.join(sizes, "band").select("band", part.alias("part"), "cls", "sketch", "known")
-    return dealt.groupBy("band", "part").applyInPandas(lambda pdf: _within(pdf, partners), "a long, b long")
+    return dealt.groupBy("band", "part").applyInPandas(_within, "a long, b long")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """(key, i, j, share, cls): every two classes of a key with different ``known`` groups are in one
-    block (key, i, j), of one share (i = j) or of two. rows: key, cls, known.
+    block (key, i, j), of one share (i = j) or of two. rows: key, cls, known, size.
 
-    Classes are dealt to shares of about CHUNK, those of a long key's largest group apart from the
-    others, as they need not meet each other.
+    Classes are dealt to shares of about CHUNK, and of about SHINGLES shingles, those of a long key's
+    largest group apart from the others, as they need not meet each other.
     """
-    counts = rows.groupBy("key", "known").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "known")).alias("top")).filter("n > top.c")
-    long = F.col("n") > CHUNK
+    counts = rows.groupBy("key", "known").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    sizes = counts.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max(F.struct("c", "known", "s")).alias("top")).filter("n > top.c")
+    shares = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / SHINGLES))
+    long = shares(F.col("n"), F.col("s")) > 1
     sizes = saved(
         sizes.select(
-            "key", F.when(long, F.col("top.known")).alias("top"), F.when(long, F.ceil((F.col("n") - F.col("top.c")) / CHUNK)).otherwise(1).alias("others"),
-            F.when(long, F.ceil(F.col("top.c") / CHUNK)).otherwise(0).alias("tops"),
+            "key", F.when(long, F.col("top.known")).alias("top"), F.when(long, shares(F.col("n") - F.col("top.c"), F.col("s") - F.col("top.s"))).otherwise(1).alias("others"),
+            F.when(long, shares(F.col("top.c"), F.col("top.s"))).otherwise(0).alias("tops"),
         ),
         "key-shares",
     )
@@ -243,7 +238,7 @@ def _far() -> int:
 
 
 def _unsure(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block that pass, or where they are many, each class of them with the least (family)."""
+    """Pairs (a, b) of a block that pass, or, where there are more than PAIRS for each class, the classes (a) in them."""
     pdf = pdf.drop_duplicates(["cls", "sketch", "share"]).sort_values(["share", "cls"], kind="stable")
     ids, sketch, known, stop, start = _block(pdf)
     first, second, total = [], [], 0
@@ -259,12 +254,12 @@ def _unsure(pdf: pd.DataFrame) -> pd.DataFrame:
             if total <= PAIRS * len(ids):
                 first.append(np.full(len(met), ids[k]))
                 second.append(ids[met])
-    many = total > PAIRS * len(ids)
-    if many:
-        second = [np.unique(ids[held])]
-        first = [np.full(len(second[0]), second[0][0])]
+    key, i, j = (int(pdf[c].iloc[0]) for c in ("key", "i", "j"))
+    if total > PAIRS * len(ids):
+        own = pdf[held][["cls", "share"]].drop_duplicates()
+        return pd.DataFrame({"a": own["cls"], "b": pd.array([pd.NA] * len(own), "Int64"), "key": key, "i": i, "j": j, "share": own["share"]})
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "family": np.full(len(a), many)})
+    return pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "key": key, "i": i, "j": j, "share": 0})
 
 
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -313,10 +308,10 @@ def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
 
     def known_now() -> DataFrame:
         known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        return saved(known.select("cls", "sketch", F.coalesce("component", "cls").alias("known")), "known")
+        return saved(known.select("cls", "sketch", "size", F.coalesce("component", "cls").alias("known")), "known")
 
-    for partners in PARTNERS:
-        pairs = _likely(large, known_now(), partners).filter("a < b").distinct()
+    for turn in range(PASSES):
+        pairs = _likely(large, known_now(), turn).filter("a < b").distinct()
         pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-many")
         new = saved(confirmed(pairs, texts), "links-new")
         links, tried = links.unionByName(new), tried.unionByName(pairs)
@@ -324,18 +319,17 @@ def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
             break
         groups = components(links)
     known = known_now()
-    group = known.select("cls", "known").distinct()
-    met_in = blocks(large.join(group, "cls").select(F.col("band").alias("key"), "cls", "known"))
-    found = saved(met_in.join(known, "cls").groupBy("key", "i", "j").applyInPandas(_unsure, "a long, b long, family boolean").distinct(), "unsure")
-    pairs = saved(found.filter("not family and a < b").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs-unsure")
+    group = known.groupBy("cls", "known").agg(F.max("size").alias("size"))
+    met_in = blocks(large.join(group, "cls").select(F.col("band").alias("key"), "cls", "known", "size"))
+    found = saved(met_in.join(known, "cls").groupBy("key", "i", "j").applyInPandas(_unsure, "a long, b long, key long, i long, j long, share long"), "unsure")
+    pairs = saved(found.filter("a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs-unsure")
     links = links.unionByName(saved(confirmed(pairs, texts), "links-unsure"))
-    families = found.filter("family")
-    if not families.limit(1).count():
+    full = found.filter("b is null").select(F.col("a").alias("cls"), "key", "i", "j", "share")
+    if not full.limit(1).count():
         return links
-    rows = components(families).select(F.col("component").alias("key"), F.col("node").alias("cls")).join(group, "cls")
-    sets = saved(full_sets(rows.select(F.col("cls").alias("doc_id")).distinct(), texts), "sets")
-    met_in = blocks(rows.select("key", "cls", "known")).join(known, "cls").join(sets, "cls")
-    return links.unionByName(saved(met_in.groupBy("key", "i", "j").applyInPandas(_linked, "a long, b long").filter("a < b").distinct(), "links-families"))
+    sets = saved(full_sets(full.select(F.col("cls").alias("doc_id")).distinct(), texts), "sets")
+    whole = full.join(known.drop("size"), "cls").join(sets, "cls")
+    return links.unionByName(saved(whole.groupBy("key", "i", "j").applyInPandas(_linked, "a long, b long").filter("a < b").distinct(), "links-blocks"))
 
 
 def pairs_of_few(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
@@ -405,8 +399,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = small.filter("n > 0")
     kinds = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls")).filter("cls is not null"), "classes")
     reps = kinds.select("h1", "h2", F.col("n").alias("m"), "cls")
-    classes = sketched.join(reps, (sketched.doc_id == reps.cls) & (sketched.h1 == reps.h1) & (sketched.h2 == reps.h2), "left_semi").select(F.col("doc_id").alias("cls"), "keys", "sketch").dropDuplicates(["cls", "sketch"])
-    texts, sketches = rows.select("doc_id", "text").filter("doc_id is not null"), classes.select("cls", "sketch")
+    classes = sketched.join(reps, (sketched.doc_id == reps.cls) & (sketched.h1 == reps.h1) & (sketched.h2 == reps.h2), "left_semi").select(F.col("doc_id").alias("cls"), "keys", "sketch", F.col("n").alias("size")).dropDuplicates(["cls", "sketch"])
+    texts, sketches = rows.select("doc_id", "text").filter("doc_id is not null"), classes.select("cls", "sketch", "size")
     met = shared_keys(classes)
     sure = links_of_many(met, sketches, texts)
     links = sure.unionByName(confirmed(pairs_of_few(met, sketches, components(sure)), texts))

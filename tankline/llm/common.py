@@ -16,6 +16,8 @@ from ..sources.scratch import fresh_dir
 
 
 _SHIPPED: set[str] = set()
+#: text bytes that a task works on at once; a longer text stands alone
+PIECE = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,7 +80,7 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def parts(batches, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def parts(batches, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut to about ``limit`` text bytes, with the bytes and offsets of their ``text``."""
     for batch in batches:
         raw, ends = text_arrays(batch.column("text"))
@@ -114,20 +116,22 @@ class Rolling:
     """Hashes of byte stretches of one array: equal stretches get equal values wherever they start.
 
     Prefix sums of bytes (through a random table) times powers of an odd base, modulo 2**64; a
-    difference of two prefix sums is moved to a common power with the inverse base.
+    difference of two prefix sums is moved to a common power with the inverse base. Table and base
+    come from the seed, so stretches that collide under one seed do not under another. Powers are
+    kept for up to PIECE bytes, and the sums of longer arrays only until the next ``load``.
     """
 
-    BASE = 0xD1342543DE82EF95
-    INVERSE = pow(BASE, -1, 1 << 64)
-
     def __init__(self, seed: int = 7):
-        self.table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.base = int(rng.integers(1, 1 << 60)) * 8 + 5  # of the greatest order
         self.up = self.down = np.zeros(0, np.uint64)
 
     def load(self, raw: np.ndarray) -> None:
         n = len(raw) + 1
-        if len(self.up) < n:
-            self.up, self.down = _powers(self.BASE, n), _powers(self.INVERSE, n)
+        if len(self.up) < n or len(self.up) > max(n, PIECE + 1):
+            size = max(n, min(PIECE + 1, 2 * n))
+            self.up, self.down = _powers(self.base, size), _powers(pow(self.base, -1, 1 << 64), size)
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(self.table[raw] * self.up[: n - 1], out=self.sums[1:])
 

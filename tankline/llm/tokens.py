@@ -51,7 +51,7 @@ def piece_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts. Remembers at most ``keep`` pieces and then forgets them all."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

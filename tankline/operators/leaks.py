@@ -49,6 +49,12 @@ def org_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> Data
     return norm_columns(norms).join(owner, "sl_avto", "left_semi")
 
 
+def scoped_norms(norms: DataFrame, cars: DataFrame, org: str | None = None) -> DataFrame:
+    """Norms for a job of one tenant, or of all (None). Norms of other tenants' vehicles find no row of the
+    series anyway; for one tenant they are left out before anything is aggregated."""
+    return norm_columns(norms) if org is None else org_norms(norms, cars, org)
+
+
 def attach_cars(series: DataFrame, cars: DataFrame) -> DataFrame:
     """Inner join on the vehicle. Where the series names its tenant, the vehicle must be theirs."""
     match = series["auto"] == cars["id"]
@@ -123,22 +129,13 @@ def _flag_outliers(df: DataFrame, p: Params) -> DataFrame:
 def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
     """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag.
 
-    Equal values of a vehicle, such as those of equal norms, are counted first; the statistics then
-    take every value with its count. Both aggregations combine map-side, and their result, a row for
-    each vehicle, is joined back: no task has to hold a vehicle's rows.
+    Both are aggregates that combine map-side (the median as a map from value to count), and their
+    result, a row for each vehicle, is joined back: no task has to hold a vehicle's rows. For vehicles
+    with too many distinct values for such a map see ``quantiles.exact_median``.
     """
     df = _with_delta(df)
-    keys = [F.col(k) for k in p.keys]
-    counted = df.groupBy(*keys, "delta_sp").agg(F.count("*").alias("_n"))
-    x, n = F.col("delta_sp"), F.when(F.col("delta_sp").isNotNull(), F.col("_n"))
-    sums = counted.groupBy(*keys).agg(
-        F.percentile("delta_sp", 0.5, F.col("_n")).alias("delta_sp_median"),
-        F.sum(n).alias("_count"), (F.sum(x * n) / F.sum(n)).alias("_mean"),
-    )
-    # deviations from the mean, not a difference of large sums
-    spread = counted.join(sums.select(*p.keys, "_mean"), p.keys).groupBy(*keys).agg(F.sum((x - F.col("_mean")) * (x - F.col("_mean")) * n).alias("_square"))
-    std = F.when(F.col("_count") > 1, F.sqrt(F.col("_square") / (F.col("_count") - 1)))
-    stats = sums.join(spread, p.keys).select(*p.keys, "delta_sp_median", std.alias("delta_sp_std"))
+    x = F.col("delta_sp")
+    stats = df.groupBy(*p.keys).agg(F.percentile(x, 0.5).alias("delta_sp_median"), F.stddev_samp(x).alias("delta_sp_std"))
     return _flag_outliers(df.join(stats, p.keys), p)
 
 
@@ -222,5 +219,4 @@ def leak_pipeline(
     """Raw readings, vehicle table and norm table -> detection rows."""
     series = preprocess(normalise(telemetry, p), p)
     with_cars = attach_cars(series, org_cars(cars, org))
-    # the vehicles of the series are the tenant's by now, so its norms need no scoping of their own
-    return detect_leaks(with_cars, norm_columns(norms), p, **options)
+    return detect_leaks(with_cars, scoped_norms(norms, cars, org), p, **options)

@@ -251,25 +251,43 @@ def upload_metrics(spark, d):
     return b.plain(sinks.read_metrics(spark, paths["metrics"]).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
 
 
-@query(
-    "stream_intake",
-    f"""WITH {q.cascade(P, 'upload_id, auto')}, {q.CARS}, {q.NORMS}, {q.detection(P, keys='upload_id')}
-SELECT upload_id, auto AS car, {q.t('timestamp', 'datetime')}, CAST(trunc(leak) AS INTEGER) AS volume, true AS status FROM leaks WHERE is_leak""",
-)
-def stream_intake(spark, d):
-    """Readings arrive as one folder of CSV files per event type and are taken in as a stream."""
-    src, out, state = (fresh_dir(spark, x) for x in ("in", "out", "state"))
-    rows = b.telemetry(spark, d, F.col("event_type").alias("unit"))
-    text = rows.select(F.col("timestamp").cast("string").alias("timestamp"), FUEL, SPEED, VOLTAGE, "auto", "seq", "unit")
-    text.write.partitionBy("unit").option("header", True).csv(src)
+_INTAKE_SQL = f"""WITH {q.cascade(P, 'upload_id, auto')}, {q.CARS}, {q.NORMS}, {q.detection(P, keys='upload_id')}
+SELECT upload_id, auto AS car, {q.t('timestamp', 'datetime')}, CAST(trunc(leak) AS INTEGER) AS volume, true AS status FROM leaks WHERE is_leak"""
+
+
+def _taken_in(spark, d, src):
+    """The reports of all folders below ``src``, taken in as a stream."""
+    out, state = fresh_dir(spark, "out"), fresh_dir(spark, "state")
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
-    header = [*TELEMETRY.names, "seq"]
-    stream = stream_uploads(spark, src, tables, out, state, P, header, unit="dir")
-    stream.awaitTermination()
+    stream_uploads(spark, src, tables, out, state, P, unit="dir", extra=("seq",)).awaitTermination()
     found = sinks.read_reports(spark, f"{out}/reports")
     return _report_rows(found.withColumn("upload_id", F.regexp_replace("upload_id", "^unit=", "")), "upload_id")
 
 
+def _unit_text(spark, d):
+    rows = b.telemetry(spark, d, F.col("event_type").alias("unit"))
+    return rows.select(F.col("timestamp").cast("string").alias("timestamp"), FUEL, SPEED, VOLTAGE, "auto", "seq", "unit")
+
+
+@query("stream_intake", _INTAKE_SQL)
+def stream_intake(spark, d):
+    """Readings arrive as one folder of CSV files per event type and are taken in as a stream."""
+    src = fresh_dir(spark, "in")
+    _unit_text(spark, d).write.partitionBy("unit").option("header", True).csv(src)
+    return _taken_in(spark, d, src)
+
+
+@query("stream_mixed_headers", _INTAKE_SQL)
+def stream_mixed_headers(spark, d):
+    """As ``stream_intake``; the files of each folder have their columns in two orders, and one of them a column more."""
+    src = fresh_dir(spark, "in")
+    rows = _unit_text(spark, d)
+    other = rows.select("seq", F.lit("a, b").alias("note"), "auto", VOLTAGE, SPEED, FUEL, "timestamp", "unit")
+    for n, some in ((0, rows), (1, other)):
+        some.filter(F.pmod("seq", F.lit(2)) == n).write.mode("append").partitionBy("unit").options(header=True, **files.QUOTES).csv(src)
+    return _taken_in(spark, d, src)
+
+
 @query(
     "stream_bins",
     f"""WITH {q.TELEMETRY}, {q.RANGE}, edge AS (SELECT max(timestamp) - INTERVAL 1 HOUR AS at FROM r0),

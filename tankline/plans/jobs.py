@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import normalise, preprocess
-from ..operators.leaks import attach_cars, detect_leaks, norm_columns, org_cars
+from ..operators.leaks import attach_cars, detect_leaks, org_cars, scoped_norms
 from ..operators.metrics import metric_points
 from ..operators.reference import split_fleet
 from ..operators.reports import leak_reports
 from ..operators.uploads import advance, pending_uploads
 from ..operators.upsert import load_norms, upsert_cars
 from ..params import Params
-from ..sources.files import read_telemetry
-from ..sources.scratch import fresh_dir
+from ..schemas import TELEMETRY
+from ..sources.files import telemetry_text, type_text
+from ..sources.scratch import fresh_dir, written_once
 from ..sources.sinks import folder, write_metrics, write_partitions
 
 
@@ -48,7 +49,8 @@ def run_upload(
     paths = {name: f"{out}/{name}" for name in ("series", "metrics", "reports", "rejects")}
     fixed = {} if upload_id is None else {"upload_id": upload_id}
     if isinstance(telemetry, str):
-        telemetry, bad = read_telemetry(spark, telemetry)
+        # parsed once: rejects and readings come from what is written
+        telemetry, bad = type_text(written_once(telemetry_text(spark, telemetry)), TELEMETRY)
         if fixed:
             write_partitions(bad.withColumn("upload_id", F.lit(upload_id)), paths["rejects"], ["upload_id"], fixed)
     if fixed:
@@ -76,7 +78,7 @@ def run_upload(
         target = {}
     write_metrics(points, paths["metrics"], target)
 
-    norms = norm_columns(tables["car_consumption"])
+    norms = scoped_norms(tables["car_consumption"], tables["car"], org)
     detected = detect_leaks(attach_cars(series, cars), norms, p, **detection)
     write_partitions(leak_reports(detected, F.col("upload_id")), paths["reports"], ["upload_id"], fixed, mode)
     return paths

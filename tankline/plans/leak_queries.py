@@ -154,10 +154,21 @@ SELECT organization, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS value F
 )
 def drains_per_day(spark, d):
     """From raw readings to suspected drains per tenant and day."""
-    found = leaks.leak_pipeline(b.telemetry(spark, d), b.cars(spark, d), b.norms(spark, d), P)
+    # drains need no statistics of the vehicle
+    found = leaks.leak_pipeline(b.telemetry(spark, d), b.cars(spark, d), b.norms(spark, d), P, sigma=False)
     return daily_leaks(leak_reports(found, "u1"), b.cars(spark, d))
 
 
+@query(
+    "detect_leaks_tenant",
+    f"WITH {q.cascade(P)}, {q.CARS}, {q.NORM_HISTORY}, {q.detection(P)} SELECT {_FULL_SQL} FROM leaks WHERE organization = '7'",
+)
+def detect_leaks_tenant(spark, d):
+    """The whole pipeline for one tenant: its vehicles and their norms only."""
+    found = leaks.leak_pipeline(b.telemetry(spark, d), b.cars(spark, d), b.norm_history(spark, d), P, org="7")
+    return b.plain(found.select(*_FULL))
+
+
 @query(
     "drained_volume_per_car",
     f"""WITH {q.cascade(P)}, {q.CARS}, {q.NORMS}, {q.detection(P)}

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import nan_to_null, need
 from ..schemas import CARS_FILE, FLEET, NORMS_FILE, TELEMETRY
+from .uploaded import read_uploaded, readable
 
 CORRUPT = "_corrupt_record"
 SURPLUS = "_surplus"
@@ -163,6 +164,8 @@ def _read(spark, path, schema, fmt, header, ordered, lines=False, pad=False, len
     if fmt == "json":
         text = spark.read.schema(text_schema(schema.names)).option("columnNameOfCorruptRecord", CORRUPT)
         df = _in_order(text.json(path).select(*schema.names, CORRUPT, *_place()))
+    elif fmt == "csv" and not lines and header is None and all(map(readable, _paths(path))):
+        df = read_uploaded(spark, _paths(path), schema.names).drop("_file", "_changed")
     elif fmt == "csv":
         df = _read_text(spark, path, schema, header, SURPLUS if pad else CORRUPT, lines)
     else:
@@ -172,10 +175,21 @@ def _read(spark, path, schema, fmt, header, ordered, lines=False, pad=False, len
 
 
 def read_telemetry(spark: SparkSession, path, fmt: str = "csv", header: list[str] | None = None):
-    """Sensor readings. ``header``, if all files have the same, saves the look at their first lines."""
+    """Sensor readings. Every CSV file is read under its own header, in one pass (``uploaded``); a file without
+    the wanted columns fails the job. In a store that only the JVM knows, and with a ``header`` that all
+    files share, Spark's own reader is used; without ``header`` it needs a pass for the headers first."""
     return _read(spark, path, TELEMETRY, fmt, header, ordered=True)
 
 
+def telemetry_text(spark: SparkSession, path) -> DataFrame:
+    """Sensor readings of CSV files as text rows with ``seq``, for ``type_text``."""
+    if all(map(readable, _paths(path))):
+        df = read_uploaded(spark, _paths(path), TELEMETRY.names).drop("_file", "_changed")
+    else:
+        df = _read_text(spark, path, TELEMETRY, None)
+    return df.withColumnRenamed("_seq", "seq")
+
+
 def read_cars(spark: SparkSession, path, fmt: str = "csv", header: list[str] | None = None):
     """Vehicle file. Only lines with too many fields are rejects: short ones are filled with NULL, and
     an engine type that is no number is NULL."""

@@ -10,7 +10,9 @@ from ..params import Params
 from ..plans.jobs import run_upload
 from ..schemas import TELEMETRY
 from ..sources.files import CORRUPT, QUOTES, text_schema, type_text
+from ..sources.scratch import written_once
 from ..sources.sinks import write_partitions
+from ..sources.uploaded import stream_uploaded
 
 # Which part of a file's path names its upload.
 UNITS = {"file": r"([^/]+)$", "dir": r"([^/]+)/[^/]+$"}
@@ -19,38 +21,45 @@ UNITS = {"file": r"([^/]+)$", "dir": r"([^/]+)/[^/]+$"}
 def telemetry_stream(
     spark: SparkSession,
     in_dir: str,
-    header: list[str],
+    log: str,
+    header: list[str] | None = None,
     unit: str = "file",
     max_files: int | None = None,
     tenant: str | None = None,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """Text rows of new CSV files with ``upload_id``, taken from the file name or its folder, with
-    the time the file was ``changed`` (microseconds), and with ``organization`` if ``tenant``, a pattern with one group, tells it from the path.
+    the time the file was ``changed`` (microseconds), with their place ``_seq``, and with ``organization`` if
+    ``tenant``, a pattern with one group, tells it from the path. ``extra`` names further columns to read.
 
-    ``header`` is the order of columns in all files. A file with another header stops the stream
-    before anything of its batch is stored; it is never read under the wrong names.
+    Every file is read under its own header; ``log`` is the folder that remembers which files were taken.
+    Where all files share one, ``header`` may give it: Spark's own file source then reads them, at
+    most ``max_files`` in a batch, and a file with another header stops the stream.
     """
-    reader = (
-        spark.readStream.schema(text_schema(header))
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .option("enforceSchema", False)
-        .options(**QUOTES)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-    )
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    path = F.col("_metadata.file_path")
-    named = {
-        "upload_id": F.regexp_extract(path, UNITS[unit], 1),
-        "changed": F.unix_micros(F.col("_metadata.file_modification_time")),
-    }
+    wanted = [*TELEMETRY.names, *extra]
+    if header is None:
+        rows = stream_uploaded(spark, in_dir, wanted, log).withColumnsRenamed({"_file": "_path", "_changed": "changed"})
+        path, changed = F.col("_path"), F.col("changed")
+    else:
+        reader = (
+            spark.readStream.schema(text_schema(header))
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False)
+            .option("enforceSchema", False)
+            .options(**QUOTES)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.csv")
+        )
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        rows = reader.csv(in_dir)
+        path, changed = F.col("_metadata.file_path"), F.unix_micros(F.col("_metadata.file_modification_time"))
+    named = {"upload_id": F.regexp_extract(path, UNITS[unit], 1), "changed": changed}
     if tenant:
         named["organization"] = F.regexp_extract(path, tenant, 1)
-    return reader.csv(in_dir).withColumns(named)
+    return rows.withColumns(named).drop("_path")
 
 
 def stream_uploads(
@@ -64,6 +73,7 @@ def stream_uploads(
     unit: str = "file",
     max_files: int | None = None,
     tenant: str | None = None,
+    extra: tuple[str, ...] = (),
     **options,
 ) -> StreamingQuery:
     """Run ``run_upload`` on whatever files are new, then stop.
@@ -72,17 +82,21 @@ def stream_uploads(
     stay apart and results equal one batch run per upload. The checkpoint remembers what was taken,
     and the sinks replace an upload's own rows, so a retried batch changes nothing. With
     ``unit="dir"`` an upload is a folder of part files, which must arrive together.
+
+    The text of a batch is parsed once and written; rejects, the time of the last change of each upload and
+    the readings come from there. A column ``seq`` (named in ``extra`` or in ``header``) orders readings of
+    one time; without it the order of files and lines does.
     """
-    text = telemetry_stream(spark, in_dir, header or TELEMETRY.names, unit, max_files, tenant)
+    text = telemetry_stream(spark, in_dir, f"{checkpoint.rstrip('/')}-files", header, unit, max_files, tenant, extra)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        good, bad = type_text(batch, TELEMETRY)
+        good, bad = type_text(written_once(batch), TELEMETRY)
         write_partitions(bad, f"{out.rstrip('/')}/rejects", ["upload_id"])
-        given = "seq" in good.columns
-        seq = F.col("seq").cast("long") if given else F.monotonically_increasing_id()
+        own = next((c for c in ("seq", "_seq") if c in good.columns), None)
+        seq = F.col(own).cast("long") if own else F.monotonically_increasing_id()
         # of a point in several uploads that of the file changed last counts
         last = good.groupBy("upload_id").agg(F.max("changed").alias("load_seq"))
-        good = good.withColumn("seq", seq).drop("changed").join(last, "upload_id")
+        good = good.withColumn("seq", seq).drop("changed", "_seq").join(last, "upload_id")
         run_upload(spark, good, tables, out, p, **options)
 
     return (

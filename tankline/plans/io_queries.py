@@ -8,6 +8,7 @@ from ..schemas import CARS_FILE, FUEL, SPEED, TELEMETRY, VOLTAGE
 from ..sources import files, sinks
 from ..sources.scratch import fresh_dir
 from ..streaming.bins import stream_bins
+from ..streaming.cascade import read_cascade, stream_cascade
 from ..streaming.intake import stream_uploads
 from . import binding as b
 from . import sqltext as q
@@ -312,3 +313,34 @@ def stream_bins_query(spark, d):
     )
     stream.awaitTermination()
     return b.plain(spark.read.schema(bins.schema).parquet(out))
+
+
+# Some readings come after all others. Slots closed by then (their end and an hour passed) go without
+# them; what the stream has not passed in the end stays open.
+_END = f"{q.floor_to('timestamp', P.slot_s)} + INTERVAL {P.slot_s + 3600} SECOND"
+_LATE = f"seq % 7 = 0 AND {_END} <= (SELECT max(ts) FROM events WHERE event_id % 7 <> 0 AND floor(value * 40) BETWEEN 0 AND 4096)"
+_OPEN = f"{_END} > (SELECT max(ts) FROM events WHERE floor(value * 40) BETWEEN 0 AND 4096)"
+_IN_TIME = q.cascade(P).replace(q.RANGE, f"{q.RANGE[:-1]} AND NOT ({_LATE}) AND NOT ({_OPEN}))")
+
+
+def _streamed(spark, d):
+    src, out, state = (fresh_dir(spark, x) for x in ("in", "out", "state"))
+    rows = b.telemetry(spark, d)
+    for n in (0, 1):
+        rows.filter((F.col("seq") % 7 == 0) == (n == 1)).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        stream_cascade(stream, out, state, P, late_for=4000 * 86400).awaitTermination()
+    return out
+
+
+@query("stream_cascade", f"WITH {_IN_TIME} SELECT auto, {q.t('timestamp')}, {q.r('pos_s', 'spent_fuel', 'max_fuel', 'dtime_s', 'travel', 'spent_per_100')} FROM series")
+def stream_cascade_query(spark, d):
+    """The cascade over a stream, with gaps, voltages and steps; a seventh of the readings comes after the others."""
+    cols = ["auto", "timestamp", SPEED, "spent_fuel", "max_fuel", "dtime_s", "travel", "spent_per_100"]
+    return b.plain(read_cascade(spark, _streamed(spark, d)).select(*cols))
+
+
+@query("stream_late_readings", f"WITH {q.TELEMETRY}, {q.RANGE} SELECT auto, {q.t('timestamp')}, seq FROM r0 WHERE {_LATE}")
+def stream_late_readings(spark, d):
+    """Every reading that came after its slot was closed."""
+    return b.plain(read_cascade(spark, _streamed(spark, d), "late").select("auto", "timestamp", "seq"))

@@ -49,7 +49,7 @@ SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
 SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
 FEW, CHUNK = 8, 1000  # classes of a key that give all their pairs at once; classes in one share beyond that
 SHINGLES = 2_000_000  # shingles of the classes in one share (16 MB of hashes)
-PASSES = 4  # clustering passes, each over other keys
+PASSES = 2  # clustering passes, each over other keys; they only save work
 PAIRS = 1  # pairs for each class of a block that are given one by one
 CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets
 
@@ -304,7 +304,8 @@ def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
     so far make. Then all classes of a key that are still in different groups meet in blocks.
     """
     links = texts.sparkSession.createDataFrame([], "a long, b long")
-    tried, groups, large = links, components(links), met.filter(F.col("n") > FEW).select("band", "cls")
+    tried, large = links, met.filter(F.col("n") > FEW).select("band", "cls")
+    groups = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def known_now() -> DataFrame:
         known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left")

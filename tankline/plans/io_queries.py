@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.metrics import POINT_KEY
+from ..operators.clean import normalise, preprocess
+from ..operators.metrics import POINT_KEY, metric_points
 from ..schemas import CARS_FILE, FUEL, SPEED, TELEMETRY, VOLTAGE
 from ..sources import files, sinks
-from ..sources.scratch import fresh_dir
+from ..sources.scratch import fresh_dir, written_once
 from ..streaming.bins import stream_bins
 from ..streaming.cascade import read_cascade, stream_cascade
 from ..streaming.intake import stream_uploads
@@ -252,6 +253,23 @@ def upload_metrics(spark, d):
     return b.plain(sinks.read_metrics(spark, paths["metrics"]).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
 
 
+@query(
+    "metrics_settled",
+    f"""WITH {q.cascade(P)} SELECT CAST(CAST(auto AS INT) % 25 AS VARCHAR) AS organization, auto, {q.t('timestamp')}, {q.r('pos_s', 'spent_fuel')},
+  round(CASE WHEN CAST(auto AS INT) % 2 = 0 THEN max_fuel ELSE max_fuel / 2 END + 1.23e-7, 6) + 0.0 AS {FUEL} FROM series""",
+)
+def metrics_settled(spark, d):
+    """Two uploads of the same points are settled; the second one runs again, with half of its vehicles, and is settled
+    again: of the others the points of the first are back."""
+    out = fresh_dir(spark, "metrics")
+    points = metric_points(preprocess(normalise(b.telemetry(spark, d), P), P), F.pmod(F.col("auto").cast("int"), F.lit(25)).cast("string"))
+    points = written_once(points, "points")
+    even = F.col("auto").cast("int") % 2 == 0
+    for n, name, rows in ((1, "u1", points.withColumn(FUEL, F.col(FUEL) / 2)), (2, "u2", points), (3, "u2", points.filter(even))):
+        sinks.write_metrics(rows.withColumn("load_seq", F.lit(n).cast("long")), out, name, fan_in=None if n == 1 else 1)
+    return b.plain(sinks.read_metrics(spark, out).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
+
+
 _INTAKE_SQL = f"""WITH {q.cascade(P, 'upload_id, auto')}, {q.CARS}, {q.NORMS}, {q.detection(P, keys='upload_id')}
 SELECT upload_id, auto AS car, {q.t('timestamp', 'datetime')}, CAST(trunc(leak) AS INTEGER) AS volume, true AS status FROM leaks WHERE is_leak"""
 

@@ -69,14 +69,13 @@ def run_upload(
 
     cars = org_cars(tables["car"], org)
     if org is not None:
-        points, target = metric_points(series, org, "upload_id", "load_seq"), {"organization": org, **fixed}
+        points = metric_points(series, org, "upload_id", "load_seq")
     else:
         owned = series
         if "organization" not in series.columns:
             owned = series.join(cars.select(F.col("id").alias("auto"), "organization"), "auto", "left")
         points = metric_points(owned, F.coalesce("organization", F.lit("unknown")), "upload_id", "load_seq")
-        target = {}
-    write_metrics(points, paths["metrics"], target)
+    write_metrics(points, paths["metrics"], upload_id)
 
     norms = scoped_norms(tables["car_consumption"], tables["car"], org)
     detected = detect_leaks(attach_cars(series, cars), norms, p, **detection)

@@ -3,76 +3,15 @@ are overwritten: running an upload again replaces its rows and nothing else."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.metrics import POINT_KEY
-from ..operators.upsert import latest_wins, upsert
-from ..schemas import METRICS, TABLES
+from ..operators.upsert import upsert
+from ..schemas import TABLES
 from .files import QUOTES, read_table
-
-
-# The characters that partition folders hold as a percent sign and two digits.
-_ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
-
-
-def folder(key: str, value) -> str:
-    """Folder of a partition, with the value written as Spark's reader undoes it."""
-    text = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", "" if value is None else str(value))
-    return f"{key}={text or '__HIVE_DEFAULT_PARTITION__'}"
-
-
-def write_partitions(
-    df: DataFrame,
-    path: str,
-    by: list[str],
-    fixed: dict | None = None,
-    mode: str = "overwrite",
-    sort: tuple[str, ...] = (),
-) -> None:
-    """Write ``df`` partitioned by ``by``, replacing the partitions it touches (``mode="append"``
-    adds to them). Where all rows share the ``fixed`` partition values that one partition is
-    replaced as a whole, also by nothing. Rows are ordered by ``sort`` inside each file."""
-    fixed = fixed or {}
-    if [*fixed] == by:
-        path = "/".join([path, *[folder(k, v) for k, v in fixed.items()]])
-        one = df.sortWithinPartitions(*sort) if sort else df
-        one.drop(*by).write.mode(mode).parquet(path)
-        return
-    # Rebalancing gathers each partition's rows into few files and, under AQE, splits a partition
-    # that is far bigger than the others instead of leaving it to one task.
-    writer = df.hint("rebalance", *by).sortWithinPartitions(*by, *sort).write.partitionBy(*by).mode(mode)
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
-
-
-def write_metrics(points: DataFrame, path: str, fixed: dict | None = None) -> None:
-    """Store points (with upload_id and load_seq). A point written again by a later load wins when
-    read; no stored file is rewritten. Files are sorted, so a vehicle's points share row groups and
-    a query for it skips the others."""
-    write_partitions(points, path, ["organization", "upload_id"], fixed, sort=("auto", "timestamp"))
-
-
-_VERSIONED = T.StructType(
-    [*METRICS.fields, T.StructField("load_seq", T.LongType()), T.StructField("upload_id", T.StringType())]
-)
-
-
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Current points, one per (organization, auto, timestamp). Filters on these three still reach
-    the scan: the organization prunes folders, the rest is pushed down."""
-    raw = spark.read.schema(_VERSIONED).parquet(path)
-    return latest_wins(raw, POINT_KEY, ["load_seq", "upload_id"]).drop("load_seq", "upload_id")
-
-
-def compact_metrics(spark: SparkSession, path: str, to: str) -> None:
-    """Rewrite the store at ``to`` with one row per point."""
-    current = read_metrics(spark, path).withColumn("upload_id", F.lit("compacted"))
-    write_metrics(current.withColumn("load_seq", F.lit(-1).cast("long")), to)
+from .metric_store import compact_metrics, read_metrics, write_metrics  # noqa: F401
+from .partitions import folder, write_partitions  # noqa: F401
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

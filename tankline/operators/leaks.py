@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 
 from ..params import Params
 from ..schemas import SPEED
+from ..sources.scratch import written_once
 from .clean import normalise, preprocess
+from .quantiles import exact_median
 
 
 def org_cars(cars: DataFrame, org: str | None = None) -> DataFrame:
@@ -126,16 +128,21 @@ def _flag_outliers(df: DataFrame, p: Params) -> DataFrame:
     return df.withColumn("is_leak_delta_sp", F.coalesce(outlier, F.lit(False)))
 
 
-def leak_stats(df: DataFrame, p: Params = Params()) -> DataFrame:
+def leak_stats(df: DataFrame, p: Params = Params(), by_digits: bool = False) -> DataFrame:
     """Add the vehicle's median and sample deviation of unexplained use, and the outlier flag.
 
     Both are aggregates that combine map-side (the median as a map from value to count), and their
-    result, a row for each vehicle, is joined back: no task has to hold a vehicle's rows. For vehicles
-    with too many distinct values for such a map see ``quantiles.exact_median``.
+    result, a row for each vehicle, is joined back: no task has to hold a vehicle's rows. ``by_digits`` finds
+    the median without that map, for vehicles with too many distinct values for one task.
     """
     df = _with_delta(df)
     x = F.col("delta_sp")
-    stats = df.groupBy(*p.keys).agg(F.percentile(x, 0.5).alias("delta_sp_median"), F.stddev_samp(x).alias("delta_sp_std"))
+    std = F.stddev_samp(x).alias("delta_sp_std")
+    if by_digits:
+        df = written_once(df, "explained")
+        stats = df.groupBy(*p.keys).agg(std).join(exact_median(df, p.keys, "delta_sp", "delta_sp_median"), p.keys)
+    else:
+        stats = df.groupBy(*p.keys).agg(F.percentile(x, 0.5).alias("delta_sp_median"), std)
     return _flag_outliers(df.join(stats, p.keys), p)
 
 
@@ -190,6 +197,7 @@ def detect_leaks(
     sigma: bool = True,
     drop_null_engine: bool = False,
     policy: str = "fanout",
+    by_digits: bool = False,
 ) -> DataFrame:
     """Flag drains in a series that already carries its vehicle (see ``attach_cars``).
 
@@ -204,7 +212,7 @@ def detect_leaks(
     if drop_null_engine:
         df = df.dropna(subset=["sl_tip_dvigat"])
     if sigma:
-        df = leak_stats(df, p)
+        df = leak_stats(df, p, by_digits)
     return _tank(df, many)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import leaks
+from ..operators import leaks, quantiles
 from ..operators.clean import normalise, preprocess
 from ..operators.reports import daily_leaks, leak_reports
 from . import binding as b
@@ -122,6 +122,22 @@ def leak_stats(spark, d):
     return b.plain(_detect(spark, d).select("id", "timestamp", *_STATS, "is_leak_delta_sp"))
 
 
+@query(
+    "leak_stats_by_digits",
+    f"WITH {q.cascade(P)}, {q.CARS}, {q.NORMS}, {q.detection(P)} SELECT id, {q.t('timestamp')}, {q.r(*_STATS)}, is_leak_delta_sp FROM leaks",
+)
+def leak_stats_by_digits(spark, d):
+    """The same statistics, the median found digit by digit."""
+    return b.plain(_detect(spark, d, by_digits=True).select("id", "timestamp", *_STATS, "is_leak_delta_sp"))
+
+
+@query("fleet_median", f"WITH {q.TELEMETRY} SELECT upload_id AS event_type, {q.r('m')} FROM (SELECT upload_id, median(calc_sensors_fuel_level) AS m FROM tele GROUP BY ALL)")
+def fleet_median(spark, d):
+    """Medians of a few keys that hold all readings."""
+    rows = b.telemetry(spark, d, F.col("event_type"))
+    return b.plain(quantiles.exact_median(rows, ["event_type"], b.FUEL, "m"))
+
+
 # With one bin per vehicle and day nothing precedes or follows within the day, so tank steps run on
 # the bins of six hours.
 _STEP = b.WIDE.but(period_s=b.WIDE.pre_s)

@@ -1,9 +1,13 @@
 """Report and metric questions."""
 
+from pyspark.sql import functions as F
+
 from ..operators import metrics as m
 from ..operators import reports as rep
+from ..operators import rollups
 from ..operators.clean import normalise, preprocess
 from ..operators.entities import tenant_scope
+from ..sources.scratch import written_once
 from . import binding as b
 from . import sqltext as q
 from .book import query
@@ -159,3 +163,25 @@ def metrics_month(spark, d):
 )
 def metric_points(spark, d):
     return b.plain(_points(spark, d))
+
+
+@query(
+    "metrics_rollup",
+    f"""WITH {q.TELEMETRY} SELECT CAST(CAST(auto AS INT) % 5 AS VARCHAR) AS organization, strftime(date_trunc('month', timestamp), '%Y-%m') AS month, count(*) AS n,
+  {q.r('total', 'least', 'greatest')}, true AS median_within FROM (SELECT auto, timestamp, calc_sensors_fuel_level AS x FROM tele) GROUP BY ALL""".replace(
+        q.r("total", "least", "greatest"), ", ".join(f"round({fn}(x) + {q.NUDGE}, {q.DIGITS}) + 0.0 AS {name}" for fn, name in (("sum", "total"), ("min", "least"), ("max", "greatest")))
+    ),
+)
+def metrics_rollup(spark, d):
+    """Months of tenants from the hours of their vehicles; the median's rank among all points is within the bound."""
+    points = b.telemetry(spark, d).withColumn("organization", F.pmod(F.col("auto").cast("int"), F.lit(5)).cast("string"))
+    hours = written_once(rollups.hourly(points), "hours")
+    months = written_once(rollups.merged(hours, "month", ("organization",)).withColumn("median", rollups.quantile(0.5)), "months")
+    month = rollups.PERIODS["month"](F.col("timestamp"))
+    x, m = F.col(b.FUEL), F.col("median")
+    ranks = points.join(months.select("organization", "start", "median"), (points["organization"] == months["organization"]) & (month == months["start"])).groupBy(months["organization"], "start").agg(
+        F.avg((x < m).cast("double")).alias("below"), F.avg((x <= m).cast("double")).alias("upto")
+    )
+    within = (F.col("below") <= 0.5 + rollups.RANK_ERROR) & (F.col("upto") >= 0.5 - rollups.RANK_ERROR)
+    out = months.join(ranks, ["organization", "start"]).select("organization", F.substring(F.col("start").cast("string"), 1, 7).alias("month"), "n", "total", "least", "greatest", within.alias("median_within"))
+    return b.plain(out)

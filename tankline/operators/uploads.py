@@ -118,3 +118,29 @@ def run_ready(uploads: DataFrame, process, needs: tuple[str, ...] = ("auto", "no
             failed.append(one)
     now = advance(now, F.col("id").isin(failed), "error")
     return advance(now, F.col("id").isin(ids), "completed")
+
+
+# ---- status as events ---------------------------------------------------------------------------
+
+# How far a status is along created -> pending -> completed or error.
+STEPS = {"created": 0, "pending": 1, "completed": 2, "error": 2}
+
+
+def status_events(ids: DataFrame, status: str | Column, load_seq: int, reason: Column | None = None) -> DataFrame:
+    """(id, status, reason, load_seq): one step of every upload in ``ids``."""
+    status = F.lit(status) if isinstance(status, str) else status
+    return ids.select("id", status.alias("status"), (F.lit(None) if reason is None else reason).cast("string").alias("reason"), F.lit(load_seq).cast("long").alias("load_seq"))
+
+
+def folded(uploads: DataFrame, events: DataFrame) -> DataFrame:
+    """``uploads`` with the status that the events lead to, and the ``reason`` of an error.
+
+    Events of an upload may come in any order, and twice. The furthest step counts, of two final ones the
+    first (least load_seq, completed before error); a status never goes back. Combines map-side.
+    """
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in STEPS.items() for x in pair)), F.col("status"))
+    own = uploads.select("id", F.col("status"), F.lit(None).cast("string").alias("reason"), F.lit(-1).cast("long").alias("load_seq"))
+    both = own.unionByName(events.select("id", "status", "reason", "load_seq"))
+    first = F.struct(rank.alias("step"), (-F.col("load_seq")).alias("early"), (F.col("status") == "completed").alias("done"))
+    now = both.groupBy("id").agg(F.max_by(F.struct("status", "reason"), first).alias("_now"))
+    return uploads.drop("status").join(now, "id").select(*[c if c != "status" else F.col("_now.status").alias("status") for c in uploads.columns], F.col("_now.reason").alias("reason"))

@@ -14,7 +14,7 @@ from ..streaming.intake import stream_uploads
 from . import binding as b
 from . import sqltext as q
 from .book import query
-from .jobs import load_fleet, run_upload
+from .jobs import load_fleet, run_ready_uploads, run_upload
 
 P = b.WIDE
 _READINGS = [*TELEMETRY.names]
@@ -270,6 +270,32 @@ def metrics_settled(spark, d):
     return b.plain(sinks.read_metrics(spark, out).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
 
 
+_UNITS_SQL = "(SELECT DISTINCT user_id % 40 AS k FROM events)"
+
+
+@query(
+    "many_uploads",
+    f"""SELECT 'u' || k AS id, 'o' || k AS organization, CASE WHEN k % 5 = 0 THEN 'created' WHEN k % 7 = 3 OR k % 7 = 4 THEN 'error' ELSE 'completed' END AS status,
+  CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 3 THEN 'missing columns: {VOLTAGE}' WHEN k % 7 = 4 THEN 'no readings' END AS reason FROM {_UNITS_SQL}""",
+)
+def many_uploads(spark, d):
+    """The waiting uploads of all tenants in one job: some tenants are not ready, some files lack a column or hold no reading."""
+    root, out = fresh_dir(spark, "in"), fresh_dir(spark, "out")
+    rows = b.telemetry(spark, d, (F.col("user_id") % 40).cast("int").alias("k"))
+    unit = F.concat(F.lit("u"), "k")
+    text = rows.select(F.when(F.col("k") % 7 == 4, "soon").otherwise(F.col("timestamp").cast("string")).alias("timestamp"), FUEL, SPEED, "auto", VOLTAGE, unit.alias("unit"), "k")
+    for names, some in ((text.columns, text.filter("k % 7 <> 3")), ([c for c in text.columns if c != VOLTAGE], text.filter("k % 7 = 3"))):
+        some.select(*[c for c in names if c != "k"]).write.mode("append").partitionBy("unit").option("header", True).csv(root)
+    units = rows.select("k").distinct()
+    kinds = F.when(F.col("k") % 5 == 0, F.array(F.lit("raw"))).otherwise(F.array(F.lit("raw"), F.lit("auto"), F.lit("norm")))
+    uploads = units.select("k", F.explode(kinds).alias("type")).select(
+        F.when(F.col("type") == "raw", F.concat(F.lit("unit=u"), "k")).otherwise(F.concat("type", "k")).alias("id"), F.concat(F.lit("o"), "k").alias("organization"),
+        F.when(F.col("type") == "raw", "created").otherwise("completed").alias("status"), "type",
+    )
+    after = run_ready_uploads(spark, uploads, root, b.fleet_tables(spark, d, "car", "car_consumption"), out, 1, P)
+    return after.filter("type = 'raw'").select(F.regexp_replace("id", "^unit=", "").alias("id"), "organization", "status", "reason")
+
+
 _INTAKE_SQL = f"""WITH {q.cascade(P, 'upload_id, auto')}, {q.CARS}, {q.NORMS}, {q.detection(P, keys='upload_id')}
 SELECT upload_id, auto AS car, {q.t('timestamp', 'datetime')}, CAST(trunc(leak) AS INTEGER) AS volume, true AS status FROM leaks WHERE is_leak"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from ..operators.leaks import attach_cars, detect_leaks, org_cars, scoped_norms
 from ..operators.metrics import metric_points
 from ..operators.reference import split_fleet
 from ..operators.reports import leak_reports
-from ..operators.uploads import advance, pending_uploads
+from ..operators.uploads import advance, folded, pending_uploads, status_events
 from ..operators.upsert import load_norms, upsert_cars
 from ..params import Params
 from ..schemas import TELEMETRY
-from ..sources.files import telemetry_text, type_text
+from ..sources.files import CORRUPT, telemetry_text, type_text
+from ..sources.metric_store import has_path
 from ..sources.scratch import fresh_dir, written_once
 from ..sources.sinks import folder, write_metrics, write_partitions
+from ..sources.uploaded import MISSING, read_uploaded
 
 
 def run_upload(
@@ -105,6 +109,55 @@ def run_pending(
     return advance(uploads.join(done, "id", "left"), F.col("_done"), "completed").drop("_done")
 
 
+def run_ready_uploads(
+    spark: SparkSession, uploads: DataFrame, root: str, tables: dict[str, DataFrame], out: str, load_seq: int, p: Params = Params(), **detection
+) -> DataFrame:
+    """Process the next waiting upload of every tenant that is ready, all in one Spark job, and keep what became of each.
+
+    The files of an upload are below ``root``/<id>, each under its own header. An upload that has no file, a
+    file without the columns, or no readable reading fails alone: its status is error, with the reason.
+    The others are completed. Steps are appended to ``out``/status as events; a job that stops half-way
+    leaves its uploads pending, and they run again with the next one. Returns ``uploads`` with status and reason.
+
+    The driver sees one id for each tenant.
+    """
+    out, root = out.rstrip("/"), root.rstrip("/")
+    now = folded(uploads, status_log(spark, out)).drop("reason")
+    # what a stopped job has left pending is next again
+    again = F.when((F.col("type") == "raw") & (F.col("status") == "pending"), "created").otherwise(F.col("status"))
+    following = written_once(pending_uploads(now.withColumn("status", again)).select(F.col("id").cast("string").alias("id"), "organization"), "next")
+    _log(status_events(following, "pending", load_seq), out)
+
+    paths = [f"{root}/{r.id}" for r in following.select("id").toLocalIterator()]
+    rows = read_uploaded(spark, paths, TELEMETRY.names, lenient=True)
+    place = F.regexp_extract("_file", re.escape(re.sub("^[a-z0-9]+:/*", "/", root)) + "/([^/]+)/", 1)
+    text = written_once(rows.withColumn("upload_id", place).withColumnRenamed("_seq", "seq").drop("_file", "_changed"), "uploads")
+    good, bad = type_text(text, TELEMETRY)
+    write_partitions(bad, f"{out}/rejects", ["upload_id"])
+    wrong = bad.filter(F.col(CORRUPT).startswith(MISSING)).groupBy("upload_id").agg(F.min(CORRUPT).alias("wrong"))
+    found = good.groupBy("upload_id").agg(F.count("*").alias("n"))
+    reason = F.coalesce("wrong", F.when(F.col("n").isNull(), F.lit("no readings")))
+    verdict = written_once(following.withColumnRenamed("id", "upload_id").join(wrong, "upload_id", "left").join(found, "upload_id", "left").select("upload_id", "organization", reason.alias("reason")), "verdict")
+
+    mine = good.join(verdict.filter("reason is null").select("upload_id", "organization"), "upload_id")
+    run_upload(spark, mine, tables, out, p, load_seq=load_seq, **detection)
+    done = verdict.withColumnRenamed("upload_id", "id")
+    _log(status_events(done, F.when(F.col("reason").isNull(), "completed").otherwise("error"), load_seq, F.col("reason")), out)
+    return folded(uploads, status_log(spark, out))
+
+
+_EVENTS = "id string, status string, reason string, load_seq long"
+
+
+def _log(events: DataFrame, out: str) -> None:
+    events.withColumn("id", F.col("id").cast("string")).coalesce(1).write.mode("append").parquet(f"{out}/status")  # one row for each tenant
+
+
+def status_log(spark: SparkSession, out: str) -> DataFrame:
+    """The events of a store; none if there are none yet."""
+    return spark.read.schema(_EVENTS).parquet(f"{out}/status") if has_path(spark, f"{out}/status") else spark.createDataFrame([], _EVENTS)
+
+
 def load_fleet(
     fleet: DataFrame, tables: dict[str, DataFrame], org: str, upload_id: str
 ) -> tuple[dict[str, DataFrame], DataFrame]:

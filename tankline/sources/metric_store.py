@@ -42,6 +42,11 @@ def _store(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    system, p = _store(spark, path)
+    return system.exists(p)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     system, p = _store(spark, path)
     system.delete(p, True)

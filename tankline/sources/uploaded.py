@@ -37,6 +37,7 @@ CHUNK = 8 << 20  # bytes parsed at once
 BLOCK = 128 << 20  # bytes of a range
 #: schemes of paths that tasks can open themselves
 STORES = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
+MISSING = "missing columns:"
 _PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd", ".lz4": "lz4"}
 ROW = ("_corrupt_record", "_seq", "_file", "_changed")
 
@@ -67,8 +68,8 @@ class File:
     changed: int  # microseconds
 
 
-def listed(paths: list[str]) -> list[File]:
-    """Files that are not empty, by time of change and path."""
+def listed(paths: list[str], lenient: bool = False) -> list[File]:
+    """Files that are not empty, by time of change and path. A path that is not there raises, unless ``lenient``."""
     out = []
     for path in paths:
         system, inner, before = store_of(path.rstrip("/") or "/")
@@ -76,6 +77,8 @@ def listed(paths: list[str]) -> list[File]:
         if wild is None:
             info = system.get_file_info(inner)
             if info.type == pafs.FileType.NotFound:
+                if lenient:
+                    continue
                 raise FileNotFoundError(path)
             # names below the path that the caller gave may not be hidden
             root, found = inner, [info] if info.is_file else system.get_file_info(pafs.FileSelector(inner, recursive=True))
@@ -111,23 +114,28 @@ def packing(path: str) -> str | None:
     return next((kind for end, kind in _PACKED.items() if path.endswith(end)), None)
 
 
-def _header(head: bytes, columns: list[str], path: str) -> tuple[int, list[int]]:
-    """Fields of the header line, and which of them are the wanted columns."""
-    names = next(csv.reader([head.decode("utf-8-sig", "replace").rstrip("\r\n")]))
+def _header(head: bytes, columns: list[str]) -> tuple[int, list[int], str | None]:
+    """Fields of the header line, which of them are the wanted columns, and what is wrong."""
+    names = next(csv.reader([head.decode("utf-8-sig", "replace").rstrip("\r\n")]), [])
     missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)} in {path}")
-    return len(names), [names.index(c) for c in columns]
+    return len(names), [names.index(c) for c in columns if c in names], f"{MISSING} {', '.join(missing)}" if missing else None
 
 
-def read_range(part: Range, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of the lines that begin in a range."""
+def read_range(part: Range, columns: list[str], lenient: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of the lines that begin in a range. A file without the wanted columns raises; if ``lenient`` it
+    gives one row that says so in ``_corrupt_record``."""
     system, inner, _ = store_of(part.file.path)
     kind = packing(part.file.path)
     with system.open_input_file(inner) as plain, pa.CompressedInputStream(plain, kind) if kind else plain as f:
         head = _upto_break(f)
         line, _, data = head.partition(b"\n")
-        width, place = _header(line, columns, part.file.path)
+        width, place, wrong = _header(line, columns)
+        if wrong and not lenient:
+            raise ValueError(f"{wrong} in {part.file.path}")
+        if wrong:
+            if part.start == 0:
+                yield _batch([pa.nulls(1, pa.string()) for _ in columns], pa.array([wrong]), pa.array([part.number << 42], pa.int64()), columns, part)
+            return
         at, stop = len(line) + 1, None if kind else part.end
         if part.start > at:
             # skip to the first line break from the byte before: a line belongs to the range of its first byte
@@ -202,13 +210,14 @@ def _batch(values: list[pa.Array], corrupt: pa.Array, seq: pa.Array, columns: li
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths, self.columns, self.block = json.loads(options["paths"]), json.loads(options["columns"]), int(options.get("block", BLOCK))
+        self.lenient = options.get("lenient", "false") == "true"
 
     def partitions(self):
-        return ranges(listed(self.paths), self.block)
+        return ranges(listed(self.paths, self.lenient), self.block)
 
     def read(self, partition):
         if partition is not None:
-            yield from read_range(partition, self.columns)
+            yield from read_range(partition, self.columns, self.lenient)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -256,7 +265,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class UploadedCsv(DataSource):
-    """Options: paths and columns (JSON lists), block (bytes of a range); of a stream also log (a folder)."""
+    """Options: paths and columns (JSON lists), block (bytes of a range), of a batch lenient, of a stream log (a folder)."""
 
     @classmethod
     def name(cls) -> str:
@@ -277,9 +286,9 @@ def row_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in (*columns, *ROW)])
 
 
-def read_uploaded(spark: SparkSession, paths: list[str], columns: list[str], block: int = BLOCK) -> DataFrame:
+def read_uploaded(spark: SparkSession, paths: list[str], columns: list[str], block: int = BLOCK, lenient: bool = False) -> DataFrame:
     spark.dataSource.register(UploadedCsv)
-    return spark.read.format("uploaded_csv").options(paths=json.dumps(paths), columns=json.dumps(columns), block=block).load()
+    return spark.read.format("uploaded_csv").options(paths=json.dumps(paths), columns=json.dumps(columns), block=block, lenient=lenient).load()
 
 
 def stream_uploaded(spark: SparkSession, path: str, columns: list[str], log: str, block: int = BLOCK) -> DataFrame:

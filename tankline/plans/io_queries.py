@@ -107,10 +107,11 @@ def cars_file(spark, d):
     cells = [F.col("p_partkey").cast("string"), *(F.lit(x) for x in ("A1", "V1", "make", "model"))]
     tail = [F.col("p_type"), F.when(kind == 2, "diesel").otherwise(F.col("p_size").cast("string"))]
     line = F.when(kind == 1, F.concat_ws(",", *cells)).when(kind == 3, F.concat_ws(",", *cells, *tail, F.lit("more"))).otherwise(F.concat_ws(",", *cells, *tail))
-    head = spark.createDataFrame([(",".join(CARS_FILE.names),)], "value string")
-    # each file needs its header: one file
-    head.unionByName(b.table(spark, d, "part").select(line.alias("value"))).coalesce(1).write.text(f"{path}/cars.csv")
-    good, rejects = files.read_cars(spark, path + "/cars.csv")
+    # a file for every brand, each with its header
+    rows = b.table(spark, d, "part").select("p_brand", F.lit(1).alias("place"), line.alias("value"))
+    heads = rows.select("p_brand").distinct().select("p_brand", F.lit(0).alias("place"), F.lit(",".join(CARS_FILE.names)).alias("value"))
+    rows.unionByName(heads).repartition(16, "p_brand").sortWithinPartitions("p_brand", "place").drop("place").write.partitionBy("p_brand").text(path)
+    good, rejects = files.read_cars(spark, path)
     out = good.withColumn("rejected", F.lit(False)).unionByName(
         rejects.select(*CARS_FILE.names[:-1], F.col("sl_tip_dvigat").cast("double").alias("sl_tip_dvigat"), F.lit(True).alias("rejected"))
     )
@@ -173,15 +174,16 @@ def import_repeated_id(spark, d):
 
 @query(
     "table_file_hash",
-    """SELECT CAST(n_nationkey AS VARCHAR) AS file, CAST(strlen(n_name) + 1 AS BIGINT) AS size, sha256(n_name || chr(10)) AS file_hash FROM nation""",
+    """SELECT p_brand AS file, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS size, sha256(string_agg(p_name, chr(10) ORDER BY p_partkey) || chr(10)) AS file_hash
+FROM part GROUP BY p_brand""",
 )
 def table_file_hash(spark, d):
-    """A file for each nation, in a folder whose name has a blank and signs that mean something in a URI."""
+    """A file of all parts of each brand, in a folder whose name has a blank and signs that mean something in a URI."""
     path = fresh_dir(spark, "files") + "/a b%20#c"
-    names = b.table(spark, d, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("nation"))
-    names.write.partitionBy("nation").text(path)
-    out = files.hash_files(spark, path.replace("%", "?").replace("#", "?") + "/nation=*/*.txt")
-    return out.select(F.regexp_extract("path", "nation=([0-9]+)", 1).alias("file"), "size", "file_hash")
+    names = b.table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_name").alias("value"))
+    names.repartition(16, "p_brand").sortWithinPartitions("p_brand", "p_partkey").drop("p_partkey").write.partitionBy("p_brand").text(path)
+    out = files.hash_files(spark, path.replace("%", "?").replace("#", "?") + "/p_brand=*/*.txt")
+    return out.select(F.regexp_replace(F.regexp_extract("path", "p_brand=([^/]+)", 1), "%23", "#").alias("file"), "size", "file_hash")
 
 
 @query(

@@ -14,7 +14,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import nan_to_null, need
 from ..schemas import CARS_FILE, FLEET, NORMS_FILE, TELEMETRY
-from .uploaded import read_uploaded, readable
+from .uploaded import read_uploaded, readable, store_of
 
 CORRUPT = "_corrupt_record"
 SURPLUS = "_surplus"
@@ -215,37 +215,28 @@ def read_table(spark: SparkSession, path, schema: T.StructType, fmt: str):
 _DIGEST = "path string, size long, file_hash string"
 
 
-def _digest_big(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of files too big for one row, a few megabytes at a time."""
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files, a few megabytes at a time."""
     import hashlib
 
-    from pyarrow import fs
-
     for batch in batches:
         hashes = []
         for path in batch["path"]:
-            scheme, _, rest = path.partition(":")
-            if scheme == "file" or not rest:
-                system, inner = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
-            else:
-                # names of the JVM's connectors; a path is quoted, as it is no URI yet
-                scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-                system, inner = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/@:')}")
+            system, inner, _ = store_of(path)
             digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
+            with system.open_input_stream(inner, compression=None) as stream:
                 while block := stream.read(4 << 20):
                     digest.update(block)
             hashes.append(digest.hexdigest())
         yield batch.assign(file_hash=hashes)[["path", "size", "file_hash"]]
 
 
-def hash_files(spark: SparkSession, glob: str, whole_up_to: int = 256 << 20) -> DataFrame:
-    """Path, size in bytes and SHA-256 of every file but empty ones, which Spark does not list. Files above
-    ``whole_up_to`` bytes are read as a stream instead of being held in a row."""
+def hash_files(spark: SparkSession, glob: str) -> DataFrame:
+    """Path, size in bytes and SHA-256 of every file but empty ones, which Spark does not list. Tasks read the
+    files as streams, whatever their size; in a store that only the JVM knows Spark reads them whole, up to
+    its limit of 2 GB for a value."""
     files = spark.read.format("binaryFile").load(glob)
     size = F.col("length").alias("size")
-    small = files.filter(F.col("length") <= whole_up_to).select(
-        "path", size, F.sha2("content", 256).alias("file_hash")
-    )
-    big = files.filter(F.col("length") > whole_up_to).select("path", size)
-    return small.unionByName(big.mapInPandas(_digest_big, _DIGEST))
+    if not readable(glob):
+        return files.select("path", size, F.sha2("content", 256).alias("file_hash"))
+    return files.select("path", size).mapInPandas(_digest, _DIGEST)

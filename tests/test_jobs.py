@@ -12,6 +12,8 @@ from tankline.plans.jobs import load_fleet, run_pending, run_upload
 from tankline.schemas import FUEL, SPEED, TELEMETRY
 from tankline.sources import sinks
 from tankline.streaming.bins import LateRows, as_instant, as_wall_clock, stream_bins
+from tankline.operators.uploads import folded
+from tankline.plans import jobs
 from tankline.streaming.intake import stream_uploads
 
 P = Params(leak_limit=1.0)
@@ -205,3 +207,45 @@ def test_labels_do_not_pass_through_the_zone(spark):
         assert spark.sql("SELECT timestamp_ntz'2011-03-27 02:30:00.5' AS t").select(clock(F.col("t")).alias("c")).first().c == "2011-03-27 02:30:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_status_is_folded_from_events(spark):
+    uploads = spark.createDataFrame([(k, "created") for k in "abcde"] + [("f", "error")], "id string, status string")
+    rows = [("a", "completed", None, 1), ("a", "pending", None, 2), ("b", "pending", None, 1), ("b", "pending", None, 1), ("c", "error", "x", 1), ("c", "completed", None, 2),
+            ("d", "completed", None, 3), ("d", "error", "y", 3), ("f", "completed", None, 1), ("z", "completed", None, 1)]
+    events = spark.createDataFrame(rows, "id string, status string, reason string, load_seq long")
+    got = {r.id: (r.status, r.reason) for r in folded(uploads, events).collect()}
+    assert got == {"a": ("completed", None), "b": ("pending", None), "c": ("error", "x"), "d": ("completed", None), "e": ("created", None), "f": ("error", None)}
+
+
+def test_uploads_run_again_after_a_stop_and_fail_alone(spark, tables, tmp_path, monkeypatch):
+    cars = tables["car"].withColumn("organization", F.lit("o1"))
+    mine = {**tables, "car": cars}
+    kinds = [(f"{t}{o}", o, "completed", t) for o in ("o1", "o2", "o3") for t in ("auto", "norm")]
+    kinds += [("r1", "o1", "created", "raw"), ("r2", "o1", "created", "raw"), ("r3", "o2", "created", "raw"), ("r4", "o3", "created", "raw"), ("r5", "o4", "created", "raw")]
+    uploads = spark.createDataFrame(kinds, "id string, organization string, status string, type string")
+    for n, u in ((1, "r1"), (2, "r2")):
+        (tmp_path / "in" / u).mkdir(parents=True)
+        _csv(spark, n, tmp_path / "in" / u / "part.csv")
+    (tmp_path / "in/r3").mkdir()
+    (tmp_path / "in/r3/part.csv").write_text("auto,timestamp\n1,2\n")
+    out = str(tmp_path / "out")
+
+    def run(n):
+        after = jobs.run_ready_uploads(spark, uploads, str(tmp_path / "in"), mine, out, n, P)
+        return {r.id: (r.status, r.reason) for r in after.collect() if r.id[0] == "r"}
+
+    def stop(*args, **options):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "run_upload", stop)
+        with pytest.raises(RuntimeError, match="lost"):
+            run(1)
+    assert {r.id for r in jobs.status_log(spark, out).collect() if r.status == "pending"} == {"r2", "r3", "r4"}
+    failed = {"r3": ("error", "missing columns: calc_sensors_fuel_level, pos_s, calc_sensors_voltage"), "r4": ("error", "no readings"), "r5": ("created", None)}
+    assert run(2) == {"r1": ("created", None), "r2": ("completed", None), **failed}
+    want = _rows(leak_reports(leak_pipeline(_frame(spark, 2), cars, tables["car_consumption"], P, org="o1"), "r2"))
+    assert want and _rows(sinks.read_reports(spark, f"{out}/reports")) == sorted(want)
+    assert run(3) == {"r1": ("completed", None), "r2": ("completed", None), **failed}
+    assert run(4) == run(5)

@@ -250,9 +250,9 @@ def _shard_repeats(ctx: list[bytes], row: np.ndarray, lo: np.ndarray):
     return text, owner, inside, at, number, twice
 
 
-def _shard(key: tuple, table: pa.Table) -> pa.Table:
+def _shard(table: pa.Table, bits: int) -> pa.Table:
     """Marks of one shard (kind 0), and for anchors on several shards the runs to merge (kind 1):
-    fingerprints in order, row and place of each window, and whether it is known to repeat."""
+    fingerprints in order, row and place of each window, and whether it is known to repeat, in 2**bits ranges."""
     order = np.lexsort((table.column("lo").to_numpy(), table.column("row").to_numpy()))
     table = table.take(pa.array(order))
     ctx = [x.as_py() for x in table.column("ctx")]
@@ -282,7 +282,7 @@ def _shard(key: tuple, table: pa.Table) -> pa.Table:
             order = np.lexsort((prints[1], prints[0]))
             f, g, go = prints[0][order], prints[1][order], go[order]
             runs = np.stack([f.view(np.int64), g.view(np.int64), row[owner[at[go]]], lo[owner[at[go]]] + inside[at[go]], twice[number[go]].astype(np.int64)])
-            piece = (f >> np.uint64(56)).astype(np.int64)
+            piece = (f >> np.uint64(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.diff(piece, prepend=-1))
             for x, y in zip(cut, np.append(cut[1:], len(piece))):
                 out["kind"].append(1)
@@ -348,7 +348,10 @@ def repeats(texts: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("h", F.when(F.col("share") > 1, F.pmod(F.xxhash64("row", "lo"), F.col("share"))).otherwise(0)), F.lit(shards)).alias("shard"),
         (F.col("share") > 1).alias("split"), "row", "lo", "ctx",
     )
-    done = saved(dealt.groupBy("shard").applyInArrow(_shard, "kind int, part long, row long, lo long, hi long, run binary"), "shards")
+    # a range gets about the windows of a quarter of a shard; shards are dealt explicitly, as their work is not in their bytes
+    bits, tasks = max(4, (4 * shards).bit_length()), min(shards, 8 * shuffle_width(texts.sparkSession))
+    each = dealt.repartition(tasks, "shard").groupBy("shard")
+    done = saved(each.applyInArrow(lambda table: _shard(table, bits), "kind int, part long, row long, lo long, hi long, run binary"), "shards")
     merged = done.filter("kind = 1").select("part", "run").groupBy("part").applyInArrow(_merge, _MARK)
     return marked.unionByName(whole).unionByName(done.filter("kind = 0").select("row", "lo", "hi")).unionByName(merged)
 

@@ -278,7 +278,7 @@ def held_short(h: np.ndarray, first: np.ndarray, items: Items) -> list[tuple]:
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.7
+    cosine: float = 0.6
     copied: float = 0.7
     paraphrased: float = 0.6
     answered: float = 0.75

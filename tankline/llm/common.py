@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_dir
@@ -165,18 +165,17 @@ def words(raw: np.ndarray, ends: np.ndarray, of: np.ndarray = ~SPACE) -> tuple[n
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, max_labels: int = 200) -> DataFrame:
-    """About ``per_label`` rows of each label (fewer labels than ``max_labels``), chosen by a hash of their id.
+def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
+    """About ``per_label`` rows of each label, at most twice as many, chosen by a hash of their id (``doc_id``).
 
-    For fitting models only. The driver sees one count for each label; the sample has at most twice
-    the rows that were asked for.
+    For fitting models only. Every label has its rows, however many labels there are, and the choice is
+    the same in every run: what a hash of all columns puts first stays where ids repeat very often.
     """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    if not counts:
-        return df.limit(0)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["count"]))))
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    return df.filter(spot < F.try_element_at(share, F.col(label))).limit(2 * per_label * len(counts))
+    some = df.join(counts, F.col(label) == F.col("_label")).filter(spot * F.col("_n") < per_label)
+    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(*df.columns), *df.columns))
+    return some.withColumn("_place", place).filter(F.col("_place") <= 2 * per_label).select(*df.columns)
 
 
 def boxed(docs: DataFrame) -> DataFrame:

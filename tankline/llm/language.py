@@ -105,7 +105,11 @@ def _held_grams(batches) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 128, grams: int = 6000, ridge: float = 1e-3) -> Model | None:
-    """Model from labelled texts (doc_id, text, lang); None where there are none."""
+    """Model from labelled texts (doc_id, text, lang); None where there are none.
+
+    Every language is learned, from about ``per_language`` texts, and has a landmark: there are
+    ``landmarks`` of them, or as many as languages if these are more.
+    """
     sample = bounded_sample(plain(labelled, "doc_id", "text", "lang").filter("lang is not null and text is not null"), "lang", per_language)
     rows = sorted(sample.mapInArrow(_held_grams, "lang string, grams binary").toLocalIterator(), key=lambda r: (r.lang, bytes(r.grams)))
     if not rows:
@@ -124,7 +128,7 @@ def fit(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 128, g
     for c in range(len(languages)):
         mine = shuffled[own[shuffled] == c]
         turn[mine] = np.arange(len(mine))
-    chosen = np.argsort(turn, kind="stable")[:landmarks]
+    chosen = np.argsort(turn, kind="stable")[: max(landmarks, len(languages))]
     marks = have[chosen]
     unit = lambda m: m / np.maximum(1, np.sqrt(m.sum(1)))[:, None]
     kernel = unit(have) @ unit(marks).T

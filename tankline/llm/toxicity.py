@@ -11,7 +11,7 @@ A text's features are whether it holds a word of letters or a beginning of one (
 
 NULL and empty texts have no features and get the base rates. A category without both classes in its
 sample has probability 0. Every row is scored by itself, so ids may repeat or be NULL (a row without id
-has no labels); a row labelled twice counts twice; other columns are not looked at; empty tables give
+has no labels); a row labelled twice counts twice, one with a NULL label not at all; other columns are not looked at; empty tables give
 no rows.
 """
 
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LETTER, Rolling, bounded_sample, parts, plain, slices, text_arrays, words
@@ -94,15 +94,21 @@ def _held_features(batches) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, chain: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 2500, features: int = 1500, folds: int = 3, l2: float = 1e-4) -> Chain | None:
     """Fit on documents joined with ``labels`` (doc_id and a 0/1 column for each category; ``low_quality``
-    is read from ``quality``). None if nothing is labelled."""
-    known = labels.select(
-        F.col("doc_id").cast("long"),
-        *(F.coalesce((F.col("quality") == 0).cast("int") if c == "low_quality" else F.col(c).cast("int"), F.lit(0)).alias(f"label_{k}") for k, c in enumerate(chain)),
-    )
-    known = known.select("doc_id", F.concat_ws("", *(f"label_{k}" for k in range(len(chain)))).alias("key"))
-    some = bounded_sample(known.filter("doc_id is not null"), "key", per_class)  # bounded, so it may be broadcast
+    is read from ``quality``). Categories without a column are left out of the chain, and rows in which
+    a label is NULL out of the fit. None if nothing is labelled, or no category has a column."""
+    source = {c: "quality" if c == "low_quality" else c for c in chain}
+    chain = tuple(c for c in chain if source[c] in labels.columns)
+    if not chain:
+        return None
+    given = [F.col(source[c]).cast("int") for c in chain]
+    known = labels.select(F.col("doc_id").cast("long"), *(((x == 0) if c == "low_quality" else (x != 0)).cast("int").alias(f"label_{k}") for k, (c, x) in enumerate(zip(chain, given))))
+    known = known.dropna().select("doc_id", F.concat_ws("", *(f"label_{k}" for k in range(len(chain)))).alias("key"))
+    some = bounded_sample(known, "key", per_class)  # at most twice per_class of each combination, so it may be broadcast
     texts = plain(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").select("key", "text")
-    rows = sorted(texts.limit(8 * per_class * 2 ** len(chain)).mapInArrow(_held_features, "key string, features binary").toLocalIterator(), key=lambda r: (r.key, bytes(r.features)))
+    # an id that very many documents share brings no more rows than this
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"), "text"))
+    texts = texts.withColumn("place", place).filter(F.col("place") <= 4 * per_class).select("key", "text")
+    rows = sorted(texts.mapInArrow(_held_features, "key string, features binary").toLocalIterator(), key=lambda r: (r.key, bytes(r.features)))
     if not rows:
         return None
     held = [np.frombuffer(r.features, np.int32) for r in rows]

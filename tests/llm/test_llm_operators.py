@@ -356,3 +356,52 @@ def test_pipeline(spark, con, docs, tokenizer):
     rows = [(i, t) for i, t in rows if not any(x in t for x in items)]
     want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
     packed_right(corpus_pipeline.run(spark, D).collect(), want)
+
+
+def test_recall_of_paraphrases(spark):
+    """Copies with words replaced that the rule accepts, by a search for the subsequence, are found at any share."""
+    rnd = random.Random(4)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    pool = [w for r in queries.documents(spark, D).limit(60).collect() for w in (r.text or "").split()]
+    hashed = lambda t: decontam.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    docs, want = [], {}
+    for share in (0.1, 0.2, 0.25, 0.3, 0.35, 0.4):
+        for item, text in bench:
+            own = [rnd.choice(pool) if rnd.random() < share else w for w in text.split()]
+            around = [rnd.choice(pool) for _ in range(rnd.randrange(200))]
+            at = rnd.randrange(len(around) + 1)
+            mine = hashed(text)
+            if len(mine) >= 8 and decontam.lcs(mine, hashed(" ".join(own))) >= 0.7 * len(mine):
+                want.setdefault(share, []).append((len(docs), item))
+            docs.append((len(docs), " ".join(around[:at] + own + around[at:])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for share, pairs in want.items():
+        assert sum(p in got for p in pairs) >= 0.9 * len(pairs), share
+
+
+def test_every_language_is_learned(spark):
+    """More languages than landmarks."""
+    from tankline.llm import language
+
+    rnd = random.Random(2)
+    words = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(150)}
+    rows = [(100 * k + n, " ".join(rnd.choice(words[k]) for _ in range(40)), f"l{k:03d}") for k in words for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, per_language=3)
+    got = docs.select("lang", language.language_of(docs["text"], model).alias("p")).select("lang", "p.lang").collect()
+    assert len({r[1] for r in got}) == 150 and sum(r[0] == r[1] for r in got) >= 0.95 * len(got)
+
+
+def test_null_labels_are_no_labels(spark):
+    from tankline.llm import toxicity
+
+    bad, good = "vile nasty words here", "kind gentle words here"
+    docs = spark.createDataFrame([(k, bad if k % 2 else good) for k in range(80)], "doc_id long, text string")
+    rows = [(k, 1, k % 2) for k in range(40)] + [(k, 1, None) for k in range(40, 80)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    known = toxicity.fit(docs, labels.filter("toxic is not null"))
+    assert toxicity.fit(docs, labels) == known
+    alone = toxicity.fit(docs, labels.drop("quality"))
+    assert alone.categories == ("toxic",)
+    assert toxicity.fit(docs, labels.select("doc_id")) is None

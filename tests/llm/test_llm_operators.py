@@ -405,3 +405,20 @@ def test_null_labels_are_no_labels(spark):
     alone = toxicity.fit(docs, labels.drop("quality"))
     assert alone.categories == ("toxic",)
     assert toxicity.fit(docs, labels.select("doc_id")) is None
+
+
+def test_whole_licence_texts(spark):
+    """Texts of licences inside long documents, with words changed, and none in documents without."""
+    rnd = random.Random(6)
+    words = [f"word{k}" for k in range(400)]
+    around = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(t for t in licenses.TEMPLATES.items() if t[0].endswith("-text")):
+        own = text.split()
+        for at in range(20, len(own), 60):
+            own[at] = rnd.choice(words)
+        rows += [(2 * k, f"{around(700)} {' '.join(own)} {around(300)}"), (2 * k + 1, around(900))]
+        want[2 * k] = name
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r[0], r[1]) for r in got}
+    assert all((k, name) in found for k, name in want.items()) and all(k % 2 == 0 for k, _ in found)

@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,7 +41,7 @@ from .common import plain, saved, shuffle_width, slices
 from .gather import gathered, offsets, written
 
 LONG = 96  # bytes of a word that are folded at once
-BLOCK = 8 << 20  # bytes of the words of a block
+BLOCK = 16 << 20  # bytes of the words of a block
 TOP = 1 << 16  # above all ids
 
 
@@ -220,26 +219,47 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         at = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, kind)
         for lo, hi in slices(at[rows], BLOCK):
             own = flat.slice(rows[lo], rows[hi] - rows[lo]).dictionary_encode()
-            data, ends = own.indices.to_numpy().astype("<i4"), (rows[lo : hi + 1] - rows[lo]).tolist()
+            # numbers by falling frequency: most are small, and their high bytes pack to almost nothing
+            which = own.indices.to_numpy()
+            order = np.argsort(-np.bincount(which, minlength=len(own.dictionary)), kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order))
+            data, ends = number[which], (rows[lo : hi + 1] - rows[lo]).tolist()
+            lists = np.full(hi - lo + 1, len(order), np.int32)
+            lists[0] = 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(hi - lo, block)), batch.column("doc_id").slice(lo, hi - lo),
-                    pa.array([zlib.compress(data[x:y].tobytes(), 1) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array([own.dictionary.to_pylist(), *[None] * (hi - lo - 1)], pa.list_(pa.string())),
+                    pa.array([_packed(data[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(lists), own.dictionary.take(pa.array(order)).cast(pa.string())),
                 ],
                 schema=_ROWS,
             )
             block += 1
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their count and compressed planes of bytes, lowest first, as many as they need."""
+    planes = (int(numbers.max(initial=0)).bit_length() + 7) // 8
+    rows = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:planes])
+    return len(numbers).to_bytes(8, "little") + bytes([planes]) + pa.compress(rows.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, planes = int.from_bytes(data[:8], "little"), data[8]
+    rows = np.zeros((n, 4), np.uint8)
+    rows[:, :planes] = np.frombuffer(pa.decompress(data[9:], n * planes, "zstd", asbytes=True), np.uint8).reshape(planes, n).T
+    return rows.view("<u4").ravel().astype(np.int64)
+
+
 def _put_together(answer: Callable, schema: pa.Schema) -> Callable:
     """For the documents of a block and its words: ``answer`` to all ids and the documents' offsets in them."""
 
     def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
         own = words.sort_by("number").column("ids").combine_chunks()
         pool, at = own.flatten().to_numpy().astype(np.int64), offsets(np.diff(own.offsets.to_numpy()))
-        numbers = [np.frombuffer(zlib.decompress(x), "<i4") for x in docs.column("numbers").to_pylist()]
-        ids, total = gathered(pool, at, np.concatenate([np.zeros(0, np.int32), *numbers]))
+        numbers = [_unpacked(x) for x in docs.column("numbers").to_pylist()]
+        ids, total = gathered(pool, at, np.concatenate([np.zeros(0, np.int64), *numbers]))
         return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *answer(ids, total[offsets(np.array([len(x) for x in numbers]))])], schema=schema)
 
     return run
@@ -253,7 +273,7 @@ def word_ids(docs: DataFrame, ranks: RankMap, pattern: str) -> tuple[DataFrame,
     rows = saved(cut.mapInArrow(_blocks, _ROWS_SQL), "word-blocks")
     # the fold is the work here, so the words are dealt to many tasks, however small they are
     width = 4 * shuffle_width(docs.sparkSession)
-    listed = rows.filter("distinct is not null").select("block", F.posexplode("distinct").alias("number", "word")).repartition(width, "word")
+    listed = rows.filter("size(distinct) > 0").select("block", F.posexplode("distinct").alias("number", "word")).repartition(width, "word")
     # the least place of a word is not needed; asked for, it lets both sides read one exchange
     encoded = listed.groupBy("word").agg(F.min(F.struct("block", "number")).alias("place")).select("word", encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"), F.col("place.number").alias("_"))
     return rows.select("block", "doc_id", "numbers"), listed.join(encoded, "word").filter("_ is not null").select(F.col("block").alias("of"), "number", "ids")

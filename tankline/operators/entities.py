@@ -321,6 +321,28 @@ def entity_facets(tables: dict, name: str, path: str, org: str | None = None) ->
     return df.select(column.alias("value")).distinct()
 
 
+def all_facets(tables: dict, name: str, org: str | None = None) -> DataFrame:
+    """(facet, value, rows): all facets of an entity with the number of rows of each value, values as text.
+
+    One pass over the table: grouping sets, a set for each facet, combine map-side.
+    """
+    spec = _spec(name)
+    df, columns = _scoped(tables, name, org), []
+    for k, path in enumerate(spec.facets):
+        df, column = _reach(df, tables, name, path)
+        columns.append(column.cast("string").alias(f"_f{k}"))
+    rows = df.select(*columns)
+    sets = [[F.col(f"_f{k}")] for k in range(len(columns))]
+    counted = rows.groupingSets(sets, *[F.col(f"_f{k}") for k in range(len(columns))]).agg(F.grouping_id().alias("_set"), F.count("*").alias("rows"))
+    # the set of facet k has all bits but its own
+    which, full = F, (1 << len(columns)) - 1
+    value = F
+    for k, path in enumerate(spec.facets):
+        own = F.col("_set") == full - (1 << (len(columns) - 1 - k))
+        which, value = which.when(own, F.lit(path)), value.when(own, F.col(f"_f{k}"))
+    return counted.select(which.alias("facet"), value.alias("value"), "rows")
+
+
 # ---- entry points -------------------------------------------------------------------------------
 
 

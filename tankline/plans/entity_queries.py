@@ -129,3 +129,53 @@ def missing_cars(spark, d):
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
     found = leaks.leak_pipeline(b.telemetry(spark, d), tables["car"].withColumn("name", F.concat(F.lit(" Car "), "id")), tables["car_consumption"], P)
     return ups.missing_cars(found, tables["car"].filter(F.col("id").cast("int") % 3 == 0), "o9")
+
+
+# Of each entity: where its rows come from, and its facets as text.
+_FACETS = {
+    "organization": ("orgs", {"name": "name"}),
+    "org_user": ("supplier", {"org": "CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS VARCHAR) END", "is_active": "CAST(s_acctbal > 5000 AS VARCHAR)", "is_staff": "CAST(s_acctbal > 9000 AS VARCHAR)"}),
+    "car": ("cars", {"organization": "organization", "engine_type": "printf('%.1f', engine_type)"}),
+    "car_consumption": ("norms", {"car": "sl_avto", "valid_period": "strftime(period, '%Y-%m-%d')"}),
+    "report_query": ("uploads", {"status": "status", "organization": "CAST((length(organization) + size) % 25 AS VARCHAR)"}),
+    "media": ("uploads", {"type": "type", "report_query.organization": "CAST((length(organization) + size) % 25 AS VARCHAR)"}),
+    "car_report": ("reports", {"car": "car", "datetime": "strftime(datetime, '%Y-%m-%d')", "status": "CAST(status AS VARCHAR)"}),
+    "driver": ("drivers", {"fullname": "fullname"}),
+}
+
+
+@query(
+    "all_facets",
+    f"WITH {q.ORGS}, {q.CARS}, {q.NORMS}, {q.UPLOADS}, {q.REPORTS}, {q.DRIVERS} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS entity, '{facet}' AS facet, {text} AS value, count(*) AS rows FROM {source} GROUP BY ALL" for name, (source, facets) in _FACETS.items() for facet, text in facets.items()),
+)
+def all_facets(spark, d):
+    """Every facet of every entity with its values and their numbers of rows, one pass for each entity."""
+    tables = _all(spark, d)
+    staff = b.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_acctbal") > 9000).alias("is_staff"))
+    tables["org_user"] = tables["org_user"].join(staff, "id")
+    tables["car_report"] = tables["car_report"].withColumn("datetime", F.col("datetime").cast("date"))
+    out = None
+    for name in _FACETS:
+        one = ent.all_facets(tables, name).select(F.lit(name).alias("entity"), "facet", "value", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KINDS = "CASE id % 5 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.txt' WHEN 3 THEN '' ELSE '.tar.Csv' END"
+
+
+@query(
+    "upload_kinds",
+    f"""WITH {q.UPLOADS}, named AS (SELECT id, type, lang || {_KINDS} AS filename FROM uploads JOIN (SELECT doc_id, lang FROM documents) ON doc_id = id)
+SELECT id, filename, type, CASE id % 5 WHEN 1 THEN 'xlsx' ELSE 'csv' END AS kind,
+  CASE id % 5 WHEN 1 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' ELSE 'text/csv' END AS media_type
+FROM named WHERE type IN ('raw', 'auto') AND id % 5 NOT IN (2, 3)""",
+)
+def upload_kinds(spark, d):
+    """Uploads with known, unknown and no extensions, in any case."""
+    kinds = F.array(*(F.lit(x) for x in (".csv", ".XLSX", ".txt", "", ".tar.Csv")))
+    rows = b.uploads(spark, d).withColumn("filename", F.concat(F.regexp_replace("filename", "[.]csv$", ""), F.get(kinds, (F.col("id") % 5).cast("int"))))
+    good, _ = up.split_by_type(rows)
+    path = F.col("filename")
+    return good.select("id", "filename", "type", up.file_kind(path).alias("kind"), up.media_type(path).alias("media_type"))

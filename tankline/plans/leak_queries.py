@@ -195,3 +195,35 @@ def drained_volume_per_car(spark, d):
     return found.groupBy("id", "name").agg(
         F.sum(F.col("leak").cast("int")).alias("volume"), F.count("*").alias("drains")
     )
+
+
+# Readings with quarter litres and without speed or voltage; vehicles of unknown and of other engine types.
+_ODD_CARS = q.CARS.replace("CAST(c_custkey % 2 AS DOUBLE) AS engine_type", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 3 THEN 2.0 ELSE CAST(c_custkey % 2 AS DOUBLE) END AS engine_type")
+_ODD_TELEMETRY = (
+    q.TELEMETRY.replace("floor(value * 40)", "floor(value * 160) / 4")
+    .replace("CAST(regexp_extract(props, '[0-9]+') AS DOUBLE)", "CASE WHEN event_id % 3 = 0 THEN 0.0 WHEN event_id % 13 <> 1 THEN CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) END")
+    .replace("CAST(24 + event_id % 7 AS DOUBLE)", "CASE WHEN event_id % 17 <> 1 THEN CAST(24 + event_id % 7 AS DOUBLE) END")
+)
+_ODD = f"WITH {q.cascade(P).replace(q.TELEMETRY, _ODD_TELEMETRY)}, {_ODD_CARS}, {q.NORMS}, {q.detection(P)}"
+
+
+def _odd(spark, d, **options):
+    events = b.table(spark, d, "events")
+    n = F.col("event_id")
+    speed = F.when(n % 3 == 0, 0.0).when(n % 13 != 1, F.col(b.SPEED))
+    rows = b.readings_of(events, n, "value").withColumns({b.FUEL: F.floor(F.col("value") * 160) / 4, b.SPEED: speed, b.VOLTAGE: F.when(n % 17 != 1, F.col(b.VOLTAGE))})
+    key = F.col("id").cast("int")
+    cars = b.cars(spark, d).withColumn("engine_type", F.when(key % 5 == 3, 2.0).when(key % 5 != 0, F.col("engine_type")))
+    return leaks.leak_pipeline(rows.drop("event_id", "value"), cars, b.norms(spark, d), P, **options)
+
+
+@query("detect_leaks_odd", f"{_ODD} SELECT {_FULL_SQL} FROM leaks")
+def detect_leaks_odd(spark, d):
+    """Detection where speeds, voltages and engine types are missing."""
+    return b.plain(_odd(spark, d).select(*_FULL))
+
+
+@query("detect_leaks_plain_odd", f"{_ODD} SELECT {_PLAIN_SQL} FROM leaks WHERE sl_tip_dvigat IS NOT NULL")
+def detect_leaks_plain_odd(spark, d):
+    """The plain variant leaves out vehicles of unknown engine type."""
+    return b.plain(_odd(spark, d, sigma=False, drop_null_engine=True).select(*_ID, *_DOUBLES, *_FLAGS))

@@ -7,6 +7,8 @@ from ..operators import entities as ent
 from ..operators import reference as ref
 from ..operators import uploads as up
 from ..operators import upsert as ups
+from ..sources.bucket_table import BucketTable
+from ..sources.scratch import fresh_dir
 from . import binding as b
 from . import sqltext as q
 from .book import query
@@ -134,21 +136,48 @@ def norm_rejects(spark, d):
     return b.plain(_load_norms(spark, d)[1])
 
 
-@query(
-    "car_upsert",
-    f"""WITH {q.CARS}, n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name,
+_CAR_UPSERT = f"""WITH {q.CARS}, n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name,
   coalesce(nullif(p_type, 'ECONOMY'), '') AS description, CAST(p_partkey % 3 AS DOUBLE) AS engine_type FROM part)
 SELECT coalesce(c.id, n.id) AS id, CASE WHEN n.id IS NULL THEN c.name ELSE n.name END AS name,
   CASE WHEN n.id IS NULL THEN c.description ELSE n.description END AS description,
   CASE WHEN c.id IS NULL THEN n.engine_type ELSE c.engine_type END AS engine_type,
   CASE WHEN c.id IS NULL THEN 'own' ELSE c.organization END AS organization
-FROM cars c FULL JOIN n ON c.id = n.id""",
-)
+FROM cars c FULL JOIN n ON c.id = n.id"""
+
+
+@query("car_upsert", _CAR_UPSERT)
 def car_upsert(spark, d):
     return ups.upsert_cars(b.cars(spark, d), _fleet(spark, d).drop("winter_norm", "summer_norm", "due"), "own")
 
 
 
+@query("car_upsert_buckets", _CAR_UPSERT)
+def car_upsert_buckets(spark, d):
+    """The same, in a table of buckets that are written over one by one."""
+    cars = b.cars(spark, d)
+    table = BucketTable(spark, fresh_dir(spark, "cars"), cars.schema)
+    table.create(cars)
+    table.merge(_fleet(spark, d).drop("winter_norm", "summer_norm", "due"), "guid", lambda old, new: ups.upsert_cars(old, new, "own"))
+    return table.read()
+
+
+@query(
+    "status_merge_buckets",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS organization,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'completed' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 50 <> 1""",
+)
+def status_merge_buckets(spark, d):
+    """Some requests are completed and some deleted, in the buckets of their ids."""
+    rows = b.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("organization"), F.col("o_orderstatus").alias("status"))
+    table = BucketTable(spark, fresh_dir(spark, "requests"), rows.schema)
+    table.create(rows)
+    number = F.col("id").cast("long") % 50
+    done, gone = rows.filter(number == 0).select("id"), rows.filter(number == 1).select("id")
+    table.merge(done, "id", lambda old, ids: ups.update_where(old.join(ids.withColumn("hit", F.lit(True)), "id", "left"), F.col("hit"), status="completed"))
+    table.merge(gone, "id", lambda old, ids: old.join(ids, "id", "left_anti"))
+    return table.read()
+
+
 @query(
     "metrics_upsert",
     f"""WITH both_sides AS (

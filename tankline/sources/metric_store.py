@@ -47,7 +47,7 @@ def has_path(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
     system, p = _store(spark, path)
     system.delete(p, True)
 
@@ -119,9 +119,9 @@ def settle_metrics(spark: SparkSession, path: str, at_least: int = 1) -> bool:
     write_partitions(merged, f"{path}/settled", _PLACE, sort=("auto", "timestamp"))
     filled = merged.select(*_PLACE).distinct()
     for r in places.join(filled, _same_place(places, filled), "left_anti").toLocalIterator():
-        _remove(spark, "/".join([f"{path}/settled", *(folder(c, r[c]) for c in _PLACE)]))
+        remove_path(spark, "/".join([f"{path}/settled", *(folder(c, r[c]) for c in _PLACE)]))
     for upload in uploads:
-        _remove(spark, f"{path}/recent/{folder('upload_id', upload)}")
+        remove_path(spark, f"{path}/recent/{folder('upload_id', upload)}")
     return True
 
 

@@ -67,7 +67,7 @@ def test_settling_again_after_a_stop_changes_nothing(spark, path, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(store, "_remove", stop)
+        m.setattr(store, "remove_path", stop)
         with pytest.raises(RuntimeError, match="lost"):
             store.settle_metrics(spark, path)
     assert store.recent_uploads(spark, path) == ["b"] and levels(store.read_metrics(spark, path)) == want

@@ -8,12 +8,13 @@ of 200 joins 200 rows, not the table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.values import matches
+from ..functions.values import matches, split_terms
 
 PAGE_SIZE, MAX_PAGE_SIZE, ADMIN_PAGE_SIZE = 200, 1000, 25
 
@@ -27,6 +28,9 @@ class Entity:
     facets: tuple[str, ...] = ()
     tenant: str | None = "organization"  # own column, or the parent that leads to the tenant
     parents: tuple[tuple[str, str, str], ...] = ()  # (foreign key, table, join type)
+    # the back office, where it differs; "child>key.column" reaches the rows that refer to this one
+    admin_search: tuple[str, ...] = ()
+    admin_order: tuple[str, ...] = ()
 
 
 # What each listing filters, searches and sorts by.
@@ -40,7 +44,7 @@ ENTITIES = {
     ),
     "car": Entity(
         ("organization", "name"), ("id", "name", "description", "organization.name"),
-        default_order=("organization.name", "name"), facets=("organization", "engine_type"),
+        default_order=("organization.name", "name"), facets=("organization", "engine_type"), admin_order=("name", "engine_type"),
         parents=(("organization", "organization", "inner"),),
     ),
     "car_consumption": Entity(
@@ -51,6 +55,7 @@ ENTITIES = {
     "report_query": Entity(
         ("status", "organization"), ("organization.name", "status"), default_order=("-id",),
         facets=("status", "organization"), parents=(("organization", "organization", "inner"),),
+        admin_search=("organization.name", "media>report_query.filename"),
     ),
     "media": Entity(
         ("type", "report_query"), ("filename", "media_type", "type", "report_query.organization.name"), default_order=("filename",),
@@ -142,25 +147,41 @@ def _reach(df: DataFrame, tables: dict, name: str, path: str) -> tuple[DataFrame
     return df, F.col(column)
 
 
-def search_entities(df: DataFrame, tables: dict, name: str, text: str | None) -> DataFrame:
-    """Keep rows matching every term in some search column."""
+def search_entities(df: DataFrame, tables: dict, name: str, text: str | None, admin: bool = False) -> DataFrame:
+    """Keep rows matching every term in some search column; ``admin`` searches what the back office does."""
     spec = _spec(name)
     if not text or not text.strip():
         return df
     if name == "driver":
         return _search_drivers(df, tables, text)
+    columns = admin and spec.admin_search or spec.search
     fields, joined = [], df
-    for column in spec.search:
+    for column in (c for c in columns if ">" not in c):
         joined, field = _reach(joined, tables, name, column)
         fields.append(field)
-    return joined.filter(matches(fields, text)).select(*df.columns)
+    children = [c for c in columns if ">" in c]
+    if not children:
+        return joined.filter(matches(fields, text)).select(*df.columns)
+    terms = split_terms(text)
+    cond = [matches(fields, f'"{t}"') for t in terms]
+    for n, path in enumerate(children):
+        joined = joined.join(_child_hits(tables, path, terms, f"_hit{n}"), "id", "left")
+        cond = [c | F.coalesce(F.col(f"_hit{n}")[k], F.lit(False)) for k, c in enumerate(cond)]
+    return joined.filter(reduce(Column.__and__, cond, F.lit(True))).select(*df.columns)
+
+
+def _child_hits(tables: dict, path: str, terms: list[str], name: str) -> DataFrame:
+    """(id, ``name``): for each row that others refer to, whether each term is in the column of some of them.
+    One row for each, however many there are."""
+    child, _, rest = path.partition(">")
+    key, column = rest.split(".")
+    hits = [F.coalesce(F.max(matches([F.col(column)], f'"{t}"')), F.lit(False)) for t in terms]
+    return tables[child].groupBy(F.col(key).alias("id")).agg(F.array(*hits).alias(name))
 
 
 def _search_drivers(df: DataFrame, tables: dict, text: str) -> DataFrame:
     """A driver matches if each term is in a column of their own or in the name of some vehicle.
     Per-term hits of the vehicles are reduced to one row per driver, whatever their number."""
-    from ..functions.values import split_terms
-
     terms = split_terms(text)
     cars = tables["car"].select(F.col("id").alias("car"), F.col("name").alias("_car_name"))
     hits = (
@@ -183,11 +204,11 @@ def _sort_key(column: str) -> Column:
     return F.col(column[1:]).desc() if column.startswith("-") else F.col(column).asc()
 
 
-def default_sorted(df: DataFrame, tables: dict, name: str) -> DataFrame:
-    """Sort as the entity is listed when nothing else is asked for."""
+def default_sorted(df: DataFrame, tables: dict, name: str, admin: bool = False) -> DataFrame:
+    """Sort as the entity is listed when nothing else is asked for, or as the back office does."""
     spec, columns = _spec(name), df.columns
     keys = []
-    for path in spec.default_order:
+    for path in admin and spec.admin_order or spec.default_order:
         df, column = _reach(df, tables, name, path.lstrip("-"))
         keys.append(column.desc() if path.startswith("-") else column.asc())
     return df.orderBy(*keys, "id").select(*columns)

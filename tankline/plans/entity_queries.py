@@ -179,3 +179,24 @@ def upload_kinds(spark, d):
     good, _ = up.split_by_type(rows)
     path = F.col("filename")
     return good.select("id", "filename", "type", up.file_kind(path).alias("kind"), up.media_type(path).alias("media_type"))
+
+
+@query(
+    "request_search_file",
+    f"""WITH {q.UPLOADS}, {q.ORGS} SELECT CAST(u.id AS VARCHAR) AS id FROM uploads u JOIN orgs o ON o.id = CAST((length(organization) + size) % 25 AS VARCHAR)
+WHERE (contains(lower(o.name), 'fr') OR contains(lower(filename), 'fr')) AND (contains(lower(o.name), 'csv') OR contains(lower(filename), 'csv'))""",
+)
+def request_search_file(spark, d):
+    """The back office finds requests by the names of their files."""
+    tables = _all(spark, d)
+    return ent.search_entities(tables["report_query"], tables, "report_query", "FR csv", admin=True).select("id")
+
+
+@query(
+    "car_admin_page",
+    f"WITH {q.CARS} SELECT id, name, engine_type FROM cars ORDER BY name, engine_type, id LIMIT {ent.ADMIN_PAGE_SIZE}",
+)
+def car_admin_page(spark, d):
+    """The first page of vehicles in the back office, by name and engine type."""
+    tables = _all(spark, d)
+    return ent.default_sorted(tables["car"], tables, "car", admin=True).limit(ent.ADMIN_PAGE_SIZE).select("id", "name", "engine_type")

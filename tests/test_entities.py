@@ -75,6 +75,8 @@ def test_search_and_filters(tables):
     assert find("car_report", "gamma 2024-01") == ["r3"]
     assert find("car_consumption", "2024-05 beta") == ["k1"]
     assert find("driver", "ivo gamma") == ["d1"] and find("driver", "gamma") == ["d1", "d2"]
+    search = lambda text: ids(ent.search_entities(tables["report_query"], tables, "report_query", text, admin=True))
+    assert search("csv") and search("no such file") == [] and search("south") == ["q2"] and search("err") == []
     assert find("media", "csv raw") == ["m1"] and find("report_query", "south err") == ["q2"]
     only = lambda entity, **f: ids(ent.list_entities(tables, entity, filters=f, nested=False))
     assert only("car_report", status=False) == ["r1"] and only("driver", car="c3", phone="2") == ["d2"]

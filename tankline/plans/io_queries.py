@@ -236,15 +236,14 @@ def upload_reports(spark, d):
     return _report_rows(sinks.read_reports(spark, paths["reports"]))
 
 
-@query(
-    "upload_metrics",
-    f"""WITH {q.cascade(P)} SELECT CAST(c_nationkey AS VARCHAR) AS organization, auto, {q.t('timestamp')},
+_METRICS_SQL = f"""WITH {q.cascade(P)} SELECT CAST(c_nationkey AS VARCHAR) AS organization, auto, {q.t('timestamp')},
   {q.r('pos_s', 'spent_fuel')}, round(max_fuel + 1.23e-7, 6) + 0.0 AS {FUEL}
-FROM series JOIN customer ON auto = CAST(c_custkey AS VARCHAR)""",
-)
-def upload_metrics(spark, d):
-    """The stored points of two uploads over the same vehicles and times, named against their order;
-    the first one's levels are not the last one's."""
+FROM series JOIN customer ON auto = CAST(c_custkey AS VARCHAR)"""
+
+
+def _uploaded_twice(spark, d):
+    """The store of two uploads over the same vehicles and times, named against their order; the first one's
+    levels are not the last one's."""
     out = fresh_dir(spark, "upload")
     tables = b.fleet_tables(spark, d, "car", "car_consumption")
     for n, name in ((1, "u9"), (2, "u10")):
@@ -252,7 +251,25 @@ def upload_metrics(spark, d):
         if n == 1:
             rows = rows.withColumn(FUEL, F.when(F.col(FUEL) <= 4096, F.col(FUEL) / 2).otherwise(F.col(FUEL)))
         paths = run_upload(spark, rows, tables, out, P, upload_id=name, load_seq=n)
-    return b.plain(sinks.read_metrics(spark, paths["metrics"]).select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
+    return paths["metrics"]
+
+
+def _points(df):
+    return b.plain(df.select(*POINT_KEY, SPEED, "spent_fuel", FUEL))
+
+
+@query("upload_metrics", _METRICS_SQL)
+def upload_metrics(spark, d):
+    """The stored points of two uploads."""
+    return _points(sinks.read_metrics(spark, _uploaded_twice(spark, d)))
+
+
+@query("compact_metrics", _METRICS_SQL)
+def compact_metrics(spark, d):
+    """The same points, from a store written anew with one row for each."""
+    to = fresh_dir(spark, "compact")
+    sinks.compact_metrics(spark, _uploaded_twice(spark, d), to)
+    return _points(sinks.read_metrics(spark, to))
 
 
 @query(

@@ -60,7 +60,7 @@ class BucketTable:
         only: a key it adds must be one that ``changes`` names.
         """
         changes = written_once(changes, "changes")
-        touched = sorted(r[0] for r in changes.select(self._bucket(F.col(by))).distinct().collect())
+        touched = sorted(r[0] for r in changes.select(self._bucket(F.col(by))).distinct().toLocalIterator())
         if not touched:
             return []
         old = self._all().filter(F.col("bucket").isin(touched)).drop("bucket")
@@ -69,7 +69,7 @@ class BucketTable:
         if astray:
             raise ValueError("the merge gave a key that the changes do not name")
         write_partitions(new, self.path, ["bucket"], sort=(self.key,))
-        left = {r[0] for r in new.select("bucket").distinct().collect()}
+        left = {r[0] for r in new.select("bucket").distinct().toLocalIterator()}
         for bucket in set(touched) - left:
             remove_path(self.spark, f"{self.path}/bucket={bucket}")
         return touched

@@ -100,3 +100,22 @@ def test_no_driver_side_or_row_by_row_work_in_the_library():
     ).stdout.splitlines()
     # the text operators have their own rules: what they send or broadcast is bounded where they say so
     assert [x for x in found if "/tankline/llm/" not in x] == []
+
+
+def test_drains_read_the_readings_once(spark, stored, dims):
+    """Without statistics of the vehicle nothing is joined back."""
+    found = leaks.leak_pipeline(spark.read.parquet(stored), *dims, SLOT, sigma=False)
+    text = plan(reports.leak_reports(found, "u"))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*calc_sensors_fuel_level", text)) == 1 and text.count("Window ") <= 3
+
+
+def test_statistics_take_one_join_back(spark, stored, dims):
+    with_, without = (plan(leaks.leak_pipeline(spark.read.parquet(stored), *dims, SLOT, sigma=s)) for s in (True, False))
+    joins = lambda text: len(re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[", text))
+    # the statistics read the series once more, up to the join with vehicles and norms, and meet it in one join
+    assert joins(with_) <= 2 * joins(without) + 1
+
+
+def test_norms_of_other_tenants_are_left_out_first(spark, stored, dims):
+    text = plan(leaks.leak_pipeline(spark.read.parquet(stored), *dims, SLOT, org="o"))
+    assert "LeftSemi" in text

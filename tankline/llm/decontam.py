@@ -16,6 +16,8 @@ Results: a row for each document and item it holds. A NULL or empty text or item
 held by nothing. Rows are searched one by one, so ids may repeat
 or be NULL; items that repeat are reported once each per item_id. Other columns are not looked at. An
 empty table on either side gives no rows.
+
+A very long text is searched whole by one task.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ are landmarks, over the ``grams`` most common n-grams of the sample. Every text
 Results: a text that is NULL or has no letter is ``und`` with score 0. Without any labelled text all
 are ``und``. Ties between languages go to the first by name. Every row is scored by itself, so ids may
 repeat or be NULL, and columns other than those named are not looked at. An empty table gives no rows.
+
+A very long text is scored whole, in blocks of its batch.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ counted exactly; the template is found where ``containment`` of them lie within
 Results: a row for each document and template found, with the best containment. NULL and empty texts
 hold none. Rows are read one by one, so ids may repeat or be NULL; rows equal in id and template are
 given once, with the best. Other columns are not looked at; an empty table gives no rows.
+
+A very long text is read whole by one task.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ end the runs are folded once more and every line whose key is frequent goes from
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, A-Z in lower case; empty keys are
 never frequent. NULL and empty texts are one empty line. Every row is a document, also where ids
 repeat or are NULL. Other columns are not looked at. An empty table gives no rows.
+
+A very long text is split by one task; lines that share a key, of any number, are counted once for each document.
 """
 
 from __future__ import annotations

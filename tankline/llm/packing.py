@@ -7,6 +7,8 @@ round is written, so a lost executor costs a task, not a tree.
 
 NULL and empty texts pack as the end id alone; rows that repeat are packed as often as they come; an
 empty table gives no rows. Columns other than doc_id and text are not looked at.
+
+A very long text is encoded by one task and cut into pieces.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ Before that, a document fails the base rules if it has under ``min_words`` words
 
 NULL and empty texts have no words and fail the base rules. Every row is judged by itself, so ids may
 repeat or be NULL; other columns are not looked at; an empty table gives no rows.
+
+A very long text is judged whole, as one row.
 """
 
 from __future__ import annotations

@@ -20,6 +20,8 @@ Results: a row for each input row. NULL and empty texts have no bytes. Equal row
 any others, so all they hold that is long enough goes; ids may repeat or be NULL. Texts are UTF-8
 bytes; a cut may fall inside a character, which is why the kept bytes are binary. Other columns are
 not looked at; an empty table gives no rows.
+
+A very long text is hashed whole by one task; only its contexts go on.
 """
 
 from __future__ import annotations

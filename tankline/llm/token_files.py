@@ -14,6 +14,8 @@ constant, so that checksums of data that hold checksums stay useful.
 Rows are dealt to shards by ranges of the id and sorted inside, so shard after shard the ids ascend
 (NULL first; rows with one id by their text). NULL and empty texts give records of the end id alone.
 Rows that repeat are written as often as they come. An empty table gives no shard.
+
+A very long text is one record, written by one task.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ NULL and empty texts have no features and get the base rates. A category without
 sample has probability 0. Every row is scored by itself, so ids may repeat or be NULL (a row without id
 has no labels); a row labelled twice counts twice, one with a NULL label not at all; other columns are not looked at; empty tables give
 no rows.
+
+A very long text is scored whole by one task.
 """
 
 from __future__ import annotations

@@ -117,8 +117,9 @@ class Rolling:
 
     Prefix sums of bytes (through a random table) times powers of an odd base, modulo 2**64; a
     difference of two prefix sums is moved to a common power with the inverse base. Table and base
-    come from the seed, so stretches that collide under one seed do not under another. Powers are
-    kept for up to PIECE bytes, and the sums of longer arrays only until the next ``load``.
+    come from the seed. Powers are kept for up to PIECE bytes. Sums modulo 2**64 have made-up collisions
+    that no base avoids: a Thue-Morse string of 1 kB or more and its complement are equal under every seed.
+    So what is compared by these values are stretches under 512 bytes, and words of any length.
     """
 
     def __init__(self, seed: int = 7):

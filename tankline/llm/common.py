@@ -172,10 +172,12 @@ def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
     For fitting models only. Every label has its rows, however many labels there are, and the choice is
     the same in every run: what a hash of all columns puts first stays where ids repeat very often.
     """
-    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    # only labels with more rows are thinned; the driver sees one count for each of these
+    many = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_label)
+    share = [F.lit(x) for r in many.toLocalIterator() for x in (r["_label"], per_label / r["_n"])]
     spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    some = df.join(counts, F.col(label) == F.col("_label")).filter(spot * F.col("_n") < per_label)
-    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(*df.columns), *df.columns))
+    some = df.filter(spot < F.coalesce(F.try_element_at(F.create_map(*share), F.col(label)), F.lit(2.0))) if share else df
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*df.columns), *df.columns))
     return some.withColumn("_place", place).filter(F.col("_place") <= 2 * per_label).select(*df.columns)
 
 

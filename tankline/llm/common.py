@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -86,6 +89,15 @@ def parts(batches, limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndar
         raw, ends = text_arrays(batch.column("text"))
         for lo, hi in slices(ends, limit):
             yield batch.slice(lo, hi - lo), raw[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers are used again, and would keep what a task has freed."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another libc
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, parts, plain, slices, text_arrays
+from .common import LOWER, bounded_sample, give_back, parts, plain, slices, text_arrays
 
 UNKNOWN = "und"
 #: numbers of all 1-, 2- and 3-grams side by side
@@ -156,6 +156,7 @@ def _predict(arrays: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
                 s = scores(model, raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 best[a:b], top[a:b] = s.argmax(1), np.clip(s.max(1), 0, 1)
         yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(top, pa.float64())], ["lang", "score"])
+    give_back()
 
 
 def language_of(text: Column, model: Model | None) -> Column:

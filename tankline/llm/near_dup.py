@@ -50,7 +50,7 @@ from .graph import components
 SAMPLES, ROWS, BANDS, BITS = 160, 5, 60, 1024
 SENT_IDS = 1_000_000  # ids of documents in pairs that are sent to the scan of the texts
 FEW, CHUNK = 8, 4000  # classes of a key that give all their pairs at once; classes in one share beyond that
-SHINGLES = 2_000_000  # shingles of the classes in one share (16 MB of hashes)
+SHINGLES = 500_000  # shingles of the classes in one share (4 MB of hashes)
 PASSES = 2  # clustering passes, each over other keys; they only save work
 PAIRS = 1  # pairs for each class of a block that are given one by one
 CUT, NEAR, SAME = 0.6, 0.83, 0.95  # estimates that may be links, that most likely are, of nearly equal sets

@@ -1,18 +1,21 @@
 """The whole cleaning cascade over a stream of readings: gaps, best voltage, steps and all bins.
 
 All windows and bins of the cascade nest in slots (``Params.slot_s``), so a slot of a vehicle can be
-worked on alone. Keyed state (``transformWithState``) gathers the readings of each vehicle and slot; a
-timer closes a slot once the stream has passed its end by ``delay`` seconds, and its readings go on
-together. The batch cascade then runs on the slots that a micro-batch has closed, so both give the
-same rows.
+worked on alone. Vehicles are dealt by a hash to ``shares``, and keyed state (``transformWithState``)
+gathers the readings of each share and slot: what a key costs is paid for many vehicles together, and
+their readings are handled as columns. A timer closes a slot once the stream has passed its end by
+``delay`` seconds, and its readings go on together. The batch cascade then runs on the slots that a
+micro-batch has closed, so both give the same rows.
 
 A reading is late if its slot is closed. Late readings go to a side table for ``late_for`` seconds of
 stream time after the slot has closed. Spark drops those that come even later and tells how many
 (``bins.LateRows``; here the numbers are of readings, as nothing puts them together before).
 
 The watermark runs behind the newest reading by the delay, a slot and ``late_for``: no reading of an open
-slot is ever behind it. State of a vehicle is what it has in open slots, and one flag for each closed
-slot until the watermark has passed the slot. It lives in RocksDB and in the checkpoint.
+slot is ever behind it. State of a share is what its vehicles have in open slots, and one flag for each
+closed slot until the watermark has passed the slot. It lives in RocksDB and in the checkpoint. A task
+holds the readings that one share has in a slot, so the number of shares bounds its memory; a checkpoint
+goes on only with the number it began with.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +37,25 @@ from ..sources.scratch import written_once
 from .bins import as_instant
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_READING = np.dtype([("micros", "<i8"), (FUEL, "<f8"), (SPEED, "<f8"), (VOLTAGE, "<f8"), ("seq", "<i8")])
+_READING = pa.schema([("auto", pa.string()), ("micros", pa.int64()), *((c, pa.float64()) for c in (FUEL, SPEED, VOLTAGE)), ("seq", pa.int64())])
+SHARES = 256  # of the vehicles; each has a state for every open slot
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    columns = [rows[f.name].to_numpy(np.float64, na_value=np.nan) if f.type == pa.float64() else rows[f.name] for f in _READING]
+    arrays = [pa.array(c, f.type, from_pandas=f.type != pa.float64()) for f, c in zip(_READING, columns)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_READING).serialize().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(data), _READING)
 
 
 class SlotKeeper(StatefulProcessor):
-    """Readings of one vehicle and slot, until the slot closes."""
+    """Readings of one share of the vehicles and one slot, until the slot closes."""
 
-    def __init__(self, keys: list[str], slot_ms: int, late_ms: int):
-        self.keys, self.slot_ms, self.late_ms = keys, slot_ms, late_ms
+    def __init__(self, scope: tuple[str, ...], slot_ms: int, late_ms: int):
+        self.scope, self.slot_ms, self.late_ms = scope, slot_ms, late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,30 +69,34 @@ class SlotKeeper(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         closed, empty = self.closed.exists(), not self.held.exists()
+        over = closed or timerValues.getCurrentWatermarkInMs() > self._closes(key)
+        # a slot that this micro-batch closes still takes in the vehicles it has
+        waits = {x for (rows_,) in self.held.get() for x in _unpacked(rows_).column("auto").unique().to_pylist()} if over and not closed and not empty else set()
         for some in rows:
-            if closed or (empty and timerValues.getCurrentWatermarkInMs() > self._closes(key)):
-                yield self._given(key, some, late=True)
+            if over:
+                late = ~some["auto"].isin(waits)
+                if late.any():
+                    yield self._given(key, some[late], late=True)
+                some = some[~late]
+            if not len(some):
                 continue
             if empty:
                 self.handle.registerTimer(max(1, self._closes(key)))
                 empty = False
-            packed = np.empty(len(some), _READING)
-            for name in _READING.names:
-                packed[name] = some[name].to_numpy(dtype=_READING[name], na_value=np.nan) if _READING[name].kind == "f" else some[name]
-            self.held.appendValue((packed.tobytes(),))
+            self.held.appendValue((_packed(some),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.closed.exists():  # the watermark has passed the slot: nothing of it comes any more
             self.closed.clear()
             return
         for (rows,) in self.held.get():
-            yield self._given(key, pd.DataFrame(np.frombuffer(rows, _READING)), late=False)
+            yield self._given(key, _unpacked(rows).to_pandas(), late=False)
         self.held.clear()
         self.closed.update((True,))
         self.handle.registerTimer(key[-1] + self.slot_ms)
 
     def _given(self, key, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        out = pd.DataFrame({k: [v] * len(rows) for k, v in zip(self.keys, key)})
+        out = pd.DataFrame({k: [v] * len(rows) for k, v in zip(self.scope, key)})
         for name in _READING.names:
             out[name] = rows[name].to_numpy()
         return out.assign(late=late)
@@ -86,17 +105,18 @@ class SlotKeeper(StatefulProcessor):
         pass
 
 
-def closed_slots(readings: DataFrame, p: Params = Params(), delay: int = 3600, late_for: int = 86400) -> DataFrame:
+def closed_slots(readings: DataFrame, p: Params = Params(), delay: int = 3600, late_for: int = 86400, shares: int = SHARES) -> DataFrame:
     """Readings, when their slot has closed, and late ones (``late``) as they come. The time is in ``micros``."""
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     behind = delay + p.slot_s + late_for
     rows = fuel_range(normalise(readings, p), p).withColumn("at", as_instant(F.col("timestamp"))).withWatermark("at", f"{behind} seconds")
     slot = F.floor(F.unix_micros("at") / (p.slot_s * 1_000_000)) * (p.slot_s * 1000)
-    rows = rows.select(*p.keys, slot.alias("slot"), "at", F.unix_micros("at").alias("micros"), FUEL, SPEED, VOLTAGE, F.col("seq").cast("long").alias("seq"))
-    kinds = [f"`{k}` {readings.schema[k].dataType.simpleString() if k != 'auto' else 'string'}" for k in p.keys]
-    values = [f"{n} {'long' if _READING[n].kind == 'i' else 'double'}" for n in _READING.names]
-    return rows.groupBy(*p.keys, "slot").transformWithStateInPandas(
-        statefulProcessor=SlotKeeper(p.keys, p.slot_s * 1000, late_for * 1000),
+    share = F.pmod(F.xxhash64("auto"), F.lit(shares))
+    rows = rows.select(*p.keys, share.alias("share"), slot.alias("slot"), "at", F.unix_micros("at").alias("micros"), FUEL, SPEED, VOLTAGE, F.col("seq").cast("long").alias("seq"))
+    kinds = [f"`{k}` {readings.schema[k].dataType.simpleString()}" for k in p.scope]
+    values = [f"{f.name} {({pa.string(): 'string', pa.int64(): 'long'}).get(f.type, 'double')}" for f in _READING]
+    return rows.groupBy(*p.scope, "share", "slot").transformWithStateInPandas(
+        statefulProcessor=SlotKeeper(p.scope, p.slot_s * 1000, late_for * 1000),
         outputStructType=", ".join([*kinds, *values, "late boolean"]),
         outputMode="Append",
         timeMode="EventTime",
@@ -111,7 +131,7 @@ def _readings(rows: DataFrame) -> DataFrame:
 
 
 def stream_cascade(
-    readings: DataFrame, out: str, checkpoint: str, p: Params = Params(), delay: int = 3600, late_for: int = 86400
+    readings: DataFrame, out: str, checkpoint: str, p: Params = Params(), delay: int = 3600, late_for: int = 86400, shares: int = SHARES
 ) -> StreamingQuery:
     """Run the cascade on all readings that are there, then stop: the final bins of closed slots go to
     ``out``/series, late readings to ``out``/late, both by micro-batch, so a batch that runs again
@@ -124,7 +144,7 @@ def stream_cascade(
         preprocess(given, p).write.mode("overwrite").parquet(f"{out}/series/batch={batch_id}")
         _readings(rows.filter("late")).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
 
-    stream = closed_slots(readings, p, delay, late_for).writeStream.foreachBatch(process)
+    stream = closed_slots(readings, p, delay, late_for, shares).writeStream.foreachBatch(process)
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

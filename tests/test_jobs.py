@@ -1,7 +1,10 @@
 import time
+from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
-from data import READING, brute, fleet, norm_rows, random_rows, rounded
+from data import READING, brute, fleet, norm_rows, random_rows, rounded, series_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,11 +12,12 @@ from tankline import Params
 from tankline.operators.leaks import leak_pipeline
 from tankline.operators.reports import leak_reports
 from tankline.plans.jobs import load_fleet, run_pending, run_upload
-from tankline.schemas import FUEL, SPEED, TELEMETRY
+from tankline.schemas import FUEL, SPEED, TELEMETRY, VOLTAGE
 from tankline.sources import sinks
 from tankline.streaming.bins import LateRows, as_instant, as_wall_clock, stream_bins
 from tankline.operators.uploads import folded
 from tankline.plans import jobs
+from tankline.streaming.cascade import SlotKeeper, read_cascade, stream_cascade
 from tankline.streaming.intake import stream_uploads
 
 P = Params(leak_limit=1.0)
@@ -249,3 +253,28 @@ def test_uploads_run_again_after_a_stop_and_fail_alone(spark, tables, tmp_path,
     assert want and _rows(sinks.read_reports(spark, f"{out}/reports")) == sorted(want)
     assert run(3) == {"r1": ("completed", None), "r2": ("completed", None), **failed}
     assert run(4) == run(5)
+
+
+def test_stream_cascade_keeps_a_state_for_each_share_not_for_each_vehicle(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = [r for r in random_rows(3000, cars=300, span_s=12 * 3600)]
+    last = max(r[1] for r in rows if r[2] is not None and 0 <= r[2] <= 4096)
+    slot = Params().slot_s
+    closes = lambda r: (r[1] - datetime(1970, 1, 1)) // timedelta(seconds=slot) * timedelta(seconds=slot) + datetime(1970, 1, 1) + timedelta(seconds=slot + 3600)
+    early = [r for r in rows if r[5] % 5]
+    after = [r for r in rows if not r[5] % 5 and r[1] < last - timedelta(hours=6)]
+    counts = []
+    for some in (early, after):
+        spark.createDataFrame(some, READING).coalesce(1).write.mode("append").parquet(src)
+        query = stream_cascade(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), out, state, Params(), late_for=10 * 86400, shares=3)
+        query.awaitTermination()
+        counts += [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    # 3 shares, 6 slots: readings or a flag, and timers (by key and by time), not some for each of 300 vehicles
+    assert 0 < max(counts) <= 3 * 6 * 8
+    legal = [r for r in rows if r[2] is not None and 0 <= r[2] <= 4096]
+    newest = max(r[1] for r in legal if r[5] % 5)
+    final = [r for r in legal if r[5] % 5 and closes(r) <= newest]
+    assert series_rows(read_cascade(spark, out)) == rounded(brute(final))
+    late = read_cascade(spark, out, "late")
+    assert sorted(r.seq for r in late.collect()) == sorted(r[5] for r in after if r in legal)
+    assert {(r.auto, r.timestamp) for r in late.collect()} == {(r[0], r[1]) for r in after if r in legal}

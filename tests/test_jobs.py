@@ -278,3 +278,32 @@ def test_stream_cascade_keeps_a_state_for_each_share_not_for_each_vehicle(spark,
     late = read_cascade(spark, out, "late")
     assert sorted(r.seq for r in late.collect()) == sorted(r[5] for r in after if r in legal)
     assert {(r.auto, r.timestamp) for r in late.collect()} == {(r[0], r[1]) for r in after if r in legal}
+
+
+def test_slot_that_closes_takes_in_the_vehicles_it_has():
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        clear = lambda self: self.rows.clear()
+        appendValue = lambda self, x: self.rows.append(x)
+        update = lambda self, x: self.rows.append(x)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    keeper, timers = SlotKeeper((), 1000, 0), []
+    keeper.held, keeper.closed = Kept(), Kept()
+    keeper.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    rows = lambda *autos: pd.DataFrame({"auto": autos, "micros": 1, FUEL: 2.0, SPEED: np.nan, VOLTAGE: 27.0, "seq": 3})
+    given = lambda found: [(r.auto, r.late) for x in found for r in x.itertuples()]
+    key = (0, 5000)
+    assert given(keeper.handleInputRows(key, iter([rows("a", "b")]), At(5000))) == [] and timers == [5000]
+    assert given(keeper.handleInputRows(key, iter([rows("a", "c")]), At(5001))) == [("c", True)] and timers == [5000]
+    assert given(keeper.handleExpiredTimer(key, At(5001), None)) == [("a", False), ("b", False), ("a", False)] and timers == [5000, 6000]
+    assert given(keeper.handleInputRows(key, iter([rows("a", "c")]), At(5001))) == [("a", True), ("c", True)]
+    keeper.handleExpiredTimer(key, At(6000), None)
+    assert not keeper.held.exists()

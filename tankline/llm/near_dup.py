@@ -13,9 +13,10 @@ fewer words the whole sequence is one shingle. Documents are linked if 100 * int
    classes mostly agree on) and there to a task of bounded size, which clusters them by the sketches,
    starting from the groups known so far, and gives one pair for each join of clusters: fewer pairs
    than classes. What is confirmed makes groups. Then every two classes of such a key that are in
-   different groups meet in a block of two shares of the key. What passes there is given as pairs, or,
-   where there are more than PAIRS for each class, as the classes concerned, and the full sets of these
-   are then compared in the same block, all that are in different groups.
+   different groups meet in a block of two shares of the key; the first key that both have answers for
+   them, whatever others they share. What passes there is given as pairs, or, where there are more than
+   PAIRS for each class, as the classes concerned, and the full sets of these are then compared in the
+   same block, all that are in different groups.
 4. Candidates pass if the sketches estimate a similarity of at least CUT, and are confirmed on the
    full sets. Keys of few classes then give all their pairs between classes that these links do not
    yet join, which pass and are confirmed alike.
@@ -198,8 +199,8 @@ def _likely(large: DataFrame, known: DataFrame, turn: int) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """(key, i, j, share, cls): every two classes of a key with different ``known`` groups are in one
-    block (key, i, j), of one share (i = j) or of two. rows: key, cls, known, size.
+    """(key, i, j, share, cls, ...): every two classes of a key with different ``known`` groups are in one
+    block (key, i, j), of one share (i = j) or of two. rows: key, cls, known, size, and more that is kept.
 
     Classes are dealt to shares of about CHUNK, and of about SHINGLES shingles, those of a long key's
     largest group apart from the others, as they need not meet each other.
@@ -216,11 +217,12 @@ def blocks(rows: DataFrame) -> DataFrame:
         "key-shares",
     )
     spot, own = F.xxhash64("cls", F.lit("share")), F.col("known") == F.col("top")
+    more = [c for c in rows.columns if c not in ("key", "size")]
     dealt = rows.join(sizes, "key").select(
-        "key", "cls", F.when(own, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).alias("share"),
+        "key", *more, F.when(own, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).alias("share"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(own, 0).otherwise(F.col("tops")))).alias("with"),
     )
-    return dealt.select("key", F.least("share", "with").alias("i"), F.greatest("share", "with").alias("j"), "share", "cls")
+    return dealt.select("key", F.least("share", "with").alias("i"), F.greatest("share", "with").alias("j"), "share", *more)
 
 
 def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
@@ -233,22 +235,37 @@ def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int,
     return ids, sketch, pdf["known"].to_numpy(np.int64), n, n
 
 
+def _before(pdf: pd.DataFrame) -> np.ndarray:
+    """The keys that a block's classes have in the bands before that of the block's own key.
+
+    Classes that agree in one of these meet there: its key is of many classes, or gives all its pairs.
+    """
+    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), -1)
+    own = np.flatnonzero((keys == pdf["key"].iloc[0]).any(0))
+    return keys[:, : own[0] if len(own) else 0]
+
+
 @lru_cache(maxsize=1)
 def _far() -> int:
     """Most differing bits of sketches whose estimate is at least CUT."""
     return int(np.count_nonzero(estimate(np.arange(BITS // 2)) >= CUT)) - 1
 
 
+_UNSURE = ["a", "b", "key", "i", "j", "share", "known", "sketch", "keys"]
+
+
 def _unsure(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b) of a block that pass, or, where there are more than PAIRS for each class, the classes (a) in them."""
     pdf = pdf.drop_duplicates(["cls", "sketch", "share"]).sort_values(["share", "cls"], kind="stable")
     ids, sketch, known, stop, start = _block(pdf)
+    before = _before(pdf)
     first, second, total = [], [], 0
     held = np.zeros(len(ids), bool)
     for k in range(stop):
         lo = max(k + 1, start)
         near = np.bitwise_count(sketch[lo:] ^ sketch[k]).sum(1, dtype=np.int64) <= _far()
         met = lo + np.flatnonzero(near & (known[lo:] != known[k]))
+        met = met[~(before[met] == before[k]).any(1)]
         if len(met):
             total += len(met)
             held[k] = True
@@ -258,16 +275,18 @@ def _unsure(pdf: pd.DataFrame) -> pd.DataFrame:
                 second.append(ids[met])
     key, i, j = (int(pdf[c].iloc[0]) for c in ("key", "i", "j"))
     if total > PAIRS * len(ids):
-        own = pdf[held][["cls", "share"]].drop_duplicates()
-        return pd.DataFrame({"a": own["cls"], "b": pd.array([pd.NA] * len(own), "Int64"), "key": key, "i": i, "j": j, "share": own["share"]})
+        own = pdf[held].rename(columns={"cls": "a"})
+        return own.assign(b=pd.array([pd.NA] * len(own), "Int64"))[_UNSURE]
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "key": key, "i": i, "j": j, "share": 0})
+    out = pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "key": key, "i": i, "j": j, "share": 0, "known": 0})
+    return out.assign(sketch=None, keys=None)[_UNSURE]
 
 
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of a block, confirmed on the full sets: as many as join all that its links join."""
     pdf = pdf.sort_values(["share", "cls"], kind="stable")
     ids, sketch, known, stop, start = _block(pdf)
+    before = _before(pdf)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["own"]]
     size = np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(size)])
@@ -277,6 +296,7 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
     for k in range(stop):
         lo = max(k + 1, start)
         met = lo + np.flatnonzero((cluster[lo:] != cluster[k]) & (np.bitwise_count(sketch[lo:] ^ sketch[k]).sum(1, dtype=np.int64) <= _far()))
+        met = met[~(before[met] == before[k]).any(1)]
         if not len(met):
             continue
         own = number[at[k] : at[k + 1]]
@@ -309,29 +329,28 @@ def links_of_many(met: DataFrame, sketches: DataFrame, texts: DataFrame) -> Data
     tried, large = links, met.filter(F.col("n") > FEW).select("band", "cls")
     groups = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
-    def known_now() -> DataFrame:
+    def known_now(*more: str) -> DataFrame:
         known = sketches.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        return saved(known.select("cls", "sketch", "size", F.coalesce("component", "cls").alias("known")), "known")
+        return known.select("cls", "sketch", "size", F.coalesce("component", "cls").alias("known"), *more)
 
     for turn in range(PASSES):
-        pairs = _likely(large, known_now(), turn).filter("a < b").distinct()
+        pairs = _likely(large, saved(known_now(), "known"), turn).filter("a < b").distinct()
         pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-many")
         new = saved(confirmed(pairs, texts), "links-new")
         links, tried = links.unionByName(new), tried.unionByName(pairs)
         if not new.limit(1).count():
             break
         groups = components(links)
-    known = known_now()
-    group = known.groupBy("cls", "known").agg(F.max("size").alias("size"))
-    met_in = blocks(large.join(group, "cls").select(F.col("band").alias("key"), "cls", "known", "size"))
-    found = saved(met_in.join(known, "cls").groupBy("key", "i", "j").applyInPandas(_unsure, "a long, b long, key long, i long, j long, share long"), "unsure")
+    # one join gives the rows of all keys; what a class has goes with them from here on
+    rows = saved(large.join(known_now("keys"), "cls").withColumnRenamed("band", "key"), "keys-known")
+    found = saved(blocks(rows).groupBy("key", "i", "j").applyInPandas(_unsure, "a long, b long, key long, i long, j long, share long, known long, sketch binary, keys binary"), "unsure")
     pairs = saved(found.filter("a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs-unsure")
     links = links.unionByName(saved(confirmed(pairs, texts), "links-unsure"))
-    full = found.filter("b is null").select(F.col("a").alias("cls"), "key", "i", "j", "share")
+    full = found.filter("b is null").drop("b").withColumnRenamed("a", "cls")
     if not full.limit(1).count():
         return links
     sets = saved(full_sets(full.select(F.col("cls").alias("doc_id")).distinct(), texts), "sets")
-    whole = full.join(known.drop("size"), "cls").join(sets, "cls")
+    whole = full.join(sets, "cls")
     return links.unionByName(saved(whole.groupBy("key", "i", "j").applyInPandas(_linked, "a long, b long").filter("a < b").distinct(), "links-blocks"))
 
 
@@ -403,7 +422,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kinds = saved(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls")).filter("cls is not null"), "classes")
     reps = kinds.select("h1", "h2", F.col("n").alias("m"), "cls")
     classes = sketched.join(reps, (sketched.doc_id == reps.cls) & (sketched.h1 == reps.h1) & (sketched.h2 == reps.h2), "left_semi").select(F.col("doc_id").alias("cls"), "keys", "sketch", F.col("n").alias("size")).dropDuplicates(["cls", "sketch"])
-    texts, sketches = rows.select("doc_id", "text").filter("doc_id is not null"), classes.select("cls", "sketch", "size")
+    texts, sketches = rows.select("doc_id", "text").filter("doc_id is not null"), classes.select("cls", "keys", "sketch", "size")
     met = shared_keys(classes)
     sure = links_of_many(met, sketches, texts)
     links = sure.unionByName(confirmed(pairs_of_few(met, sketches, components(sure)), texts))

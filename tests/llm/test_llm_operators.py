@@ -240,6 +240,26 @@ def test_links_among_many_alike(spark, monkeypatch):
     assert sum(got[k] != want[k] for k in want) == 0
 
 
+def test_two_classes_that_share_many_keys_meet_in_one_block():
+    """Of the keys that two classes have in common only the first one answers for them."""
+    import pandas as pd
+
+    keys = np.arange(4 * near_dup.BANDS, dtype=np.int64).reshape(4, -1)
+    keys[:3, 2] = keys[:3, 9] = 1 << 40  # three agree in two bands
+    keys[:3, 9] += 1
+    keys[3, 9] = keys[0, 9]  # the last one only in the later band
+    sketch = np.zeros(near_dup.BITS // 64, np.uint64).tobytes()
+
+    def block(own: list[int], key: int) -> pd.DataFrame:
+        return pd.DataFrame({"cls": own, "sketch": sketch, "keys": [keys[k].tobytes() for k in own], "known": own, "key": key, "i": 0, "j": 0, "share": 0})
+
+    found = [near_dup._unsure(block(own, int(key))) for own, key in (([0, 1, 2], keys[0, 2]), ([0, 1, 2, 3], keys[0, 9]))]
+    assert [sorted(zip(f["a"], f["b"])) for f in found] == [[(0, 1), (0, 2), (1, 2)], [(0, 3), (1, 3), (2, 3)]]
+    own = np.arange(50, dtype=np.uint64).tobytes()
+    links = [near_dup._linked(block(own_ids, int(key)).assign(own=own)) for own_ids, key in (([0, 1, 2], keys[0, 2]), ([0, 1, 2], keys[0, 9]))]
+    assert [len(x) for x in links] == [2, 0]
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(4)
     for share in (0.5, 0.75, 0.9):

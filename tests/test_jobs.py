@@ -3,12 +3,14 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from data import READING, brute, fleet, norm_rows, random_rows, rounded, series_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tankline import Params
+from tankline.operators.clean import preprocess
 from tankline.operators.leaks import leak_pipeline
 from tankline.operators.reports import leak_reports
 from tankline.plans.jobs import load_fleet, run_pending, run_upload
@@ -17,6 +19,7 @@ from tankline.sources import sinks
 from tankline.streaming.bins import LateRows, as_instant, as_wall_clock, stream_bins
 from tankline.operators.uploads import folded
 from tankline.plans import jobs
+from tankline.streaming import cascade
 from tankline.streaming.cascade import SlotKeeper, read_cascade, stream_cascade
 from tankline.streaming.intake import stream_uploads
 
@@ -307,3 +310,37 @@ def test_slot_that_closes_takes_in_the_vehicles_it_has():
     assert given(keeper.handleInputRows(key, iter([rows("a", "c")]), At(5001))) == [("a", True), ("c", True)]
     keeper.handleExpiredTimer(key, At(6000), None)
     assert not keeper.held.exists()
+
+
+def test_readings_reach_the_state_in_packets_of_a_share_and_slot():
+    names = ["org", "share", "slot", "auto", "micros", FUEL, SPEED, VOLTAGE, "seq"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3, pa.int64()]
+    rows = [(org, k % 3, 1000 * (k % 2), f"v{k % 5}", k, float(k), None if k % 4 else 1.0, 27.0, k) for k in range(240) for org in ("o1", None)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    found = list(cascade._packets(("org",))(iter(table.to_batches(max_chunksize=50))))
+    packets = [r for batch in found for r in batch.to_pylist()]
+    assert len(packets) == 12  # 2 tenants, 3 shares, 2 slots
+    opened = lambda r: cascade._unpacked(r["rows"]).to_pylist()
+    again = [(r["org"], r["share"], r["slot"], *x.values()) for r in packets for x in opened(r)]
+    assert sorted(again, key=str) == sorted(rows, key=str)
+    assert all(r["newest"] == max(x["micros"] for x in opened(r)) for r in packets)
+    given = pa.RecordBatch.from_pylist([{"org": r["org"], "rows": r["rows"], "late": r["slot"] > 0} for r in packets])
+    back = [x for batch in cascade._opened(("org",))(iter([given])) for x in batch.to_pylist()]
+    assert sorted((str(x["org"]), x["seq"], x["late"]) for x in back) == sorted((str(r[0]), r[8], r[2] > 0) for r in rows)
+
+
+def test_stream_cascade_of_tenants(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = random_rows(600, cars=3, span_s=12 * 3600)
+    both = spark.createDataFrame(rows, READING).withColumn("org", F.explode(F.array(F.lit("o1"), F.lit(None).cast("string"))))
+    both.write.parquet(src)
+    p = Params(scope=("org",))
+    stream_cascade(spark.readStream.schema(both.schema).parquet(src), out, state, p, shares=3).awaitTermination()
+    one = preprocess(spark.createDataFrame(rows, READING), Params())
+    got = read_cascade(spark, out)
+    last = got.agg(F.max("timestamp")).first()[0]
+    slot_end = F.lit(last) + F.expr("INTERVAL 30 MINUTES")
+    for org in (F.col("org") == "o1", F.col("org").isNull()):
+        mine = sorted(map(tuple, got.filter(org).select("auto", "timestamp", "max_fuel", "dtime_s").collect()), key=str)
+        want = one.filter(F.col("timestamp") < slot_end).select("auto", "timestamp", "max_fuel", "dtime_s")
+        assert mine == sorted(map(tuple, want.collect()), key=str) and mine

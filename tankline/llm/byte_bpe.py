@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding, by a fold of higher-order functions over distinct words.
 
 1. Spark cuts the texts into words, the matches of the splitting pattern. Blocks of documents (about
-   BLOCK bytes) keep a list of their distinct words, and each document the numbers of its words in it.
+   BLOCK bytes at most) number their distinct words, and each document keeps the numbers of its words. One
+   exchange deals both: documents by block, words by a share of their hash.
 2. Every distinct word of the corpus is encoded once: a word is an array of byte tokens, and a fold
    merges, again and again, the leftmost pair of the least rank. The ranks come from a literal map;
    the id of a merged pair is its rank, so the fold needs no byte strings.
-3. The ids of its words go back to every block, and its documents are put together. Decoding joins the
-   byte pieces of the ids.
+3. The ids of its words go back to every block in packets, and its documents are put together, some
+   STRETCH words at once. Decoding joins the byte pieces of the ids.
 
 Spark searches a map from end to end, so the rank map is a perfect hash table in an array: a pair's
 group tells a shift that moves the pairs of the group to slots of their own.
@@ -32,16 +33,19 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, saved, shuffle_width, slices
+from .common import give_back, plain, shuffle_width, slices
 from .gather import gathered, offsets, written
 
 LONG = 96  # bytes of a word that are folded at once
-BLOCK = 16 << 20  # bytes of the words of a block
+BLOCK = 64 << 20  # bytes of the words of a block
+STRETCH = 1 << 18  # words that are put together at once
+PACK = 1 << 18  # words whose ids a task packs at once
 TOP = 1 << 16  # above all ids
 
 
@@ -203,39 +207,49 @@ def jvm_pattern(spark: SparkSession, pattern: str) -> str:
     return "(?U)" + pattern
 
 
-_ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("distinct", pa.list_(pa.string()))])
-_ROWS_SQL = "block long, doc_id long, numbers binary, distinct array<string>"
+_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32()))])
+_ROWS_SQL = "key long, id long, data binary, words array<string>, numbers array<int>"
+
+
+def _blocks(shares: int) -> Callable:
+    """Two kinds of rows. Documents: key is their block, id their doc_id, data the numbers of their words.
+    Words of a share (-1 - key) and block (id): no data, and the words with their numbers."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            words = batch.column("words")
+            flat, rows = words.flatten(), offsets(np.diff(words.offsets.to_numpy()))
+            kind = np.int64 if pa.types.is_large_string(flat.type) else np.int32
+            at = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, kind)
+            for lo, hi in slices(at[rows], BLOCK):
+                own = flat.slice(rows[lo], rows[hi] - rows[lo]).dictionary_encode()
+                # numbers by falling frequency: most are small, and their high bytes pack to almost nothing
+                which, n = own.indices.to_numpy(), len(own.dictionary)
+                number = np.empty(n, "<u4")
+                number[np.argsort(-np.bincount(which, minlength=n), kind="stable")] = np.arange(n)
+                ends = (rows[lo : hi + 1] - rows[lo]).tolist()
+                data = pa.array([_packed(number[which[x:y]]) for x, y in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(hi - lo, block)), batch.column("doc_id").slice(lo, hi - lo), data, pa.nulls(hi - lo, _ROWS.field("words").type), pa.nulls(hi - lo, _ROWS.field("numbers").type)], schema=_ROWS
+                )
+                if n:
+                    share = (pd.util.hash_array(own.dictionary.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(shares)).astype(np.int64)
+                    order = np.argsort(share, kind="stable")
+                    cuts = np.flatnonzero(np.diff(share[order], prepend=-1, append=-1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(-1 - share[order][cuts[:-1]]), pa.array(np.full(len(cuts) - 1, block)), pa.nulls(len(cuts) - 1, pa.binary()),
+                            pa.ListArray.from_arrays(cuts, own.dictionary.take(pa.array(order)).cast(pa.string())), pa.ListArray.from_arrays(cuts, pa.array(number[order].astype(np.int32))),
+                        ],
+                        schema=_ROWS,
+                    )
+                block += 1
+        give_back()
 
-
-def _blocks(batches) -> Iterator[pa.RecordBatch]:
-    """Documents with the numbers of their words in the list of their block, which its first row holds."""
-    from pyspark import TaskContext
-
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        words = batch.column("words")
-        flat, rows = words.flatten(), offsets(np.diff(words.offsets.to_numpy()))
-        kind = np.int64 if pa.types.is_large_string(flat.type) else np.int32
-        at = np.frombuffer(flat.buffers()[1], kind)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, kind)
-        for lo, hi in slices(at[rows], BLOCK):
-            own = flat.slice(rows[lo], rows[hi] - rows[lo]).dictionary_encode()
-            # numbers by falling frequency: most are small, and their high bytes pack to almost nothing
-            which = own.indices.to_numpy()
-            order = np.argsort(-np.bincount(which, minlength=len(own.dictionary)), kind="stable")
-            number = np.empty(len(order), "<u4")
-            number[order] = np.arange(len(order))
-            data, ends = number[which], (rows[lo : hi + 1] - rows[lo]).tolist()
-            lists = np.full(hi - lo + 1, len(order), np.int32)
-            lists[0] = 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(hi - lo, block)), batch.column("doc_id").slice(lo, hi - lo),
-                    pa.array([_packed(data[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(lists), own.dictionary.take(pa.array(order)).cast(pa.string())),
-                ],
-                schema=_ROWS,
-            )
-            block += 1
+    return run
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -252,36 +266,85 @@ def _unpacked(data: bytes) -> np.ndarray:
     return rows.view("<u4").ravel().astype(np.int64)
 
 
-def _put_together(answer: Callable, schema: pa.Schema) -> Callable:
-    """For the documents of a block and its words: ``answer`` to all ids and the documents' offsets in them."""
+_PACKETS_SQL = "of long, numbers binary, sizes binary, ids binary"
+
+
+def _packets(batches) -> Iterator[pa.RecordBatch]:
+    """The ids of words (of, number, ids), some PACK words at once, packed for each block."""
 
-    def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-        own = words.sort_by("number").column("ids").combine_chunks()
-        pool, at = own.flatten().to_numpy().astype(np.int64), offsets(np.diff(own.offsets.to_numpy()))
-        numbers = [_unpacked(x) for x in docs.column("numbers").to_pylist()]
-        ids, total = gathered(pool, at, np.concatenate([np.zeros(0, np.int64), *numbers]))
-        return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *answer(ids, total[offsets(np.array([len(x) for x in numbers]))])], schema=schema)
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        of, number, ids = (rows.column(c).combine_chunks() for c in ("of", "number", "ids"))
+        of, number = of.to_numpy(), number.to_numpy()
+        pool, at = ids.flatten().to_numpy(), offsets(np.diff(ids.offsets.to_numpy()))
+        order = np.lexsort((number, of))
+        cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1)).tolist()
+        parts = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            mine = order[x:y]
+            parts.append((int(of[mine[0]]), _packed(np.diff(number[mine], prepend=0)), _packed(np.diff(at)[mine]), _packed(gathered(pool, at, mine)[0])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int64(), *[pa.binary()] * 3))], names=["of", "numbers", "sizes", "ids"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACK:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
+def _pool(packets: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words of a block by number, one after the other, and the n+1 offsets of the words."""
+    numbers, sizes, ids = ([_unpacked(x) for x in packets.column(c).to_pylist()] for c in ("numbers", "sizes", "ids"))
+    none = [np.zeros(0, np.int64)]
+    order = np.argsort(np.concatenate([*none, *(np.cumsum(x) for x in numbers)]), kind="stable")
+    at = offsets(np.concatenate([*none, *sizes]))
+    return gathered(np.concatenate([*none, *ids]).astype(np.uint16), at, order)
+
+
+def _put_together(answer: Callable, schema: pa.Schema) -> Callable:
+    """For the documents of a block and the packets of its words: ``answer`` to ids and the documents' offsets in them."""
+
+    def run(key, docs: pa.Table, packets: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # words
+            return schema.empty_table()
+        pool, at = _pool(packets)
+        data, names = docs.column("data").to_pylist(), docs.column("id").combine_chunks()
+        out = []
+        for lo, hi in slices(offsets(np.array([int.from_bytes(x[:8], "little") for x in data])), STRETCH):
+            numbers = [_unpacked(x) for x in data[lo:hi]]
+            ids, total = gathered(pool, at, np.concatenate(numbers))
+            out.append(pa.Table.from_arrays([names.slice(lo, hi - lo), *answer(ids.astype(np.int64), total[offsets(np.array([len(x) for x in numbers]))])], schema=schema))
+        give_back()
+        return pa.concat_tables(out)
 
     return run
 
 
 def word_ids(docs: DataFrame, ranks: RankMap, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """The blocks (block, doc_id, numbers), and the ids of their words (of (a block), number, ids)."""
+    """The rows of ``_blocks``, and the ids of the words of the blocks (of (a block), number, ids)."""
     texts = plain(docs, "doc_id", "text")
     words = F.regexp_extract_all("text", F.lit(jvm_pattern(docs.sparkSession, pattern)), F.lit(0))
     cut = texts.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
-    rows = saved(cut.mapInArrow(_blocks, _ROWS_SQL), "word-blocks")
     # the fold is the work here, so the words are dealt to many tasks, however small they are
     width = 4 * shuffle_width(docs.sparkSession)
-    listed = rows.filter("size(distinct) > 0").select("block", F.posexplode("distinct").alias("number", "word")).repartition(width, "word")
-    # the least place of a word is not needed; asked for, it lets both sides read one exchange
-    encoded = listed.groupBy("word").agg(F.min(F.struct("block", "number")).alias("place")).select("word", encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"), F.col("place.number").alias("_"))
-    return rows.select("block", "doc_id", "numbers"), listed.join(encoded, "word").filter("_ is not null").select(F.col("block").alias("of"), "number", "ids")
+    rows = cut.mapInArrow(_blocks(2 * width), _ROWS_SQL).repartition(width, "key")
+    # a filter of documents would go below the exchange, and columns not asked for too: then the texts were cut twice
+    listed = rows.select("key", "id", "data", F.explode_outer(F.arrays_zip("words", "numbers")).alias("w"))
+    listed = listed.select("key", "w.words", F.struct("id", "w.numbers").alias("place"), "data").filter("length(words) >= coalesce(octet_length(data), 0)")
+    places = listed.withColumnRenamed("words", "word").groupBy("word", "key").agg(F.collect_list("place").alias("places"))
+    encoded = places.select(encode_word(ranks, F.col("word")).cast("array<int>").alias("ids"), "places")
+    return rows, encoded.select(F.explode("places").alias("place"), "ids").select(F.col("place.id").alias("of"), F.col("place.numbers").alias("number"), "ids")
 
 
 def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, answer: Callable, schema: pa.Schema, sql: str) -> DataFrame:
     rows, words = word_ids(docs, RankMap(ranks), pattern)
-    return rows.groupBy("block").cogroup(words.groupBy("of")).applyInArrow(_put_together(answer, schema), sql)
+    packets = words.mapInArrow(_packets, _PACKETS_SQL)
+    return rows.groupBy("key").cogroup(packets.groupBy("of")).applyInArrow(_put_together(answer, schema), sql)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

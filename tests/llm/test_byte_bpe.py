@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -72,3 +73,31 @@ def test_each_distinct_word_is_folded_once(spark):
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [word") == 1 and "Python" not in plan.split("Aggregate [word")[0]
     assert {tuple(r.ids) for r in words.collect()} == {(r,) for r in {byte_bpe.read_ranks(PATH)[w] for w in (b"a", b" a", b" b")}}
+
+
+def test_texts_are_cut_once_and_one_exchange_deals_documents_and_words(spark):
+    docs = spark.createDataFrame([(k, f"a b c{k} d") for k in range(50)], SCHEMA).repartition(4)
+    out = byte_bpe.token_digests(docs, PATH, public_tokenizers.PATTERN)
+    assert len(out.collect()) == 50
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("regexp_extract_all") == 1 and plan.count("ReusedExchange") == 1
+
+
+@pytest.mark.parametrize("stretch", [1, 1 << 18])
+def test_blocks_are_put_together_by_stretches(spark, library, monkeypatch, stretch):
+    monkeypatch.setattr(byte_bpe, "STRETCH", stretch)
+    texts = ["", "a tie", None, "", "to be or not to be " * 30, " ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(x or "") for i, x in enumerate(texts)}
+
+
+def test_ids_of_words_are_packed_by_block():
+    rows = [(of, number, [of % 11 + number, 65535][: 1 + number % 2]) for of in (3, 1 << 33) for number in (2, 0, 1)]
+    kinds = {"of": pa.int64(), "number": pa.int32(), "ids": pa.list_(pa.int32())}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+    (packets,) = byte_bpe._packets(iter([batch]))
+    assert packets.column("of").to_pylist() == [3, 1 << 33]
+    for n, of in enumerate((3, 1 << 33)):
+        pool, at = byte_bpe._pool(pa.Table.from_batches([packets.slice(n, 1)]))
+        assert [pool[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [ids for o, _, ids in sorted(rows) if o == of]

@@ -2,7 +2,8 @@
 
 1. Spark cuts the texts into words, the matches of the splitting pattern. Blocks of documents (about
    BLOCK bytes at most) number their distinct words, and each document keeps the numbers of its words. One
-   exchange deals both: documents by block, words by a share of their hash.
+   exchange deals both: documents by block, words by a share of their hash. A task that runs again must meet
+   its documents in the same order, as it does in files; other tables are better written first.
 2. Every distinct word of the corpus is encoded once: a word is an array of byte tokens, and a fold
    merges, again and again, the leftmost pair of the least rank. The ranks come from a literal map;
    the id of a merged pair is its rank, so the fold needs no byte strings.
